@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unitscope.llm import minhash
+from unitscope.llm import minhash, quality
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -19,8 +19,15 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """passed names the limits of the document's group that it passes."""
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "passed", "kept")
+    return quality.quality(_documents(spark, sf_dir)).select(*columns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 ORACLE: dict[str, str] = {
@@ -48,5 +55,64 @@ WITH RECURSIVE w AS (
 )
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, low.component_id, s.doc_id = low.component_id AS kept
 FROM s JOIN low ON s.doc_id = low.doc_id
+""",
+    "op8_quality_rules": rf"""
+WITH t AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT doc_id, lang, source, text,
+    list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l
+  FROM t
+), g AS (
+  SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])) AS g FROM w WHERE len(w) >= 5
+), twice AS (
+  SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(5)) AS k) GROUP BY doc_id
+), f AS (
+  SELECT w.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines
+  FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id
+), m AS (
+  SELECT lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) AS metric,
+    unnest([n_symbols * 1000 // greatest(n_words, 1), n_dup_lines * 1000 // greatest(n_lines, 1),
+      n_repeat_words * 1000 // greatest(n_words, 1), word_chars * 100 // greatest(n_words, 1)]) AS v
+  FROM f
+), b AS (
+  SELECT lang, source, metric, CASE WHEN v < 32 THEN v ELSE 32 * (length(bin(v)) - 6) + (v >> (length(bin(v)) - 6)) END AS bucket, count(*) AS n
+  FROM m GROUP BY ALL
+), levels AS (
+  SELECT 1 AS level, lang, source, metric, bucket, n FROM b
+  UNION ALL SELECT 2, lang, NULL, metric, bucket, sum(n) FROM b GROUP BY lang, metric, bucket
+  UNION ALL SELECT 3, NULL, NULL, metric, bucket, sum(n) FROM b GROUP BY metric, bucket
+), running AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS below,
+    sum(n) OVER (PARTITION BY level, lang, source, metric) AS total,
+    CASE WHEN bucket < 64 THEN bucket ELSE (bucket % 32 + 32) << CAST(bucket // 32 - 1 AS INT) END AS low
+  FROM levels
+), q AS (
+  SELECT level, lang, source, metric, total, min(CASE WHEN 4 * below >= total THEN low END) AS q1, min(CASE WHEN 4 * below >= 3 * total THEN low END) AS q3
+  FROM running GROUP BY ALL
+), chosen AS (
+  SELECT f.lang, f.source, f.metric,
+    CASE WHEN f.total >= {quality.LEAST_ROWS} THEN f.q1 WHEN m.total >= {quality.LEAST_ROWS} THEN m.q1 ELSE w.q1 END AS q1,
+    CASE WHEN f.total >= {quality.LEAST_ROWS} THEN f.q3 WHEN m.total >= {quality.LEAST_ROWS} THEN m.q3 ELSE w.q3 END AS q3,
+    CASE f.metric WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 300 WHEN 'repeats' THEN 150 ELSE 400 END AS slack
+  FROM q AS f
+  JOIN q AS m ON f.level = 1 AND m.level = 2 AND m.lang IS NOT DISTINCT FROM f.lang AND m.metric = f.metric
+  JOIN q AS w ON w.level = 3 AND w.metric = f.metric
+), l AS (
+  SELECT lang, source, metric, q3 + greatest({quality.REACH} * (q3 - q1), slack) AS top FROM chosen
+), judged AS (
+  SELECT f.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, concat_ws(',',
+    CASE WHEN n_symbols * 1000 // greatest(n_words, 1) > (SELECT max(top) FROM l WHERE l.lang IS NOT DISTINCT FROM f.lang AND l.source IS NOT DISTINCT FROM f.source AND metric = 'symbols') THEN 'symbols' END,
+    CASE WHEN n_dup_lines * 1000 // greatest(n_lines, 1) > (SELECT max(top) FROM l WHERE l.lang IS NOT DISTINCT FROM f.lang AND l.source IS NOT DISTINCT FROM f.source AND metric = 'dup_lines') THEN 'dup_lines' END,
+    CASE WHEN n_repeat_words * 1000 // greatest(n_words, 1) > (SELECT max(top) FROM l WHERE l.lang IS NOT DISTINCT FROM f.lang AND l.source IS NOT DISTINCT FROM f.source AND metric = 'repeats') THEN 'repeats' END,
+    CASE WHEN word_chars * 100 // greatest(n_words, 1) > (SELECT max(top) FROM l WHERE l.lang IS NOT DISTINCT FROM f.lang AND l.source IS NOT DISTINCT FROM f.source AND metric = 'word_length') THEN 'word_length' END) AS passed
+  FROM f
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, passed, NOT base_failed AND passed = '' AS kept FROM judged
 """,
 }
