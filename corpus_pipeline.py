@@ -1,17 +1,45 @@
-"""Corpus cleaning as five stages of llm operators."""
+"""Corpus cleaning as five stages of llm operators, each over all that the one before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unitscope.llm import minhash
+from unitscope.llm import decontaminate, minhash, pii, quality, viterbi
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the limits of their language and source."""
+    return quality.accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
     return minhash.deduplicated(docs)
 
 
-STAGES = [("minhash near-dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with pseudonyms in place of personal data."""
+    return pii.pseudonymise(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, token_ids, n_tokens, round_trip) of the documents left."""
+    return viterbi.tokenised(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("PII pseudonyms", pseudonyms),
+    ("SentencePiece encoding", token_ids),
+]
+#: Tilings, near-duplicate components and segmentations are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
