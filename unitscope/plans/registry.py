@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from unitscope.plans import core
+from unitscope.plans import core, sequences
 
-MODULES = [core]
+MODULES = [core, sequences]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
