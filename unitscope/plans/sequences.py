@@ -8,22 +8,9 @@ from pyspark.sql import functions as F
 from unitscope.functions import sequences as S
 from unitscope.functions import statistics as T
 from unitscope.operators import alignments as A
-from unitscope.plans.views import table, view, with_views
-
-QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str | None = None, *views: str):
-    """Registers a query with its DuckDB text, which follows the definitions of the named views."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = (with_views(*views).rstrip() + (", " if not sql.startswith("SELECT") else " ") + sql) if views else sql
-        return f
-
-    return register
+from unitscope.plans.views import register, table, view
 
+QUERIES, ORACLE, query = register()
 
 _COD = "list_transform(range(0, length(seq) // 3), lambda i: substr(seq, i * 3 + 1, 3))"
 

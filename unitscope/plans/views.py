@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 _ALN_KEYS = """SELECT c_nationkey AS unit_id, c_custkey AS taxon,
@@ -63,3 +65,22 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(*names: str) -> str:
     """WITH clause that defines the named views for DuckDB, to be followed by further CTEs or a SELECT."""
     return "WITH " + ", ".join(f"{name} AS ({DUCK[name]})" for name in names) + " "
+
+
+def register() -> tuple[dict, dict, Callable]:
+    """Queries, their DuckDB texts, and a decorator that adds a function to the first and its text, after the named views, to the second."""
+    queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    oracle: dict[str, str] = {}
+
+    def query(sql: str | None = None, *views: str) -> Callable:
+        def add(f: Callable) -> Callable:
+            queries[f.__name__] = f
+            if sql and views:
+                oracle[f.__name__] = with_views(*views).rstrip() + (" " if sql.startswith("SELECT") else ", ") + sql
+            elif sql:
+                oracle[f.__name__] = sql
+            return f
+
+        return add
+
+    return queries, oracle, query
