@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -22,4 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """The same rows, stored in the shared folder: a later loss of executors recomputes nothing before this point."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    stored = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return stored
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints that no DataFrame needs any more, which it does once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -6,12 +6,13 @@ key is a pair of one tuple from either collection, so TUPLES**2 tables of 2 * RO
 collections; at a similarity of 0.75 they fail to with a chance of 1e-4, above it with less.
 
 Documents with the same shingle set are folded into a class first, whose smallest doc_id stands for
-it, so copies never make pairs. In each bucket the members are held against one pivot; those that
-the links found so far have not yet joined are held against further pivots, and what is left between
-different components after that is compared in full. The shingles of a set that stand in no other set
-still open cannot be in an intersection; members and pairs that could not be similar enough even if
-they shared all the rest are left out. So every pair of candidates is compared, already connected or
-excluded by that bound.
+it, so copies never make pairs. In each bucket all members are held against the smallest. Buckets that
+still hold different components after that are open: every pair of candidates from different
+components is compared there, unless a bound excludes it: the shingles of a set that stand in no other
+open set cannot be in an intersection. These comparisons run inside tasks over pairs of blocks of
+BLOCK_ROWS members of one tuple, and only links leave them, so no group's pairs are ever rows. A pair
+is compared under the first tuple it shares. So every pair of candidates is compared, already connected
+or excluded by the bound.
 A candidate becomes a link only by comparing the full shingle sets of its texts.
 
 Null, empty and blank texts have an empty set and are linked with nothing. Rows that repeat a doc_id
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from unitscope.llm.components import components
@@ -36,7 +37,8 @@ ROWS = 2
 TUPLES = 12
 #: Smallest similarity of a link, as a fraction of integers: 100 * intersection >= 75 * union.
 SIMILARITY = (75, 100)
-PIVOT_ROUNDS = 2
+BLOCK_ROWS = 1024
+BLOCK_BYTES = 8 << 20
 
 _SIGNATURE = "id long, n_shingles long, set_a long, set_b long, tuples_a array<long>, tuples_b array<long>"
 
@@ -133,13 +135,6 @@ def _bounds(texts: DataFrame) -> DataFrame:
     return sizes.join(own, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")).filter(whole * F.col("shared") >= part * F.col("n"))
 
 
-def _may_link(n: str, shared: str, other_n: str, other_shared: str) -> Column:
-    """Whether two sets could be similar enough; true where the bounds are not known."""
-    part, whole = SIMILARITY
-    both = F.least(shared, other_shared)
-    return F.coalesce(whole * both >= part * (F.col(n) + F.col(other_n) - both), F.lit(True))
-
-
 def _crossing(members: DataFrame, component: DataFrame) -> DataFrame:
     """(key, id, component) of the buckets that still hold different components."""
     placed = members.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
@@ -147,37 +142,71 @@ def _crossing(members: DataFrame, component: DataFrame) -> DataFrame:
     return placed.join(mixed.select("key"), "key", "left_semi")
 
 
-def links(representatives: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The confirmed links (a, b) found among representatives, enough to connect all that candidates connect, and (id, component) of the linked ones."""
+def _block_links(place: int, sides: np.ndarray, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs of candidates from different components between two blocks, or within one, of the members of one tuple."""
+    part, whole = SIMILARITY
+    ids, component, n, shared = (table[c].to_numpy() for c in ("id", "component", "n", "shared"))
+    left, right = (table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), TUPLES) for c in ("tuples_a", "tuples_b"))
+    sets: list[np.ndarray] = []
+    for first, end, data, offsets in chunks(table["text"]):
+        runs, at = shingles(*words(data, offsets)[:2])
+        sets += [np.unique(runs[at[i] : at[i + 1]]) for i in range(end - first)]
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    every, code = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.zeros(len(every), bool)
+    found_a, found_b = [], []
+    for x in np.flatnonzero(sides == 0) if (sides == 1).any() else range(len(ids)):
+        able = (sides == 1) if (sides == 1).any() else np.arange(len(ids)) > x
+        both = np.minimum(shared[x], shared)
+        able &= (component != component[x]) & (whole * both >= part * (n[x] + n - both))
+        able &= ~(left[:, :place] == left[x, :place]).any(axis=1) & (right == right[x]).any(axis=1)
+        if not len(to := np.flatnonzero(able)):
+            continue
+        held[code[starts[x] : starts[x + 1]]] = True
+        met = np.array([np.count_nonzero(held[code[starts[y] : starts[y + 1]]]) for y in to])
+        held[code[starts[x] : starts[x + 1]]] = False
+        linked = to[whole * met >= part * (len(sets[x]) + np.diff(starts)[to] - met)]
+        found_a.append(np.minimum(ids[x], ids[linked]))
+        found_b.append(np.maximum(ids[x], ids[linked]))
+    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _blocks(table: pa.Table) -> pa.Table:
+    a, b = _block_links(table["place"][0].as_py(), (table["block"].to_numpy() != table["low"].to_numpy()).astype(int), table)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def open_links(open_: DataFrame, representatives: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links (a, b) between different components of open_ (id, component, n, shared) that share a tuple of either collection."""
+    members = open_.join(representatives, "id").join(texts, "id").withColumn("bytes", F.octet_length("text"))
+    keyed = members.select("id", "component", "bytes", F.posexplode("tuples_a").alias("place", "value"))
+    groups = keyed.groupBy("place", "value").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("component").alias("lowest"), F.max("component").alias("highest")).filter("lowest < highest")
+    blocks = groups.select("place", "value", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = keyed.join(blocks, ["place", "value"]).withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) AS int)"))
+    dealt = dealt.select("id", "place", "value", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    paired = dealt.select("id", "place", "value", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    full = paired.join(members.drop("bytes"), "id")
+    return full.groupBy("place", "value", "low", "high").applyInArrow(_blocks, "a long, b long").distinct()
+
+
+def links(representatives: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component) of the linked representatives (id, tuples_a, tuples_b)."""
     members = durable(buckets(representatives))
     texts = durable(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(members.select("id").distinct(), "id", "left_semi"))
-    found = None
-    component = members.select("id", F.col("id").alias("component")).limit(0)
-    open_ = members.withColumn("component", F.col("id")).withColumns({"n": F.lit(None).cast("long"), "shared": F.lit(None).cast("long")})
-    for turn in range(PIVOT_ROUNDS + 1):
-        # Pairs of different components that stand in one bucket, were all of them compared.
-        sizes = open_.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        total = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
-        if not total["pairs"]:
-            break
-        last = turn == PIVOT_ROUNDS or total["pairs"] <= 2 * total["rows"]
-        other = open_.select("key", *(F.col(c).alias(f"other_{c}") for c in ("id", "component", "n", "shared")))
-        if not last:
-            other = other.groupBy("key").agg(F.min_by(F.struct(*other.columns[1:]), F.xxhash64("other_id", F.lit(turn))).alias("pivot")).select("key", "pivot.*")
-        apart = F.col("component") < F.col("other_component") if last else F.col("component") != F.col("other_component")
-        near = open_.join(other, (open_["key"] == other["key"]) & apart & _may_link("n", "shared", "other_n", "other_shared"))
-        pairs = near.select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).distinct()
-        new = durable(confirm(pairs, texts))
-        found = new if found is None else found.unionByName(new)
-        component = components(found)
-        if last:
-            break
-        open_ = durable(_crossing(open_.select("key", "id"), component))
-        bounds = _bounds(texts.join(open_.select("id").distinct(), "id", "left_semi"))
-        open_ = durable(_crossing(open_.select("key", "id").join(bounds.select("id"), "id", "left_semi"), component).join(bounds, "id"))
-    if found is None:
-        found = members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    return found, component
+    lead = members.groupBy("key").agg(F.min("id").alias("a"))
+    stars = members.join(lead, "key").filter("a < id").select("a", F.col("id").alias("b")).distinct()
+    found = durable(confirm(stars, texts))
+    component = components(found)
+    # Bounds hold against the other open members; without those that they exclude, more may be excluded.
+    keys, bounds = members, None
+    for _ in range(2):
+        crossing = durable(_crossing(keys, component))
+        keys = crossing.select("key", "id")
+        bounds = durable(_bounds(texts.join(keys.select("id").distinct(), "id", "left_semi")))
+        keys = keys.join(bounds, "id", "left_semi")
+    open_ = _crossing(keys, component).select("id", "component").distinct().join(bounds, "id")
+    further = durable(open_links(durable(open_), representatives, texts))
+    return components(found.unionByName(further))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = signed.filter("n_shingles > 0 AND id IS NOT NULL")
     classes = full.groupBy("set_a", "set_b").agg(F.min("id").alias("low"))
     representatives = full.join(classes, ["set_a", "set_b"]).filter("id = low").select("id", "tuples_a", "tuples_b").dropDuplicates(["id", "tuples_a"])
-    _, component = links(representatives, docs, id_col, text_col)
+    component = links(representatives, docs, id_col, text_col)
     # A doc_id with several texts stands in several classes, all of one node.
     nodes = classes.join(component.withColumnRenamed("id", "low"), "low", "left").select("set_a", "set_b", F.coalesce("component", "low").alias("node"))
     many = full.groupBy("id").agg(F.countDistinct("set_a", "set_b").alias("n")).filter("n > 1").select("id")
