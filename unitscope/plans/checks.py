@@ -97,7 +97,7 @@ def f20_f21_correlations(spark: SparkSession, d: str) -> DataFrame:
     return _r(out.select("method", "covariate", "n", "rho", (F.abs("rho") > 0.5).alias("strong")), 6, "rho")
 
 
-@query("""e AS (SELECT quantile_cont(l_extendedprice, [0.25, 0.5, 0.75]) AS q FROM lineitem) SELECT CASE WHEN l_extendedprice <= q[1] THEN 1 WHEN l_extendedprice <= q[2] THEN 2 WHEN l_extendedprice <= q[3] THEN 3 ELSE 4 END AS bin, count(*) AS n, round(avg((l_discount <= 0.1)::INT), 6) AS share FROM lineitem, e GROUP BY 1""".replace("e AS", "WITH e AS", 1))
+@query("""WITH e AS (SELECT quantile_cont(l_extendedprice, [0.25, 0.5, 0.75]) AS q FROM lineitem) SELECT CASE WHEN l_extendedprice <= q[1] THEN 1 WHEN l_extendedprice <= q[2] THEN 2 WHEN l_extendedprice <= q[3] THEN 3 ELSE 4 END AS bin, count(*) AS n, round(avg((l_discount <= 0.1)::INT), 6) AS share FROM lineitem, e GROUP BY 1""")
 def f22_quartile_rejections(spark: SparkSession, d: str) -> DataFrame:
     return _r(D.quantile_rejections(table(spark, d, "lineitem"), "l_extendedprice", "l_discount"), 6, "share")
 
@@ -133,7 +133,7 @@ def e4_qq_band(spark: SparkSession, d: str) -> DataFrame:
     return D.qq_table(view(spark, d, "grid"), "p", band=True)
 
 
-@query("SELECT o_orderkey, w, w AND (SELECT count(*) FROM orders b WHERE b.o_orderkey < a.o_orderkey AND b.o_orderstatus = 'F') < 500 AS kept FROM (SELECT o_orderkey, o_orderstatus = 'F' AS w FROM orders) a".replace("(SELECT count(*) FROM orders b WHERE b.o_orderkey < a.o_orderkey AND b.o_orderstatus = 'F')", "coalesce(sum(w::INT) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
+@query("SELECT o_orderkey, w, w AND coalesce(sum(w::INT) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 500 AS kept FROM (SELECT o_orderkey, o_orderstatus = 'F' AS w FROM orders)")
 def e8_capped_in_order(spark: SparkSession, d: str) -> DataFrame:
     return G.capped_in_order(table(spark, d, "orders").selectExpr("o_orderkey", "o_orderstatus = 'F' AS w"), "w", "o_orderkey", 500)
 

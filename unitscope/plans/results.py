@@ -125,7 +125,7 @@ def c14_null_lookup(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("ord", F.when(~gone, F.col("p_value")).alias("p_value"), F.when(gone, "FAIL").otherwise(F.col("status")).alias("status"), F.when(gone, "missing_context_calibration").otherwise(F.col("reason")).alias("reason"))
 
 
-@query("SELECT a.unit_id, a.taxon, substr(a.seq, 1, 30) || substr(b.seq, 31, 30) || substr(a.seq, 61, 30) || substr(b.seq, 91, 6) AS seq FROM aln a JOIN aln b ON a.unit_id = b.unit_id AND a.taxon = b.taxon + 25 * (a.taxon - b.taxon) // 25 AND a.taxon = b.taxon", "aln")
+@query("SELECT a.unit_id, a.taxon, substr(a.seq, 1, 30) || substr(b.seq, 31, 30) || substr(a.seq, 61, 30) || substr(b.seq, 91, 6) AS seq FROM aln a JOIN aln b ON a.unit_id = b.unit_id AND a.taxon = b.taxon", "aln")
 def c15_interleave(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d, "aln")
     return C.interleave(rows, rows, ["unit_id", "taxon"], "seq", 30)
@@ -147,7 +147,7 @@ def c17_back_join(spark: SparkSession, d: str) -> DataFrame:
 _CI = lambda p, n: f"round(greatest(0, {p} - 1.96 * sqrt({p} * (1 - {p}) / greatest({n}, 1))), 6) AS low, round(least(1, {p} + 1.96 * sqrt({p} * (1 - {p}) / greatest({n}, 1))), 6) AS high"
 
 
-@query(f"e AS (SELECT taxa, L, N, alpha, count(*) AS n, avg((p <= alpha)::INT) AS s FROM grid, (SELECT unnest([0.1, 0.05, 0.01, 0.001])::DOUBLE AS alpha) GROUP BY ALL) SELECT taxa, L, \"N\" AS size_n, alpha, n, round(s, 6) AS size, {_CI('s', 'e.n')}, round(s - alpha, 6) AS deviation, round(abs(s - alpha), 6) AS abs_deviation FROM e".replace('taxa, L, N, alpha, count(*) AS n', 'taxa, L, N AS nn, alpha, count(*) AS n').replace('"N" AS size_n', 'nn AS size_n'), "grid")
+@query(f"e AS (SELECT taxa, L, N AS size_n, alpha, count(*) AS n, avg((p <= alpha)::INT) AS s FROM grid, (SELECT unnest([0.1, 0.05, 0.01, 0.001])::DOUBLE AS alpha) GROUP BY ALL) SELECT taxa, L, size_n, alpha, n, round(s, 6) AS size, {_CI('s', 'n')}, round(s - alpha, 6) AS deviation, round(abs(s - alpha), 6) AS abs_deviation FROM e", "grid")
 def f3_f4_empirical_size(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d, "grid").withColumnRenamed("N", "size_n")
     return _r(Y.empirical_size(rows, ["taxa", "L", "size_n"]), 6, "size", "low", "high", "deviation", "abs_deviation")
@@ -190,7 +190,7 @@ def f11_runtimes(spark: SparkSession, d: str) -> DataFrame:
     return _r(Y.runtimes(view(spark, d, "grid"), ["taxa", "L", "method"]), 6, "mean_sec", "std_sec")
 
 
-@query("SELECT N AS size_n, count(DISTINCT p) AS n_distinct, count(p) AS n, round(1 / (N + 1), 6) AS step FROM grid GROUP BY N".replace("GROUP BY N", "GROUP BY grid.N"), "grid")
+@query("SELECT N AS size_n, count(DISTINCT p) AS n_distinct, count(p) AS n, round(1 / (N + 1), 6) AS step FROM grid GROUP BY grid.N", "grid")
 def f12_discreteness(spark: SparkSession, d: str) -> DataFrame:
     return _r(Y.discreteness(view(spark, d, "grid").withColumnRenamed("N", "size_n"), "size_n", "p"), 6, "step")
 

@@ -151,10 +151,10 @@ _C = "s AS (SELECT unit_id, taxon, unnest(range(1, 97))::INT AS pos, unnest(stri
 _SCORE = "CASE sym " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in S.HYDROPHOBICITY.items()) + " END"
 
 
-@query(f""", {_C}, f AS (SELECT *, sym IN ('-', '.') AS gap, sym IN ('?', 'X', 'N') AS amb, {_SCORE} AS score FROM c), n AS (SELECT *, sum(CASE WHEN NOT gap AND NOT amb THEN c ELSE 0 END) OVER (PARTITION BY unit_id, pos) AS n FROM f)
-SELECT unit_id, pos, round(sum(c) FILTER (gap) / sum(c), 6) AS gap_fraction, round(sum(c) FILTER (amb) / sum(c), 6) AS amb_fraction, round(max(c) FILTER (NOT gap AND NOT amb) / max(n), 6) AS major, round(min(c) FILTER (NOT gap AND NOT amb) / max(n), 6) AS minor,
+@query(f"""{_C}, f AS (SELECT *, sym IN ('-', '.') AS gap, sym IN ('?', 'X', 'N') AS amb, {_SCORE} AS score FROM c), n AS (SELECT *, sum(CASE WHEN NOT gap AND NOT amb THEN c ELSE 0 END) OVER (PARTITION BY unit_id, pos) AS n FROM f)
+SELECT unit_id, pos, round(sum(c) FILTER (gap) / sum(c), 6) AS gap_fraction, round(sum(c) FILTER (amb) / sum(c), 6) AS amb_fraction, round(coalesce(max(c) FILTER (NOT gap AND NOT amb) / max(n), 0), 6) AS major, round(coalesce(min(c) FILTER (NOT gap AND NOT amb) / max(n), 0), 6) AS minor,
 round(coalesce(CASE WHEN count(*) FILTER (NOT gap AND NOT amb) > 1 THEN -sum(c / n * ln(c / n + 1e-12)) FILTER (NOT gap AND NOT amb) / ln(count(*) FILTER (NOT gap AND NOT amb)) END, 0), 6) AS entropy,
-round(coalesce(sum(c) FILTER (sym IN ('G', 'C')), 0) / max(n), 6) AS gc, round(sum(c * score) FILTER (NOT gap AND NOT amb) / max(n), 7) AS score_mean FROM n GROUP BY unit_id, pos""".lstrip(", "), "aln")
+round(CASE WHEN max(n) > 0 THEN coalesce(sum(c) FILTER (sym IN ('G', 'C')), 0) / max(n) ELSE 0 END, 6) AS gc, round(coalesce(sum(c * score) FILTER (NOT gap AND NOT amb) / max(n), 0), 7) AS score_mean FROM n GROUP BY unit_id, pos""", "aln")
 def d1_site_features(spark: SparkSession, d: str) -> DataFrame:
     f = A.site_features(A.sites(view(spark, d, "aln")))
     r = lambda c: F.round(c, 6)
@@ -162,7 +162,7 @@ def d1_site_features(spark: SparkSession, d: str) -> DataFrame:
     return f.select("unit_id", "pos", none("gap_fraction").alias("gap_fraction"), none("ambiguous_fraction").alias("amb_fraction"), r("major_fraction").alias("major"), r("minor_fraction").alias("minor"), r("entropy").alias("entropy"), r("gc_fraction").alias("gc"), F.round("score_mean", 7).alias("score_mean"))
 
 
-@query(f", {_C}, p AS (SELECT unit_id, pos, coalesce(ln(sum(c) FILTER (sym NOT IN ('-', 'N', 'X', '?'))) - sum(c * ln(c)) FILTER (sym NOT IN ('-', 'N', 'X', '?')) / sum(c) FILTER (sym NOT IN ('-', 'N', 'X', '?')), 0) AS h FROM c GROUP BY ALL) SELECT unit_id, round(avg(h), 6) AS mean_entropy FROM p GROUP BY unit_id".lstrip(", "), "aln")
+@query(f"{_C}, p AS (SELECT unit_id, pos, coalesce(ln(sum(c) FILTER (sym NOT IN ('-', 'N', 'X', '?'))) - sum(c * ln(c)) FILTER (sym NOT IN ('-', 'N', 'X', '?')) / sum(c) FILTER (sym NOT IN ('-', 'N', 'X', '?')), 0) AS h FROM c GROUP BY ALL) SELECT unit_id, round(avg(h), 6) AS mean_entropy FROM p GROUP BY unit_id", "aln")
 def d2_mean_entropy(spark: SparkSession, d: str) -> DataFrame:
     return A.mean_site_entropy(A.sites(view(spark, d, "aln"))).select("unit_id", F.round("mean_entropy", 6).alias("mean_entropy"))
 
@@ -172,16 +172,16 @@ def f1_rectangular(spark: SparkSession, d: str) -> DataFrame:
     return A.rectangular(view(spark, d, "aln").withColumn("seq", F.expr("if(unit_id % 3 = 0, substr(seq, 1, int(length(seq) - taxon % 2)), seq)")))
 
 
-@query(""", t AS (SELECT *, array_to_string(list_transform(range(1, 33), lambda i: substr(seq, i * 3, 1)), '') AS t3 FROM aln)
+@query("""t AS (SELECT *, array_to_string(list_transform(range(1, 33), lambda i: substr(seq, i * 3, 1)), '') AS t3 FROM aln)
 SELECT unit_id, round(sum(length(regexp_replace(seq, '[^-]', '', 'g'))) / sum(length(seq)), 6) AS gap_share, round(sum(length(regexp_replace(seq, '[-ACGT]', '', 'g'))) / sum(length(seq)), 6) AS ambiguous_share,
-round(sum(length(regexp_replace(seq, '[^GC]', '', 'g'))) / sum(length(regexp_replace(seq, '[^ACGT]', '', 'g'))), 6) AS gc, round(sum(length(regexp_replace(t3, '[^GC]', '', 'g'))) / sum(length(regexp_replace(t3, '[^ACGT]', '', 'g'))), 6) AS gc3 FROM t GROUP BY unit_id""".lstrip(", "), "aln")
+round(sum(length(regexp_replace(seq, '[^GC]', '', 'g'))) / sum(length(regexp_replace(seq, '[^ACGT]', '', 'g'))), 6) AS gc, round(sum(length(regexp_replace(t3, '[^GC]', '', 'g'))) / sum(length(regexp_replace(t3, '[^ACGT]', '', 'g'))), 6) AS gc3 FROM t GROUP BY unit_id""", "aln")
 def f2_composition(spark: SparkSession, d: str) -> DataFrame:
     c = A.composition(view(spark, d, "aln"))
     return c.select("unit_id", *(F.round(x, 6).alias(x) for x in c.columns[1:]))
 
 
-@query(""", a AS (SELECT * FROM aln WHERE taxon % 5 = 0), p AS (SELECT x.unit_id, x.taxon AS t1, y.taxon AS t2, list_filter(list_transform(range(1, 97), lambda i: CASE WHEN substr(x.seq, i, 1) IN ('A', 'C', 'G', 'T') AND substr(y.seq, i, 1) IN ('A', 'C', 'G', 'T') THEN (substr(x.seq, i, 1) <> substr(y.seq, i, 1))::INT END), lambda v: v IS NOT NULL) AS v FROM a x JOIN a y ON x.unit_id = y.unit_id AND x.taxon < y.taxon)
-SELECT unit_id, count(CASE WHEN len(v) > 0 THEN 1 END) AS n_pairs, round(avg(CASE WHEN len(v) > 0 THEN list_sum(v) / len(v) END), 6) AS mean_distance FROM p GROUP BY unit_id""".lstrip(", "), "aln")
+@query("""a AS (SELECT * FROM aln WHERE taxon % 5 = 0), p AS (SELECT x.unit_id, x.taxon AS t1, y.taxon AS t2, list_filter(list_transform(range(1, 97), lambda i: CASE WHEN substr(x.seq, i, 1) IN ('A', 'C', 'G', 'T') AND substr(y.seq, i, 1) IN ('A', 'C', 'G', 'T') THEN (substr(x.seq, i, 1) <> substr(y.seq, i, 1))::INT END), lambda v: v IS NOT NULL) AS v FROM a x JOIN a y ON x.unit_id = y.unit_id AND x.taxon < y.taxon)
+SELECT unit_id, count(CASE WHEN len(v) > 0 THEN 1 END) AS n_pairs, round(avg(CASE WHEN len(v) > 0 THEN list_sum(v) / len(v) END), 6) AS mean_distance FROM p GROUP BY unit_id""", "aln")
 def c11_pairwise_distance(spark: SparkSession, d: str) -> DataFrame:
     few = view(spark, d, "aln").filter("taxon % 5 = 0")
     return A.pairwise_distance(A.sites(few)).select("unit_id", "n_pairs", F.round("mean_distance", 6).alias("mean_distance"))
@@ -190,20 +190,21 @@ def c11_pairwise_distance(spark: SparkSession, d: str) -> DataFrame:
 _CODONS = "dim AS (SELECT x, y, z, x || y || z AS codon FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS x), (SELECT unnest(['A', 'C', 'G', 'T']) AS y), (SELECT unnest(['A', 'C', 'G', 'T']) AS z) WHERE x || y || z NOT IN ('TAA', 'TAG', 'TGA')), u AS (SELECT DISTINCT unit_id FROM aln)" + f", k AS (SELECT unit_id, unnest({_COD}) AS codon FROM aln)"
 
 
-@query(f", {_CODONS}, n AS (SELECT unit_id, codon, count(*) AS n FROM k GROUP BY ALL), g AS (SELECT u.unit_id, dim.codon, coalesce(n, 0) + 1e-6 AS x FROM u CROSS JOIN dim LEFT JOIN n ON n.unit_id = u.unit_id AND n.codon = dim.codon) SELECT unit_id, codon, round(x / sum(x) OVER (PARTITION BY unit_id), 9) AS freq FROM g".lstrip(", "), "aln")
+@query(f"{_CODONS}, n AS (SELECT unit_id, codon, count(*) AS n FROM k GROUP BY ALL), g AS (SELECT u.unit_id, dim.codon, coalesce(n, 0) + 1e-6 AS x FROM u CROSS JOIN dim LEFT JOIN n ON n.unit_id = u.unit_id AND n.codon = dim.codon) SELECT unit_id, codon, round(x / sum(x) OVER (PARTITION BY unit_id), 9) AS freq FROM g", "aln")
 def d16_codon_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return A.empirical_codon_frequencies(view(spark, d, "aln")).withColumn("freq", F.round("freq", 9))
 
 
-@query(f""", {_CODONS}, b AS (SELECT unit_id, place, substr(codon, place, 1) AS b, count(*) AS n FROM k, (SELECT unnest([1, 2, 3]) AS place) WHERE substr(codon, place, 1) IN ('A', 'C', 'G', 'T') GROUP BY ALL), f AS (SELECT *, n / sum(n) OVER (PARTITION BY unit_id, place) AS f FROM b),
-g AS (SELECT u.unit_id, codon, f1.f * f2.f * f3.f + 1e-6 AS x FROM u CROSS JOIN dim JOIN f f1 ON f1.unit_id = u.unit_id AND f1.place = 1 AND f1.b = x JOIN f f2 ON f2.unit_id = u.unit_id AND f2.place = 2 AND f2.b = y JOIN f f3 ON f3.unit_id = u.unit_id AND f3.place = 3 AND f3.b = z)
-SELECT unit_id, codon, round(x / sum(x) OVER (PARTITION BY unit_id), 9) AS freq FROM g""".lstrip(", "), "aln")
+@query(f"""{_CODONS}, b AS (SELECT unit_id, place, substr(codon, place, 1) AS b, count(*) AS n FROM k, (SELECT unnest([1, 2, 3]) AS place) WHERE substr(codon, place, 1) IN ('A', 'C', 'G', 'T') GROUP BY ALL), f AS (SELECT *, n / sum(n) OVER (PARTITION BY unit_id, place) AS f FROM b),
+h AS (SELECT unit_id, place, map_from_entries(list((b, f))) AS m FROM f GROUP BY ALL),
+g AS (SELECT u.unit_id, codon, coalesce(f1.m[x], 0) * coalesce(f2.m[y], 0) * coalesce(f3.m[z], 0) + 1e-6 + CASE WHEN f1.m IS NULL OR f2.m IS NULL OR f3.m IS NULL THEN NULL ELSE 0 END AS x FROM u CROSS JOIN dim LEFT JOIN h f1 ON f1.unit_id = u.unit_id AND f1.place = 1 LEFT JOIN h f2 ON f2.unit_id = u.unit_id AND f2.place = 2 LEFT JOIN h f3 ON f3.unit_id = u.unit_id AND f3.place = 3)
+SELECT unit_id, codon, round(x / sum(x) OVER (PARTITION BY unit_id), 9) AS freq FROM g""", "aln")
 def d17_f3x4_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return A.f3x4_codon_frequencies(view(spark, d, "aln")).withColumn("freq", F.round("freq", 9))
 
 
-@query(f""", {_CODONS}, n AS (SELECT unit_id, codon, count(*)::DOUBLE AS value FROM k GROUP BY ALL), raw AS (SELECT * FROM n WHERE unit_id % 2 = 0 OR codon IN (SELECT codon FROM dim)), s AS (SELECT unit_id, bool_or(codon NOT IN (SELECT codon FROM dim)) AS foreign_, sum(value) AS total FROM raw GROUP BY unit_id)
-SELECT s.unit_id, dim.codon, CASE WHEN foreign_ THEN NULL ELSE round(coalesce(value, 0) / total, 9) END AS freq, CASE WHEN foreign_ THEN 'not_sense' ELSE 'OK' END AS status FROM s CROSS JOIN dim LEFT JOIN raw ON raw.unit_id = s.unit_id AND raw.codon = dim.codon""".lstrip(", "), "aln")
+@query(f"""{_CODONS}, n AS (SELECT unit_id, codon, count(*)::DOUBLE AS value FROM k GROUP BY ALL), raw AS (SELECT * FROM n WHERE unit_id % 2 = 0 OR codon IN (SELECT codon FROM dim)), s AS (SELECT unit_id, bool_or(codon NOT IN (SELECT codon FROM dim)) AS foreign_, sum(value) AS total FROM raw GROUP BY unit_id)
+SELECT s.unit_id, dim.codon, CASE WHEN foreign_ THEN NULL ELSE round(coalesce(value, 0) / total, 9) END AS freq, CASE WHEN foreign_ THEN 'not_sense' ELSE 'OK' END AS status FROM s CROSS JOIN dim LEFT JOIN raw ON raw.unit_id = s.unit_id AND raw.codon = dim.codon""", "aln")
 def d18_normalised_frequencies(spark: SparkSession, d: str) -> DataFrame:
     counts = A.codon_counts(view(spark, d, "aln")).withColumn("value", F.col("n").cast("double")).drop("n")
     sense = A.sense_codons(counts).select("codon")
@@ -211,14 +212,14 @@ def d18_normalised_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return A.normalised_frequencies(raw, "unit_id").withColumn("freq", F.round("freq", 9))
 
 
-_E = ", e AS (SELECT l_suppkey AS unit_id, l_quantity AS energy, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS pos FROM lineitem)"
+_E = "WITH e AS (SELECT l_suppkey AS unit_id, l_quantity AS energy, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS pos FROM lineitem)"
 
 
 def _positions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").selectExpr("l_suppkey AS unit_id", "l_quantity AS energy", "row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS pos")
 
 
-@query("WITH " + _E[2:] + " SELECT unit_id, (pos - 1) // 50 AS block, round(avg(energy), 6) AS mean_value, min(pos) AS start, max(pos) AS \"end\", (min(pos) + max(pos)) / 2 AS centre FROM e GROUP BY ALL")
+@query(_E + " SELECT unit_id, (pos - 1) // 50 AS block, round(avg(energy), 6) AS mean_value, min(pos) AS start, max(pos) AS \"end\", (min(pos) + max(pos)) / 2 AS centre FROM e GROUP BY ALL")
 def e5_tumbling_windows(spark: SparkSession, d: str) -> DataFrame:
     return A.tumbling_means(_positions(spark, d), "unit_id", 50).withColumn("mean_value", F.round("mean_value", 6))
 
@@ -235,7 +236,7 @@ def e6_window_audit(spark: SparkSession, d: str) -> DataFrame:
     return A.window_audit(units, "unit_id", "L", 600, 50)
 
 
-@query("WITH " + _E[2:] + ", s AS (SELECT unit_id, pos, pow(energy - avg(energy) OVER (PARTITION BY unit_id), 2) AS sq FROM e), r AS (SELECT unit_id, pos, row_number() OVER w AS rank, sum(sq) OVER (w ROWS UNBOUNDED PRECEDING) / greatest(sum(sq) OVER (PARTITION BY unit_id), 1e-12) AS share FROM s WINDOW w AS (PARTITION BY unit_id ORDER BY round(sq, 6) DESC, pos)) SELECT unit_id, pos, rank, round(share, 6) AS share FROM r WHERE rank <= 20")
+@query(_E + ", s AS (SELECT unit_id, pos, pow(energy - avg(energy) OVER (PARTITION BY unit_id), 2) AS sq FROM e), r AS (SELECT unit_id, pos, row_number() OVER w AS rank, sum(sq) OVER (w ROWS UNBOUNDED PRECEDING) / greatest(sum(sq) OVER (PARTITION BY unit_id), 1e-12) AS share FROM s WINDOW w AS (PARTITION BY unit_id ORDER BY round(sq, 6) DESC, pos)) SELECT unit_id, pos, rank, round(share, 6) AS share FROM r WHERE rank <= 20")
 def e7_contribution_curve(spark: SparkSession, d: str) -> DataFrame:
     """The 20 positions of each unit that add most to its spread."""
     ranked = A.contribution_curve(_positions(spark, d), "unit_id", "pos", "energy")
