@@ -29,9 +29,9 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = energy.dispersion(scored, "unit_id")
     null = _null(spark, scored, units)
     ranked = calibrate.rank_p_values(units, null, "unit_id")
-    summed = ranked.join(calibrate.null_summary(null, "unit_id").drop("null_size"), "unit_id", "left")
-    indexed = summed.withColumn("idx", calibrate.index(F.col("D"), F.col("mu0"), F.col("sigma0")))
-    return fdr.benjamini_hochberg(calibrate.guardrails(indexed, model.training_rows, REPLICATES, "resampled"))
+    indexed = ranked.withColumn("idx", calibrate.index(F.col("D"), F.col("mu0"), F.col("sigma0")))
+    # One row per unit, needed twice for q-values: kept, so that the null is drawn once.
+    return fdr.benjamini_hochberg(calibrate.guardrails(indexed, model.training_rows, REPLICATES, "resampled").cache())
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,7 @@ def d9_rank_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, _ = _scored(spark, sf_dir)
     units = energy.dispersion(scored, "unit_id")
     null = _null(spark, scored, units)
+    null = null.cache()
     right = calibrate.rank_p_values(units, null, "unit_id").select("unit_id", "null_size", F.round("p_value", 6).alias("p_right"), "status")
     left = calibrate.rank_p_values(units, null, "unit_id", tail="left").select("unit_id", F.round("p_value", 6).alias("p_left"))
     return right.join(left, "unit_id")
