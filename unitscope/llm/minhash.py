@@ -244,7 +244,6 @@ def _unnamed(docs: DataFrame, judged: DataFrame, id_col: str, text_col: str) ->
     nameless = docs.filter(F.col(id_col).isNull())
     taken = judged.filter("doc_id IS NOT NULL AND n_shingles > 0").select("set_a", "set_b").distinct()
     text_key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    signed = signatures(nameless.withColumn("_id", F.lit(None).cast("long")), "_id", text_col)
     if not nameless.select(F.lit(1)).take(1):
         return nameless
     keyed = nameless.withColumn("_text", text_key)
@@ -254,7 +253,7 @@ def _unnamed(docs: DataFrame, judged: DataFrame, id_col: str, text_col: str) ->
     once = free.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("_text").alias("_text")).select("_text").unionByName(free.filter("n_shingles = 0").select("_text"))
     one = keyed.join(once, "_text", "left_semi")
     order = Window.partitionBy("_text").orderBy(F.length(text_col))
-    return one.withColumn("_row", F.row_number().over(order)).filter((F.col("_row") == 1) | (F.trim(F.coalesce(F.col(text_col), F.lit(""))) == "")).drop("_row", "_text")
+    return one.withColumn("_row", F.row_number().over(order)).filter((F.col("_row") == 1) | ~F.rlike(F.coalesce(text_col, F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))).drop("_row", "_text")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
