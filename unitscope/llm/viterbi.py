@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from math import log2
 
 import numpy as np
@@ -36,32 +37,37 @@ _MARK = "▁"
 
 
 class Pieces:
-    """Pieces of a model: ids and scores by string, and bytes by id."""
+    """Pieces of a model, with spaces for its marks: ids and scores by string, and bytes by id."""
 
     def __init__(self, model: str) -> None:
         processor = _processor(model)
         self.scores: dict[str, tuple[int, int]] = {}
-        self.bytes_of: list[bytes] = []
+        bytes_of: list[bytes] = []
         first = None
         for i in range(processor.get_piece_size()):
-            piece = processor.id_to_piece(i)
+            piece = processor.id_to_piece(i).replace(_MARK, " ")
             if processor.is_byte(i):
-                self.bytes_of.append(bytes([int(piece[1:-1], 16)]))
+                bytes_of.append(bytes([int(piece[1:-1], 16)]))
             elif processor.is_control(i) or processor.is_unknown(i):
-                self.bytes_of.append(b"")
+                bytes_of.append(b"")
             else:
                 first = i if first is None else first
                 self.scores[piece] = (-round(64 * log2(2 + i - first)), i)
-                self.bytes_of.append(piece.replace(_MARK, " ").encode())
-        self.byte_ids = {b[0]: i for i, b in reversed(list(enumerate(self.bytes_of))) if processor.is_byte(i)}
-        self.longest = max(map(len, self.scores))
+                bytes_of.append(piece.encode())
+        self.byte_ids = {b[0]: i for i, b in reversed(list(enumerate(bytes_of))) if processor.is_byte(i)}
         self.unknown = min(score for score, _ in self.scores.values()) - UNKNOWN_COST
+        # All ends of pieces: a search backwards from a place stops at the first string that ends no piece.
+        self.ends: dict[str, tuple[int, int] | None] = {piece[k:]: None for piece in self.scores for k in range(len(piece))}
+        self.ends |= self.scores
+        self.flat = np.frombuffer(b"".join(bytes_of), np.uint8)
+        self.sizes = np.array([len(b) for b in bytes_of], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def segment(self, words: list[str]) -> list[list[int]]:
         """Ids of each of the sorted distinct words."""
         out: list[list[int]] = []
         best, back = [0], [(0, None)]  # per end of a prefix: its score, and where its last piece starts and which it is
-        before = ""
+        before, known_end, unknown = "", self.ends.get, self.unknown
         for word in words:
             shared = 0
             for a, b in zip(before, word, strict=False):
@@ -72,22 +78,39 @@ class Pieces:
             for end in range(shared + 1, len(word) + 1):
                 # Equal sums keep the earlier start. Without a piece, the last character is unknown.
                 top, step = None, None
-                for start in range(max(0, end - self.longest), end):
-                    if (known := self.scores.get(word[start:end])) and (top is None or best[start] + known[0] > top):
-                        top, step = best[start] + known[0], (start, known[1])
-                if word[end - 1] not in self.scores and (top is None or best[end - 1] + self.unknown > top):
-                    top, step = best[end - 1] + self.unknown, (end - 1, None)
+                for start in range(end - 1, -1, -1):
+                    known = known_end(word[start:end], 0)
+                    if known:
+                        total = best[start] + known[0]
+                        if top is None or total >= top:
+                            top, step = total, (start, known[1])
+                    elif known == 0:
+                        break
+                if (top is None or best[end - 1] + unknown > top) and word[end - 1] not in self.scores:
+                    top, step = best[end - 1] + unknown, (end - 1, None)
                 best.append(top)
                 back.append(step)
             ids, at = [], len(word)
             while at:
                 start, piece = back[at]
-                ids += [piece] if piece is not None else [self.byte_ids[b] for b in reversed(word[start:at].encode())]
+                if piece is None:
+                    ids += [self.byte_ids[b] for b in reversed(word[start:at].encode())]
+                else:
+                    ids.append(piece)
                 at = start
-            out.append(ids[::-1])
+            ids.reverse()
+            out.append(ids)
             before = word
         return out
 
+    def texts(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The texts of stretches of ids, without the space that stands before a text."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        data = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[ids] - (ends - sizes), sizes)].tobytes()
+        cuts = np.concatenate([[0], ends])[bounds]
+        return [data[low + (data[low : low + 1] == b" " and low < high) : high].decode("utf-8", "replace") for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
 
 @lru_cache(maxsize=2)
 def pieces_of(model: str) -> Pieces:
@@ -110,23 +133,23 @@ class Encoder:
         new = sorted(words - self.place.keys())
         if not new:
             return
-        parts = {pretoken: split(pretoken, self.marks) for pretoken in new}
-        marked = sorted({part.replace(" ", _MARK) for own in parts.values() for part in own})
+        parts = [split(pretoken, self.marks) for pretoken in new]
+        marked = sorted(set(chain.from_iterable(parts)))
         segmented = dict(zip(marked, self.pieces.segment(marked), strict=True))
-        lists = [[i for part in parts[pretoken] for i in segmented[part.replace(" ", _MARK)]] for pretoken in new]
+        lists = [segmented[own[0]] if len(own) == 1 else segmented[own[0]] + segmented[own[1]] for own in parts]
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
         ends = np.cumsum([len(x) for x in lists]) + self.starts[-1][-1]
-        self.ids.append(np.array([i for x in lists for i in x], np.int32))
+        self.ids.append(np.fromiter(chain.from_iterable(lists), np.int32, ends[-1] - self.starts[-1][-1]))
         self.starts.append(ends)
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         words = [pretokens(text) if text else [] for text in texts]
         if len(self.place) > MEMO_WORDS:
             self._forget()
-        self._learn({w for own in words for w in own})
+        self._learn(set(chain.from_iterable(words)))
         starts, flat = np.concatenate(self.starts), np.concatenate(self.ids)
         self.ids, self.starts = [flat], [starts]
-        at = np.fromiter((self.place[w] for own in words for w in own), np.int64)
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64)
         sizes = (starts[at + 1] - starts[at]) if len(at) else np.zeros(0, np.int64)
         ends = np.cumsum(sizes)
         # Word by word, the stretch of flat ids that it owns.
@@ -165,14 +188,13 @@ def decoded(docs: DataFrame, ids_col: str = "token_ids", text_col: str = "decode
     column, names = docs.columns.index(ids_col), [*docs.columns, text_col]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces_of(model).bytes_of
+        pieces = pieces_of(model)
         for batch in batches:
             for part in _slices(batch, column, 1 << 20):
-                texts = []
-                for ids in part.column(column):
-                    data = None if ids.as_py() is None else b"".join([table[i] for i in ids.values.to_pylist()]).decode("utf-8", "replace")
-                    texts.append(data[1:] if data and data[0] == " " else data)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
+                lists = part.column(column)
+                bounds = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))]).astype(np.int64)
+                texts = pieces.texts(lists.flatten().to_numpy(zero_copy_only=False), bounds)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))], names=names)
 
     return docs.mapInArrow(decode, docs.select("*", F.lit(None).cast("string").alias(text_col)).schema)
 
