@@ -82,7 +82,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids_a, ids_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         ok = np.zeros(len(ids_a), bool)
-        for first, end, data, offsets in chunks(pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(np.arange(2 * len(ids_a)).reshape(2, -1).T.ravel())), 8 << 20) if len(ids_a) else ():
+        for first, end, data, offsets in chunks(pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(np.arange(2 * len(ids_a)).reshape(2, -1).T.ravel())), 1 << 20) if len(ids_a) else ():
             runs, at = shingles(*words(data, offsets)[:2])
             # Texts alternate; a run of rows may start or end between the two texts of a pair.
             for row in range(first, end):
