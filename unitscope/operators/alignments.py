@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unitscope.functions.sequences import HYDROPHOBICITY, codons, has_internal_stop, in_frame
 
 BASES = ("A", "C", "G", "T")
+#: Positions that are compared at once.
+_RUN = 256
 
 
 def sites(rows: DataFrame, unit: str = "unit_id", taxon: str = "taxon", seq: str = "seq") -> DataFrame:
@@ -81,21 +85,53 @@ def judged(rows: DataFrame, max_ambiguous: float, seq: str = "seq") -> DataFrame
     return rows.withColumn("reason", F.coalesce(reason, F.lit("kept")))
 
 
-def pairwise_distance(long: DataFrame, unit: str = "unit_id", taxon: str = "taxon") -> DataFrame:
-    """Per unit: mean over pairs of members of the share of sites with different bases, over sites where both have one.
-
-    Pairs are counted from base counts per site where members are many: each pair needs its own denominator, so members of a
-    unit are paired; the number of members per unit, not of rows, bounds the work."""
-    valid = long.filter(F.col("sym").isin(*BASES))
-    # One string per member instead of one row per site: a pair is compared by one expression.
-    lengths = valid.groupBy(unit).agg(F.max("pos").alias("length"))
-    strings = long.groupBy(unit, taxon).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sym"))), lambda s: s["sym"]), "").alias("seq"))
-    a = strings.select(unit, F.col(taxon).alias("t1"), F.col("seq").alias("s1"))
-    b = strings.select(unit, F.col(taxon).alias("t2"), F.col("seq").alias("s2"))
-    pairs = a.join(b, unit).filter("t1 < t2").join(lengths, unit)
-    both = F.filter(F.zip_with(F.split("s1", ""), F.split("s2", ""), lambda x, y: F.when(x.isin(*BASES) & y.isin(*BASES), (x != y).cast("int"))), lambda v: v.isNotNull())
-    shares = pairs.withColumn("d", F.when(F.size(both) > 0, F.aggregate(both, F.lit(0), lambda s, v: s + v) / F.size(both)))
-    return shares.groupBy(unit).agg(F.count("d").alias("n_pairs"), F.avg("d").alias("mean_distance"))
+def _block_pair(key: tuple, rows: pa.Table) -> pa.Table:
+    """(unit, n, total) of the pairs of two blocks of a unit, or within one: pairs with a common site, and the sum of their shares."""
+    unit, low, high = key
+    block = rows["_k"].to_numpy()
+    code = np.full(256, -1, np.int8)
+    code[np.frombuffer("".join(BASES).encode(), np.uint8)] = range(len(BASES))
+    lengths = np.array([len(s) for s in rows["_sym"].to_pylist()], np.int64)
+    member = np.repeat(np.arange(len(block)), lengths)
+    pos = np.array(rows["_pos"].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.int64)
+    sym = code[np.frombuffer("".join(rows["_sym"].to_pylist()).encode(), np.uint8)]
+    x, y = np.flatnonzero(block == low.as_py()), np.flatnonzero(block == high.as_py())
+    both, same = np.zeros((len(x), len(y)), np.int32), np.zeros((len(x), len(y)), np.int32)
+    # Counts are products of 0/1 matrices, a run of positions at a time: exact in float32, and of bounded size.
+    order = np.argsort(pos, kind="stable")
+    member, pos, sym = member[order], pos[order], sym[order]
+    start = 0
+    while start < len(pos):
+        end = np.searchsorted(pos, pos[start] + _RUN)
+        at, place, base = member[start:end], pos[start:end] - pos[start], sym[start:end]
+        seen = np.zeros((len(BASES), len(block), _RUN), np.float32)
+        seen[base, at, place] = 1
+        same += sum(b[x] @ b[y].T for b in seen).astype(np.int32)
+        any_base = seen.sum(axis=0)
+        both += (any_base[x] @ any_base[y].T).astype(np.int32)
+        start = end
+    shared = both > 0
+    if low.as_py() == high.as_py():
+        shared = np.triu(shared, 1)
+    total = ((both[shared] - same[shared]) / both[shared]).sum()
+    return pa.table({"unit": pa.array([unit.as_py()], unit.type), "n": pa.array([int(shared.sum())], pa.int64()), "total": pa.array([float(total)], pa.float64())})
+
+
+def pairwise_distance(long: DataFrame, unit: str = "unit_id", taxon: str = "taxon", block: int = 1024) -> DataFrame:
+    """Per unit: mean over all pairs of members of the share of sites with different bases, over sites where both have one.
+
+    Each pair needs its own denominator, so all pairs are compared. The members of a unit are dealt by hash into blocks of about
+    `block`; each pair of blocks is one group, which a task compares by matrix products and of which one row is left."""
+    base = F.when(F.col("sym").isin(*BASES), F.struct(F.col("pos").cast("int").alias("pos"), "sym"))
+    members = long.filter(F.col(taxon).isNotNull()).groupBy(unit, taxon).agg(F.collect_list(base).alias("_bases"))
+    blocks = long.groupBy(unit).agg(F.count_distinct(taxon).alias("_n")).filter("_n > 1").select(unit, F.ceil(F.col("_n") / block).cast("int").alias("_n"))
+    own = members.join(blocks, unit).withColumn("_k", F.pmod(F.xxhash64(taxon), F.col("_n")).cast("int"))
+    each = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select(
+        F.col(unit).alias("unit"), F.least("_k", "_o").alias("_low"), F.greatest("_k", "_o").alias("_high"), "_k", F.col("_bases")["pos"].alias("_pos"), F.array_join(F.col("_bases")["sym"], "").alias("_sym")
+    )
+    kind = long.schema[unit].dataType.simpleString()
+    sums = each.groupBy("unit", "_low", "_high").applyInArrow(_block_pair, f"unit {kind}, n bigint, total double").groupBy("unit").agg(F.sum("n").alias("n_pairs"), F.sum("total").alias("total"))
+    return sums.select(F.col("unit").alias(unit), "n_pairs", F.when(F.col("n_pairs") > 0, F.col("total") / F.col("n_pairs")).alias("mean_distance"))
 
 
 def tumbling_means(scored: DataFrame, unit: str, width: int, pos: str = "pos", value: str = "energy") -> DataFrame:

@@ -187,6 +187,13 @@ def c11_pairwise_distance(spark: SparkSession, d: str) -> DataFrame:
     return A.pairwise_distance(A.sites(few)).select("unit_id", "n_pairs", F.round("mean_distance", 6).alias("mean_distance"))
 
 
+@query("""p AS (SELECT x.unit_id, list_filter(list_transform(range(1, 97), lambda i: CASE WHEN substr(x.seq, i, 1) IN ('A', 'C', 'G', 'T') AND substr(y.seq, i, 1) IN ('A', 'C', 'G', 'T') THEN (substr(x.seq, i, 1) <> substr(y.seq, i, 1))::INT END), lambda v: v IS NOT NULL) AS v FROM aln x JOIN aln y ON x.unit_id = y.unit_id AND x.taxon < y.taxon)
+SELECT unit_id, count(CASE WHEN len(v) > 0 THEN 1 END) AS n_pairs, round(avg(CASE WHEN len(v) > 0 THEN list_sum(v) / len(v) END), 6) AS mean_distance FROM p GROUP BY unit_id""", "aln")
+def c11_all_pairs_distance(spark: SparkSession, d: str) -> DataFrame:
+    """As c11_pairwise_distance, whose SQL takes every fifth member, over all pairs of all members."""
+    return A.pairwise_distance(A.sites(view(spark, d, "aln"))).select("unit_id", "n_pairs", F.round("mean_distance", 6).alias("mean_distance"))
+
+
 _CODONS = "dim AS (SELECT x, y, z, x || y || z AS codon FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS x), (SELECT unnest(['A', 'C', 'G', 'T']) AS y), (SELECT unnest(['A', 'C', 'G', 'T']) AS z) WHERE x || y || z NOT IN ('TAA', 'TAG', 'TGA')), u AS (SELECT DISTINCT unit_id FROM aln)" + f", k AS (SELECT unit_id, unnest({_COD}) AS codon FROM aln)"
 
 
