@@ -8,6 +8,7 @@ import pytest
 
 from unitscope.operators import alignments as A
 from unitscope.plans import registry as queries
+from unitscope.plans.views import view
 
 DATA = "/root/testdata/sf0.001"
 
@@ -36,3 +37,18 @@ def test_all_members_are_paired(spark):
     rows = queries.QUERIES["c11_all_pairs_distance"](spark, DATA).collect()
     sizes = {r["c_nationkey"]: r["count"] for r in spark.read.parquet(f"{DATA}/customer.parquet").groupBy("c_nationkey").count().collect()}
     assert {r["unit_id"]: r["n_pairs"] for r in rows} == {u: n * (n - 1) // 2 for u, n in sizes.items() if n > 1}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_audit_judges_all_members(spark):
+    """A stop in any member drops its unit, and every unit is judged."""
+    members = {}
+    for r in view(spark, DATA, "aln").collect():
+        members.setdefault(r["unit_id"], []).append(r["seq"])
+    stop = {u for u, seqs in members.items() if any(s[i : i + 3] in ("TAA", "TAG", "TGA") for s in seqs for i in range(0, 93, 3))}
+    final = {r["unit_id"]: (r["status"], r["reason"]) for r in queries.QUERIES["f32_staged_audit_all"](spark, DATA).filter("stage = 'FINAL_KEEP'").collect()}
+    assert set(final) == set(members)
+    judged = {u for u, (status, _) in final.items() if status != "SKIP" and u % 11 != 10 and len(members[u]) > 1}
+    assert judged & stop and {u for u, x in final.items() if x == ("DROP", "internal_stop")} == judged & stop
+    summary = {r["item"]: r["n"] for r in queries.QUERIES["f33_audit_summary_all"](spark, DATA).collect()}
+    assert summary["total"] == len(members) and summary["drop:internal_stop"] == len(judged & stop)

@@ -208,8 +208,11 @@ st AS (SELECT unnest([1, 2, 3, 4]) AS stage_no, unnest(['DISCOVER_FILES', 'TAXA_
 au AS (SELECT unit_id, stage_no, stage, CASE WHEN stage_no = k THEN 'DROP' ELSE 'PASS' END AS status, CASE WHEN stage_no = k THEN why ELSE 'ok' END AS reason FROM g, st WHERE NOT skip AND (k = 0 OR stage_no <= k) UNION ALL SELECT unit_id, 5, 'FINAL_KEEP', CASE WHEN skip THEN 'SKIP' WHEN k > 0 THEN 'DROP' ELSE 'KEEP' END, CASE WHEN skip THEN 'MAX_UNITS_LIMIT' WHEN k > 0 THEN why ELSE 'ok' END FROM g LEFT JOIN st ON stage_no = k)"""
 
 
-def _audit(spark: SparkSession, d: str) -> DataFrame:
-    few = view(spark, d, "aln").filter("taxon % 20 = 0")
+_QC_ALL = _QC.replace(" WHERE taxon % 20 = 0", "")
+
+
+def _audit(spark: SparkSession, d: str, members: str = "taxon % 20 = 0") -> DataFrame:
+    few = view(spark, d, "aln").filter(members)
     unclear = F.length(F.translate("seq", "ACGT", "")) / 96
     metrics = few.groupBy("unit_id").agg(F.count("*").alias("n"), F.round(F.avg(unclear), 6).alias("amb"), F.max(Q.has_internal_stop(F.col("seq"))).alias("stops"))
     stages = [
@@ -231,6 +234,17 @@ def f33_audit_summary(spark: SparkSession, d: str) -> DataFrame:
     return V.audit_summary(_audit(spark, d))
 
 
+@query(f"{_QC_ALL} SELECT unit_id, stage_no, stage, status, reason FROM au", "aln")
+def f32_staged_audit_all(spark: SparkSession, d: str) -> DataFrame:
+    """As f32_staged_audit, whose SQL takes every twentieth member, on all members of each unit."""
+    return _audit(spark, d, "true")
+
+
+@query(f"{_QC_ALL}, fin AS (SELECT * FROM au WHERE stage = 'FINAL_KEEP') SELECT 'total' AS item, count(*) AS n FROM fin UNION ALL SELECT 'kept', count(*) FROM fin WHERE status = 'KEEP' UNION ALL SELECT 'drop:' || reason, count(*) FROM fin WHERE status = 'DROP' GROUP BY reason", "aln")
+def f33_audit_summary_all(spark: SparkSession, d: str) -> DataFrame:
+    return V.audit_summary(_audit(spark, d, "true"))
+
+
 
 @query("""r AS (SELECT unnest(['a', 'b', 'c']) AS region, unnest([1, 2, 3]) AS o, unnest([1, 31, 40]) AS s, unnest([30, 60, 96]) AS e), x AS (SELECT unit_id, taxon, substr(seq, 1, 96 - CAST(taxon % 5 AS INT)) AS seq FROM aln),
 t AS (SELECT unit_id, taxon, region, o, CASE WHEN length(seq) < e THEN 1 WHEN (e - s + 1) % 3 <> 0 THEN 2 WHEN len(list_filter(list_transform(range(0, (e - s + 1) // 3 - 1), lambda i: substr(seq, s + i * 3, 3)), lambda c: c IN ('TAA', 'TAG', 'TGA'))) > 0 THEN 3 END AS k FROM x, r),
