@@ -8,6 +8,11 @@ same layout, equal values become equal values in every document, no two values b
 who has the key can invert it (`inverse`). E-mail addresses and secrets after words like "token =" have
 no such format; they become keyed hashes, equal for equal values.
 
+A card may stand in a longer run of digit groups, before or after other numbers: every stretch of 13 to 19
+digits that begins and ends with a group is validated, usual card layouts first, then from the left and the
+longest first, and none that overlap are both taken. (Where stretches overlap, a pseudonym can give another
+of them a Luhn sum, and `inverse` may then take that one.)
+
 Numbers that fail their validation, such as 16 digits without a Luhn sum, are left alone. Null texts
 stay null, empty ones empty; repeated rows are treated alike. All is one expression over each text.
 """
@@ -23,15 +28,21 @@ ROUNDS = 10
 #: For tests and demonstrations; a deployment passes its own secret.
 DEMO_KEY = "unitscope demonstration key"
 
+_SECRET = r"(?i:token|secret|password|passwd|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+#: What a further group of digits may not begin, since it is of another kind.
+_SLASHED = r"\d{2}[/.]\d{2}[/.]\d{4}(?![\d/])|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
+_DASHED = r"(?:\d{4}-\d{2}-\d{2}|\d{3}-\d{2}-\d{4}|\d{3}-\d{3}-\d{4})(?![\d-])"
+
 #: Patterns of candidates by kind, tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
-    "secret": r"(?<=(?i:token|secret|password|passwd|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_+/-]{16,}",
+    "secret": rf"(?<={_SECRET})[A-Za-z0-9_+/-]{{16,}}",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
     "date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/.])\d{2}([/.])\d{2}\1\d{4}(?![\d/])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
-    "card": r"(?<![\dA-Za-z+])\d(?:[ -]?\d){12,18}(?![\dA-Za-z]|-\d)",
+    # Whole runs of groups; possessive, since a run can be long.
+    "card": rf"(?<![\dA-Za-z+])(?=\d(?:[ -]?\d){{12}})\d++(?![A-Za-z])(?:(?: (?!{_DASHED}|{_SLASHED})|-(?!{_SLASHED}))\d++(?![A-Za-z]))*+",
 }
 _EPOCH, _CYCLE = "DATE'1700-01-01'", 146097
 
@@ -70,8 +81,19 @@ class _Sql:
         half, rest = "((length(d) - 2) div 2)", "(length(d) - 2 - (length(d) - 2) div 2)"
         left, right = f"substr(d, 2, int({half}))", f"substr(d, int({half}) + 2, int({rest}))"
         body = let(self.feistel(left, right, f"rpad('1', int({half}) + 1, '0')", f"rpad('1', int({rest}) + 1, '0')", "concat('card', length(d), substr(d, 1, 1))"), "f", f"concat(substr(d, 1, 1), lpad(cast(f.l AS string), int({half}), '0'), lpad(cast(f.r AS string), int({rest}), '0'))")
-        valid = f"{self.luhn('substr(d, 1, length(d) - 1)')} = substr(d, -1, 1)"
-        return f"if({valid}, {self.laid(let(body, 'e', f'concat(e, {self.luhn('e')})'))}, x)"
+        made = let("substr(w, c.s + 1, -c.m)", "d", let(body, "e", f"concat(e, {self.luhn('e')})"))
+        # Of a run x with digits w: places of its separators, then how many digits stand before and up to the end of each group.
+        breaks = "filter(transform(split(x, ''), (c, k) -> if(c RLIKE '^[ -]$', k, NULL)), k -> k IS NOT NULL)"
+        edges = let(breaks, "g", "concat(array(0), transform(g, (p, k) -> p - k), array(length(w)))")
+        valid = let("substr(w, b[i] + 1, b[j] - b[i])", "d", f"{self.luhn('substr(d, 1, length(d) - 1)')} = substr(d, -1, 1)")
+        usual = "j = i + 1 OR array_join(transform(sequence(i, j - 1), t -> b[t + 1] - b[t]), ' ') IN ('4 4 4 4', '4 6 5', '4 6 4')"
+        ends = f"filter(sequence(i + 1, least(i + 19, size(b) - 1)), j -> if(b[j] - b[i] BETWEEN 13 AND 19, {valid}, false))"
+        # (order, digits before, minus length) of what validates.
+        found = f"flatten(transform(sequence(0, size(b) - 2), i -> transform({ends}, j -> struct(if({usual}, 0, 1) AS o, b[i] AS s, b[i] - b[j] AS m))))"
+        free = "aggregate(array_sort(v), slice(v, 1, 0), (a, c) -> if(exists(a, t -> t.s < c.s - c.m AND c.s < t.s - t.m), a, concat(a, array(c))))"
+        spots = f"array_sort(transform({free}, c -> struct(c.s AS s, {made} AS e)))"
+        number = f"aggregate({spots}, struct(0 AS k, '' AS out), (a, c) -> struct(c.s + length(c.e) AS k, concat(a.out, substr(w, a.k + 1, c.s - a.k), c.e) AS out), a -> concat(a.out, substr(w, a.k + 1)))"
+        return let(edges, "b", let(found, "v", f"if(size(v) = 0, x, {self.laid(number)})"))
 
     def phone(self) -> str:
         number = let(self.feistel("substr(d, -7, 3)", "substr(d, -4, 4)", "1000", "10000", "concat('phone', substr(d, 1, length(d) - 7))"), "f", "concat(substr(d, 1, length(d) - 7), lpad(cast(f.l AS string), 3, '0'), lpad(cast(f.r AS string), 4, '0'))")
@@ -108,18 +130,19 @@ class _Sql:
         return let(f"substr(repeat(sha2(concat_ws('|', {self.key}, lower(x)), 256), int(length(x) div 64 + 1)), 1, length(x))", "h", "if(x = upper(x), upper(h), h)")
 
     def pseudonym(self) -> str:
-        """Of x, by the first kind whose whole pattern it fits; lookbehinds see the start of x and hold there."""
-        cases = [("x LIKE '%@%'", "email"), (r"x RLIKE '^\\d{1,3}(?:\\.\\d{1,3}){3}$'", "ip"), (r"x RLIKE '^(?:\\d{4}-\\d{2}-\\d{2}|\\d{2}[/.]\\d{2}[/.]\\d{4})$'", "date")]
-        cases += [(r"x RLIKE '^\\d{3}-\\d{2}-\\d{4}$'", "ssn"), (r"x RLIKE '^(?:[+(]|\\d{3}-\\d{3}-\\d{4}$)'", "phone"), (r"x RLIKE '^\\d(?:[ -]?\\d){12,18}$'", "card")]
+        """Of x, the match at q of m between the pieces p, by the pattern that it matched: a secret by the words before it, others by their form."""
+        before = "right(concat(coalesce(get(m, q - 1), ''), p[q]), 24)"
+        cases = [("x LIKE '%@%'", "email"), (f"x RLIKE '^[A-Za-z0-9_+/-]{{16,}}$' AND {before} RLIKE {_quoted(_SECRET + '$')}", "secret"), (r"x RLIKE '^\\d{1,3}(?:\\.\\d{1,3}){3}$'", "ip"), (r"x RLIKE '^(?:\\d{4}-\\d{2}-\\d{2}|\\d{2}[/.]\\d{2}[/.]\\d{4})$'", "date")]
+        cases += [(r"x RLIKE '^\\d{3}-\\d{2}-\\d{4}$'", "ssn"), (r"x RLIKE '^(?:[+(]|\\d{3}-\\d{3}-\\d{4}$)'", "phone"), (r"x RLIKE '^\\d[\\d -]*$'", "card")]
         chosen = " ".join(f"WHEN {test} THEN {self.with_digits(kind)}" for test, kind in cases)
         # Hashes of e-mail addresses and secrets cannot be inverted.
         return f"CASE {chosen} ELSE {'x' if self.inverse else self.secret()} END"
 
     def with_digits(self, kind: str) -> str:
-        if kind == "email" and self.inverse:
+        if kind in ("email", "secret") and self.inverse:
             return "x"
         sql = getattr(self, kind)()
-        return let("regexp_replace(x, '[^0-9]', '')", "d", sql) if kind in ("card", "phone", "ssn") else sql
+        return let("regexp_replace(x, '[^0-9]', '')", "w" if kind == "card" else "d", sql) if kind in ("card", "phone", "ssn") else sql
 
 
 #: One pattern; the back-reference of dates counts its groups from 1, and no other pattern has any.
@@ -129,10 +152,10 @@ _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 def pseudonymised(text_col: str = "text", key: str = DEMO_KEY, inverse: bool = False) -> Column:
     """A struct (text, n_replaced) for one text."""
     text, pattern = f"`{text_col}`", _quoted(_ANY)
-    replaced = f"transform(m, x -> {_Sql(key, inverse).pseudonym()})"
-    joined = f"array_join(zip_with(split({text}, {pattern}, -1), r, (a, b) -> concat(a, coalesce(b, ''))), '')"
+    replaced = f"transform(m, (x, q) -> {_Sql(key, inverse).pseudonym()})"
+    joined = "array_join(zip_with(p, r, (a, b) -> concat(a, coalesce(b, ''))), '')"
     counted = "cast(size(filter(zip_with(m, r, (a, b) -> a <> b), c -> c)) AS bigint)"
-    some = let(replaced, "r", f"named_struct('text', {joined}, 'n_replaced', {counted})")
+    some = let(f"split({text}, {pattern}, -1)", "p", let(replaced, "r", f"named_struct('text', {joined}, 'n_replaced', {counted})"))
     return F.expr(let(f"coalesce(regexp_extract_all({text}, {pattern}, 0), array())", "m", f"if(size(m) = 0, named_struct('text', {text}, 'n_replaced', 0L), {some})"))
 
 
