@@ -6,7 +6,10 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from unitscope.operators import alignments as A
+from unitscope.operators import calibrate
 from unitscope.plans import registry as queries
 from unitscope.plans.views import view
 
@@ -52,3 +55,19 @@ def test_audit_judges_all_members(spark):
     assert judged & stop and {u for u, x in final.items() if x == ("DROP", "internal_stop")} == judged & stop
     summary = {r["item"]: r["n"] for r in queries.QUERIES["f33_audit_summary_all"](spark, DATA).collect()}
     assert summary["total"] == len(members) and summary["drop:internal_stop"] == len(judged & stop)
+
+
+def test_pool_numbers_all_rows(spark):
+    """More rows than the bounded pool holds: each has its place in one order, which begins with the bounded pool."""
+    rows = spark.range(30000).select("id", (F.col("id") * 7 % 30011 + 0.5).alias("energy"))
+    got = calibrate.numbered_rows(rows, ["id"], "energy", 11).orderBy("idx").collect()
+    assert [r["idx"] for r in got] == list(range(30000)) and {r["pool_n"] for r in got} == {30000}
+    assert sorted(r["energy"] for r in got) == sorted(r["energy"] for r in rows.collect())
+    first = calibrate.numbered_pool(rows, ["id"], "energy", 500, 11).orderBy("idx").collect()
+    assert [r["energy"] for r in first] == [r["energy"] for r in got[:500]]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_null_of_999(spark):
+    p = [r["p_value"] for r in queries.QUERIES["flagship_all"](spark, DATA).collect()]
+    assert p and all(round(x * 1000, 6) == round(x * 1000) for x in p) and any(round(x * 1000) % 50 for x in p)

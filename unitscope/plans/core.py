@@ -10,6 +10,8 @@ from unitscope.plans.views import view, with_views
 
 FEATURES = ["f1", "f2"]
 POOL_ROWS, REPLICATES, SEED = 20000, 19, 11
+#: As in the reference, for flagship_all; the other queries keep those of their SQL.
+ALL_REPLICATES = 999
 _KEY = ["unit_id", "l_orderkey", "l_linenumber", "l_partkey"]
 
 
@@ -39,6 +41,16 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _results(spark, sf_dir).select("unit_id", "n_sites", F.round("D", 6).alias("D"), F.round("p_value", 6).alias("p_value"), F.round("q_value", 6).alias("q_value")).orderBy("q_value", "unit_id")
 
 
+def flagship_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As flagship, against ALL_REPLICATES draws from the energies of all rows."""
+    scored, _ = _scored(spark, sf_dir)
+    units = energy.dispersion(scored, "unit_id")
+    null = calibrate.resampled_null(spark, units, calibrate.numbered_rows(scored, _KEY, "energy", SEED), "unit_id", "n_sites", ALL_REPLICATES, SEED)
+    # Kept, as in _results.
+    ranked = fdr.benjamini_hochberg(calibrate.rank_p_values(units, null, "unit_id").cache())
+    return ranked.select("unit_id", "n_sites", F.round("D", 6).alias("D"), F.round("p_value", 6).alias("p_value"), F.round("q_value", 6).alias("q_value")).orderBy("q_value", "unit_id")
+
+
 def d3_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = energy.moments(view(spark, sf_dir, "sites"), ["f1", "f2", "f3", "f4"])
     return row.select("n", *(F.round(c, 4).alias(c) for c in row.columns[1:]))
@@ -181,10 +193,11 @@ rk AS (SELECT {keys} p, sum(c) OVER (PARTITION BY {on} ORDER BY p) AS r, sum(c)
 bh AS (SELECT {keys} p, least(1.0, min(p * n / r) OVER (PARTITION BY {on} ORDER BY p DESC)) AS q FROM rk)"""
 
 
-QUERIES = {f.__name__: f for f in (flagship, d3_moments, d4_training_sample, d5_energy, d5_array_energy, d6_gradient, d7_dispersion, d8_index, d9_rank_p, d10_two_sided_p, d11_gaussian_null, d12_resampled_null, d13_shared_null, d14_batch_scores, d15_error_rates, e1_benjamini_hochberg, e2_scoped_q, e3_grouped_q, f39_recompute_audit)}
+QUERIES = {f.__name__: f for f in (flagship, flagship_all, d3_moments, d4_training_sample, d5_energy, d5_array_energy, d6_gradient, d7_dispersion, d8_index, d9_rank_p, d10_two_sided_p, d11_gaussian_null, d12_resampled_null, d13_shared_null, d14_batch_scores, d15_error_rates, e1_benjamini_hochberg, e2_scoped_q, e3_grouped_q, f39_recompute_audit)}
 _PAIRS = [(f"f{i}", f"f{j}") for i in range(1, 5) for j in range(i, 5)]
 ORACLE = {
     "flagship": _FLAGSHIP,
+    "flagship_all": _FLAGSHIP.replace(f" LIMIT {POOL_ROWS}", "").replace(f"range({REPLICATES})", f"range({ALL_REPLICATES})"),
     "d3_moments": with_views("sites") + "SELECT count(*) AS n, " + ", ".join(f"round(avg(f{i}), 4) AS avg_f{i}" for i in range(1, 5)) + ", " + ", ".join(f"round(covar_samp({a}, {b}), 4) AS cov_{a}_{b}" for a, b in _PAIRS) + " FROM sites",
     "d4_training_sample": with_views("sites") + f"SELECT DISTINCT {', '.join(_KEY)} FROM sites ORDER BY md5(concat_ws('|', '7', {', '.join(_KEY)})), {', '.join(_KEY)} LIMIT 1000",
     "d5_energy": _CORE + f"SELECT {', '.join(_KEY)}, round(energy, 6) AS energy FROM scored",
