@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from unitscope.llm import decontaminate, minhash, pii, quality, viterbi
+from unitscope.llm.durable import shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +26,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with pseudonyms in place of personal data."""
-    return pii.pseudonymise(docs)
+    """Documents with pseudonyms in place of personal data, by the key that the session sets."""
+    return pii.pseudonymise(docs, key=spark.conf.get("spark.unitscope.pii.key", pii.DEMO_KEY))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +42,15 @@ STAGES = [
     ("PII pseudonyms", pseudonyms),
     ("SentencePiece encoding", token_ids),
 ]
-#: Tilings, near-duplicate components and segmentations are not SQL; tests hold the stages against brute force.
+#: Tilings, near-duplicate components and segmentations are not SQL; tests/llm holds each stage against a brute-force version of its own.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What the stages before it kept is written to a new folder in the shared one, which its owner clears."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}")
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
