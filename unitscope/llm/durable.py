@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-import gc
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset, as in tests, a new one below spark.local.dir or the temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir, or else the one that the application has set.
+
+    Without either, a session on one machine takes a new temporary folder; a cluster has none that its executors could
+    all read, so there it is an error."""
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-", dir=context.getConf().get("spark.local.dir", None) or os.environ.get("TMPDIR"))
+        if not re.match(r"local($|\[)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-", dir=context.getConf().get("spark.local.dir", None) or os.environ.get("TMPDIR"))
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -23,12 +28,4 @@ def shared_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """The same rows, stored in the shared folder: a later loss of executors recomputes nothing before this point."""
     shared_folder(df.sparkSession)
-    stored = df.checkpoint(eager=True)
-    release(df.sparkSession)
-    return stored
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files and checkpoints that no DataFrame needs any more, which it does once the driver has collected its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return df.checkpoint(eager=True)

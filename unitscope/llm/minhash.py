@@ -5,9 +5,9 @@ key is a pair of one tuple from either collection, so TUPLES**2 tables of 2 * RO
 2 * TUPLES * ROWS minima. Two documents meet in a table if they agree in one tuple of both
 collections; at a similarity of 0.75 they fail to with a chance of 1e-4, above it with less.
 
-Documents with the same shingle set are folded into a class first, whose smallest doc_id stands for
-it, so copies never make pairs. In each bucket all members are held against the smallest. Buckets that
-still hold different components after that are open: every pair of candidates from different
+Documents with the same shingle set are folded into a class first, which one of them stands for (that of
+the smallest id), so copies never make pairs. In each bucket all members are held against the smallest.
+Buckets that still hold different components after that are open: every pair of candidates from different
 components is compared there, unless a bound excludes it: the shingles of a set that stand in no other
 open set cannot be in an intersection. These comparisons run inside tasks over pairs of blocks of
 BLOCK_ROWS members of one tuple, and only links leave them, so no group's pairs are ever rows. A pair
@@ -15,19 +15,22 @@ is compared under the first tuple it shares. So every pair of candidates is comp
 or excluded by the bound.
 A candidate becomes a link only by comparing the full shingle sets of its texts.
 
-Null, empty and blank texts have an empty set and are linked with nothing. Rows that repeat a doc_id
-count as one node with all their texts. Rows with a null doc_id cannot name a component: they are
-linked by equal sets only, their component is the smallest doc_id with that set, or null.
+Each row is judged by its own text: ids may have any type that can be ordered, may be null (then the row
+links others but names no component, and where no row of a component has an id it has none) and may
+repeat (rows of one id with different texts are different documents). Null, empty and blank texts have an
+empty set and are linked with nothing. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from unitscope.llm.components import components
 from unitscope.llm.durable import durable
@@ -40,14 +43,16 @@ SIMILARITY = (75, 100)
 BLOCK_ROWS = 1024
 BLOCK_BYTES = 8 << 20
 
-_SIGNATURE = "id long, n_shingles long, set_a long, set_b long, tuples_a array<long>, tuples_b array<long>"
+_SIGNED = "n_shingles long, set_a long, set_b long, tuples_a array<long>, tuples_b array<long>"
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In place of the last column, a text, what _SIGNED names."""
     minima = seeds(2 * ROWS * TUPLES, 11)
     place = seeds(ROWS, 12)
     for batch in batches:
-        for first, end, data, offsets in chunks(batch.column(1)):
+        kept, names = batch.columns[:-1], batch.schema.names[:-1]
+        for first, end, data, offsets in chunks(batch.column(batch.num_columns - 1)):
             hashes, starts, _, _ = words(data, offsets)
             runs, at = shingles(hashes, starts)
             n = end - first
@@ -66,15 +71,47 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         tuples[t, full] += np.minimum.reduceat(runs * minima[t * ROWS + r], cut) * place[r]
             tuples = mix(tuples).view(np.int64)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * TUPLES), pa.array(np.ascontiguousarray(half.T).ravel())) for half in (tuples[:TUPLES], tuples[TUPLES:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, n), pa.array(sizes), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), *lists],
-                names=["id", "n_shingles", "set_a", "set_b", "tuples_a", "tuples_b"],
-            )
+            signed = [pa.array(sizes), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), *lists]
+            yield pa.RecordBatch.from_arrays([c.slice(first, n) for c in kept] + signed, names=[*names, *(f.split()[0] for f in _SIGNED.split(", "))])
+
+
+def _text_key(text_col: str) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.octet_length(text_col), F.col(text_col))
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, set size, a 128-bit digest of the shingle set and the two collections of tuples."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_signatures, _SIGNATURE)
+    """One row per row of docs: id, a hash of its text, set size, a 128-bit digest of the shingle set and the two collections of tuples."""
+    rows = docs.select(F.col(id_col).alias("id"), _text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    signed = StructType(rows.schema.fields[:2] + [StructField(f.name, f.dataType) for f in StructType.fromDDL(_SIGNED)])
+    return rows.mapInArrow(_signatures, signed)
+
+
+def classes(signed: DataFrame) -> DataFrame:
+    """(node, set_a, set_b, n, tuples_a, tuples_b, low) per distinct shingle set: a number for it and its smallest (no_id, id, text_key)."""
+    key = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")
+    # The size and the tuples follow from the set.
+    folded = signed.filter("n_shingles > 0").groupBy("set_a", "set_b", F.col("n_shingles").alias("n"), "tuples_a", "tuples_b").agg(F.min(key).alias("low"))
+    return durable(folded.withColumn("node", F.monotonically_increasing_id()))
+
+
+def buckets(sets: DataFrame) -> DataFrame:
+    """(key, node, low) of the table buckets with two members or more, and the smallest of each. A pair of tuples can only collide where both tuples do, so only those are paired."""
+    own = sets.select("node", F.posexplode(F.concat("tuples_a", "tuples_b")).alias("place", "value"))
+    shared = own.groupBy("place", "value").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    # At most 2 * TUPLES to a node.
+    left = own.join(shared, ["place", "value"], "left_semi").groupBy("node").agg(F.collect_list(F.struct("place", F.xxhash64("place", "value").alias("h"))).alias("t"))
+    pairs = F.expr(f"flatten(transform(filter(t, l -> l.place < {TUPLES}), l -> transform(filter(t, r -> r.place >= {TUPLES}), r -> xxhash64(l.h, r.h))))")
+    keyed = left.select("node", F.explode(pairs).alias("key"))
+    lead = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").drop("high")
+    return keyed.join(lead, "key")
+
+
+def once(docs: DataFrame, id_col: str, text_col: str, *columns: Column) -> DataFrame:
+    """(id, text_key) and the columns of the rows of docs that have words, rows that repeat id and text once; they are dropped before they are moved."""
+    rows = docs.filter(F.rlike(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]"))).select(F.col(id_col).alias("id"), _text_key(text_col).alias("text_key"), *columns)
+    window = Window.partitionBy("id", "text_key").orderBy("text_key")
+    return rows.withColumn("copy", F.row_number().over(window)).filter("copy = 1").drop("copy")
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,61 +133,44 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts' full shingle sets are similar enough."""
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long").distinct()
-
-
-def _colliding(representatives: DataFrame, column: str) -> DataFrame:
-    """(id, place, value) of the tuples that two or more representatives share."""
-    own = representatives.select("id", F.posexplode(column).alias("place", "value"))
-    shared = own.groupBy("place", "value").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return own.join(shared, ["place", "value"], "left_semi")
-
-
-def buckets(representatives: DataFrame) -> DataFrame:
-    """(key, id) of the table buckets with two members or more. A pair of tuples can only collide where both tuples do, so only those are paired."""
-    left = _colliding(representatives, "tuples_a").select("id", F.xxhash64("place", "value").alias("l"))
-    right = _colliding(representatives, "tuples_b").select("id", F.xxhash64("place", "value").alias("r"))
-    keyed = left.join(right, "id").select("id", F.xxhash64("l", "r").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    return keyed.join(shared.select("key"), "key", "left_semi")
+    """The distinct pairs (a, b) of nodes whose texts' full shingle sets are similar enough."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long")
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        nodes = batch.column(0).to_numpy(zero_copy_only=False)
         for first, end, data, offsets in chunks(batch.column(1), 1 << 20):
             runs, at = shingles(*words(data, offsets)[:2])
-            own = [np.unique(runs[at[i] : at[i + 1]]) for i in range(end - first)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[first:end], [len(x) for x in own])), pa.array(np.concatenate(own).view(np.int64))], names=["id", "shingle"])
+            own = [np.unique(runs[low:high]) for low, high in pairwise(at)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[first:end], [len(x) for x in own])), pa.array(np.concatenate(own).view(np.int64))], names=["node", "shingle"])
 
 
-def _bounds(texts: DataFrame) -> DataFrame:
-    """(id, n, shared): set size and how many of its shingles any other id has too, of ids that can have a link at all."""
+def bounded(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of the open nodes (node, n) those that can have a link among them at all, with shared: how many of a set's shingles any other open set has."""
     part, whole = SIMILARITY
-    rows = texts.mapInArrow(_shingle_rows, "id long, shingle long").distinct()
-    own = rows.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("high")).filter("id = high").groupBy("id").agg(F.count("*").alias("alone"))
-    sizes = rows.groupBy("id").agg(F.count("*").alias("n"))
-    return sizes.join(own, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")).filter(whole * F.col("shared") >= part * F.col("n"))
+    rows = texts.join(open_.select("node"), "node", "left_semi").mapInArrow(_shingle_rows, "node long, shingle long")
+    alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("high")).filter("node = high").groupBy("node").agg(F.count("*").alias("alone"))
+    held = open_.join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    return held.filter(whole * F.col("shared") >= part * F.col("n"))
 
 
-def _crossing(members: DataFrame, component: DataFrame) -> DataFrame:
-    """(key, id, component) of the buckets that still hold different components."""
-    placed = members.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    return placed.join(mixed.select("key"), "key", "left_semi")
+def _crossing(members: DataFrame) -> DataFrame:
+    """Of (key, node, component, …) the rows of buckets that hold different components."""
+    mixed = members.groupBy("key").agg(F.min("component").alias("lowest"), F.max("component").alias("highest")).filter("lowest < highest")
+    return members.join(mixed.select("key"), "key", "left_semi")
 
 
 def _block_links(place: int, sides: np.ndarray, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The linked pairs of candidates from different components between two blocks, or within one, of the members of one tuple."""
     part, whole = SIMILARITY
-    ids, component, n, shared = (table[c].to_numpy() for c in ("id", "component", "n", "shared"))
+    ids, component, n, shared = (table[c].to_numpy() for c in ("node", "component", "n", "shared"))
     left, right = (table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), TUPLES) for c in ("tuples_a", "tuples_b"))
     sets: list[np.ndarray] = []
-    for first, end, data, offsets in chunks(table["text"]):
+    for _, _, data, offsets in chunks(table["text"]):
         runs, at = shingles(*words(data, offsets)[:2])
-        sets += [np.unique(runs[at[i] : at[i + 1]]) for i in range(end - first)]
+        sets += [np.unique(runs[low:high]) for low, high in pairwise(at)]
     starts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
     every, code = np.unique(np.concatenate(sets), return_inverse=True)
     held = np.zeros(len(every), bool)
@@ -176,90 +196,68 @@ def _blocks(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def open_links(open_: DataFrame, representatives: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links (a, b) between different components of open_ (id, component, n, shared) that share a tuple of either collection."""
-    members = open_.join(representatives, "id").join(texts, "id").withColumn("bytes", F.octet_length("text"))
-    keyed = members.select("id", "component", "bytes", F.posexplode("tuples_a").alias("place", "value"))
+def open_links(members: DataFrame) -> DataFrame:
+    """The links (a, b) between different components of members (node, component, n, shared, tuples_a, tuples_b, text) that share a tuple of either collection."""
+    keyed = members.select("node", "component", F.octet_length("text").alias("bytes"), F.posexplode("tuples_a").alias("place", "value"))
     groups = keyed.groupBy("place", "value").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("component").alias("lowest"), F.max("component").alias("highest")).filter("lowest < highest")
     blocks = groups.select("place", "value", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = keyed.join(blocks, ["place", "value"]).withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) AS int)"))
-    dealt = dealt.select("id", "place", "value", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    paired = dealt.select("id", "place", "value", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    full = paired.join(members.drop("bytes"), "id")
-    return full.groupBy("place", "value", "low", "high").applyInArrow(_blocks, "a long, b long").distinct()
-
-
-def links(representatives: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component) of the linked representatives (id, tuples_a, tuples_b)."""
-    members = durable(buckets(representatives))
-    texts = durable(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(members.select("id").distinct(), "id", "left_semi"))
-    lead = members.groupBy("key").agg(F.min("id").alias("a"))
-    stars = members.join(lead, "key").filter("a < id").select("a", F.col("id").alias("b")).distinct()
-    found = durable(confirm(stars, texts))
+    dealt = keyed.join(blocks, ["place", "value"]).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) AS int)"))
+    dealt = dealt.select("node", "place", "value", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    paired = dealt.select("node", "place", "value", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return paired.join(members, "node").groupBy("place", "value", "low", "high").applyInArrow(_blocks, "a long, b long")
+
+
+def links(sets: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component) of the nodes of classes that are linked with another."""
+    members = durable(buckets(sets))
+    stand = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", "low.id", "low.text_key")
+    rows = once(docs, id_col, text_col, F.col(text_col).alias("text"))
+    # Ids may be null.
+    texts = durable(rows.join(stand, rows["id"].eqNullSafe(stand["id"]) & (rows["text_key"] == stand["text_key"])).select("node", "text"))
+    found = durable(confirm(members.filter("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), texts))
     component = components(found)
     # Bounds hold against the other open members; without those that they exclude, more may be excluded.
-    keys, bounds = members, None
+    placed = members.select("key", "node").join(component.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = sets.select("node", "n")
     for _ in range(2):
-        crossing = durable(_crossing(keys, component))
-        keys = crossing.select("key", "id")
-        bounds = durable(_bounds(texts.join(keys.select("id").distinct(), "id", "left_semi")))
-        keys = keys.join(bounds, "id", "left_semi")
-    open_ = _crossing(keys, component).select("id", "component").distinct().join(bounds, "id")
-    further = durable(open_links(durable(open_), representatives, texts))
-    return components(found.unionByName(further))
+        crossing = durable(_crossing(placed))
+        if crossing.isEmpty():
+            return component
+        open_ = durable(bounded(crossing.select("node", "component").distinct().join(sizes, "node"), texts))
+        placed = crossing.join(open_.select("node"), "node", "left_semi")
+    left = _crossing(placed).select("node").distinct()
+    full = open_.join(left, "node", "left_semi").join(sets.select("node", "tuples_a", "tuples_b"), "node").join(texts, "node")
+    further = durable(open_links(durable(full)))
+    if further.isEmpty():
+        return component
+    # A component's node stands for all of its own, which have a link to it.
+    return components(durable(further.unionByName(component.filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")))))
+
+
+def components_of(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The classes of signed rows, (node, set_a, set_b, low, root), and per root its smallest (no_id, id, text_key), lowest."""
+    sets = classes(signed)
+    linked = links(sets, docs, id_col, text_col).withColumnsRenamed({"id": "node", "component": "root"})
+    rooted = sets.select("node", "set_a", "set_b", "low").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rooted, rooted.groupBy("root").agg(F.min("low").alias("lowest"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, set_a, set_b) per row of docs; kept holds for the smallest doc_id of each component."""
+    """(doc_id, n_shingles, component_id, kept) per row of docs: the smallest id of its component, itself included, and whether it is that. Both ids of a row without words are its own."""
     signed = durable(signatures(docs, id_col, text_col))
-    full = signed.filter("n_shingles > 0 AND id IS NOT NULL")
-    classes = full.groupBy("set_a", "set_b").agg(F.min("id").alias("low"))
-    representatives = full.join(classes, ["set_a", "set_b"]).filter("id = low").select("id", "tuples_a", "tuples_b").dropDuplicates(["id", "tuples_a"])
-    component = links(representatives, docs, id_col, text_col)
-    # A doc_id with several texts stands in several classes, all of one node.
-    nodes = classes.join(component.withColumnRenamed("id", "low"), "low", "left").select("set_a", "set_b", F.coalesce("component", "low").alias("node"))
-    many = full.groupBy("id").agg(F.countDistinct("set_a", "set_b").alias("n")).filter("n > 1").select("id")
-    placed = signed.select("id", "n_shingles", "set_a", "set_b").join(nodes, ["set_a", "set_b"], "left")
-    joined = components(
-        placed.join(many, "id", "left_semi").filter("n_shingles > 0").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    ).select(F.col("id").alias("node"), F.col("component").alias("further"))
-    out = placed.join(joined, "node", "left")
-    lowest = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.coalesce("further", "node"))
-    return out.select(
-        F.col("id").alias("doc_id"), "n_shingles", lowest.alias("component_id"), F.coalesce(F.col("id") == lowest, F.lit(False)).alias("kept"), "set_a", "set_b"
-    )
+    rooted, lowest = components_of(docs, signed, id_col, text_col)
+    named = rooted.join(lowest, "root").select("set_a", "set_b", F.col("lowest.id").alias("component_id"))
+    out = signed.select("id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near copies: of each component the rows of its smallest doc_id, of which one stays where rows repeat it. Rows without an id stay once per shingle set that no row with an id has; texts without words all stay."""
-    judged = near_duplicates(docs, id_col, text_col)
-    ids = judged.filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.join(ids, F.col(id_col).cast("long") == F.col("_kept_id"), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(F.length(text_col).desc(), F.xxhash64(text_col))
-    named = named.withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row")
-    return named.unionByName(_unnamed(docs, judged, id_col, text_col))
-
-
-def _unnamed(docs: DataFrame, judged: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    nameless = docs.filter(F.col(id_col).isNull())
-    taken = judged.filter("doc_id IS NOT NULL AND n_shingles > 0").select("set_a", "set_b").distinct()
-    text_key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    if not nameless.select(F.lit(1)).take(1):
-        return nameless
-    keyed = nameless.withColumn("_text", text_key)
-    texts = keyed.groupBy("_text").agg(F.first(text_col, True).alias("text"))
-    digests = texts.mapInArrow(_digests, "_text string, n_shingles long, set_a long, set_b long")
-    free = digests.join(taken, ["set_a", "set_b"], "left_anti")
-    once = free.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("_text").alias("_text")).select("_text").unionByName(free.filter("n_shingles = 0").select("_text"))
-    one = keyed.join(once, "_text", "left_semi")
-    order = Window.partitionBy("_text").orderBy(F.length(text_col))
-    return one.withColumn("_row", F.row_number().over(order)).filter((F.col("_row") == 1) | ~F.rlike(F.coalesce(text_col, F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))).drop("_row", "_text")
-
-
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = pa.array(np.zeros(batch.num_rows, np.int64))
-        start = 0
-        for signed in _signatures(iter([pa.RecordBatch.from_arrays([ids, batch.column(1)], names=["id", "text"])])):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, signed.num_rows), *signed.columns[1:4]], names=["_text", "n_shingles", "set_a", "set_b"])
-            start += signed.num_rows
+    """docs without near copies: of each component one row, of its smallest id; rows without words all stay, and so do all columns."""
+    _, lowest = components_of(docs, durable(signatures(docs, id_col, text_col)), id_col, text_col)
+    kept = lowest.select("lowest.id", "lowest.text_key")
+    quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    rows = once(docs, id_col, text_col, F.struct(*quoted).alias("row"))
+    stay = rows.join(kept, rows["id"].eqNullSafe(kept["id"]) & (rows["text_key"] == kept["text_key"]), "left_semi").select("row.*")
+    blank = docs.filter(~F.coalesce(F.rlike(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)))
+    return stay.unionByName(blank)
