@@ -5,7 +5,9 @@ calendar dates are found by pattern, validated, and replaced by a keyed permutat
 their kind and format: a Feistel network that adds a keyed hash of one part to the other, modulo the
 number of values of that part, for ROUNDS rounds. So a valid value becomes another valid value in the
 same layout, equal values become equal values in every document, no two values become the same, and
-who has the key can invert it (`inverse`). E-mail addresses and secrets after words like "token =" have
+who has the key can invert it (`inverse`). Where only some of a network's values have the layout, the
+permutation is repeated until it meets one of them (cycle walking): dates of month and day stay such
+dates, years stay between 0001 and 9999, and addresses with leading zeros keep them. E-mail addresses and secrets after words like "token =" have
 no such format; they become keyed hashes, equal for equal values.
 
 A card may stand in a longer run of digit groups, before or after other numbers: every stretch of 13 to 19
@@ -19,14 +21,17 @@ stay null, empty ones empty; repeated rows are treated alike. All is one express
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitscope.llm.quality import let
 
 ROUNDS = 10
-#: For tests and demonstrations; a deployment passes its own secret.
+#: For tests and for sessions that set no KEY_SETTING; whoever knows the key can invert the pseudonyms.
 DEMO_KEY = "unitscope demonstration key"
+KEY_SETTING = "spark.unitscope.pii.key"
 
 _SECRET = r"(?i:token|secret|password|passwd|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 #: What a further group of digits may not begin, since it is of another kind.
@@ -35,8 +40,9 @@ _DASHED = r"(?:\d{4}-\d{2}-\d{2}|\d{3}-\d{2}-\d{4}|\d{3}-\d{3}-\d{4})(?![\d-])"
 
 #: Patterns of candidates by kind, tried in this order at each place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
-    "secret": rf"(?<={_SECRET})[A-Za-z0-9_+/-]{{16,}}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
+    # What can be seen at the place itself is tried before the words that stand before it.
+    "secret": rf"(?<=[=:\s\"'])(?=[A-Za-z0-9_+/-]{{16}})(?<={_SECRET})[A-Za-z0-9_+/-]{{16,}}",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
     "date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/.])\d{2}([/.])\d{2}\1\d{4}(?![\d/])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -45,6 +51,8 @@ PATTERNS = {
     "card": rf"(?<![\dA-Za-z+])(?=\d(?:[ -]?\d){{12}})\d++(?![A-Za-z])(?:(?: (?!{_DASHED}|{_SLASHED})|-(?!{_SLASHED}))\d++(?![A-Za-z]))*+",
 }
 _EPOCH, _CYCLE = "DATE'1700-01-01'", 146097
+#: Steps of a walk at most: of random permutations not one value in 10**18 needs more.
+WALK = 512
 
 
 def _quoted(text: str) -> str:
@@ -106,17 +114,30 @@ class _Sql:
         made = "concat(lpad(cast(f.l div 99 + 1 + if(f.l div 99 + 1 >= 666, 1, 0) AS string), 3, '0'), lpad(cast(f.l % 99 + 1 AS string), 2, '0'), lpad(cast(f.r + 1 AS string), 4, '0'))"
         return f"if({valid}, {self.laid(let(self.feistel(place, f'{serial} - 1', str(898 * 99), '9999', "'ssn'"), 'f', made))}, x)"
 
+    @staticmethod
+    def walk(first: str, step: Callable[[str], str], able: Callable[[str], str]) -> str:
+        """The first of step(first), step(step(first)), ... that is able."""
+        further = f"aggregate(sequence(1, {WALK}), y, (v, turn) -> if({able('v')}, v, {step('v')}))"
+        return let(step(first), "y", f"if({able('y')}, y, {further})")
+
     def ip(self) -> str:
-        made = "concat_ws('.', f.l div 256, f.l % 256, f.r div 256, f.r % 256)"
-        permuted = let(self.feistel("o[0] * 256 + o[1]", "o[2] * 256 + o[3]", "65536", "65536", "'ip'"), "f", made)
-        return let("transform(split(x, '[.]'), p -> cast(p AS int))", "o", f"if(array_max(o) <= 255, {permuted}, x)")
+        """Either without leading zeros or, with one at least, three digits to each part."""
+        padded = f"concat_ws('.', {', '.join(f'lpad(cast({part} AS string), 3, chr(48))' for part in ('f.l div 256', 'f.l % 256', 'f.r div 256', 'f.r % 256'))})"
+        plain = "concat_ws('.', f.l div 256, f.l % 256, f.r div 256, f.r % 256)"
+        step = lambda v: self.feistel(f"{v}.l", f"{v}.r", "65536", "65536", "'ip'")
+        place = "struct(cast(o[0] * 256 + o[1] AS bigint) AS l, cast(o[2] * 256 + o[3] AS bigint) AS r)"
+        small = lambda v: f"least({v}.l div 256, {v}.l % 256, {v}.r div 256, {v}.r % 256) < 100"
+        zeros = r"x RLIKE '(^|\\.)0[0-9]'"
+        whole = f"CASE WHEN NOT {zeros} THEN {let(step(place), 'f', plain)} WHEN length(x) = 15 THEN {let(self.walk(place, step, small), 'f', padded)} ELSE x END"
+        return let("transform(split(x, '[.]'), p -> cast(p AS int))", "o", f"if(array_max(o) <= 255, {whole}, x)")
 
     def date(self) -> str:
-        """Day first where a date without dashes allows it, else month first."""
+        """Day first where a date without dashes allows it, else month first, which all have days from 13 on."""
         # The dates of a cycle of 400 years are permuted among themselves: 146097 days, 189 times 773.
-        to = f"date_add({_EPOCH}, int(floor(t.days / {_CYCLE}) * {_CYCLE} + f.l * 773 + f.r))"
-        place = f"pmod(t.days, {_CYCLE})"
-        permuted = let(self.feistel(f"{place} div 773", f"{place} % 773", "189", "773", "'date'"), "f", f"date_format({to}, t.format)")
+        step = lambda v: let(self.feistel(f"{v} div 773", f"{v} % 773", "189", "773", "'date'"), "f", "f.l * 773 + f.r")
+        to = lambda v: f"date_add({_EPOCH}, int(floor(t.days / {_CYCLE}) * {_CYCLE} + {v}))"
+        able = lambda v: f"year({to(v)}) BETWEEN 1 AND 9999 AND (t.format <> 'MM/dd/yyyy' OR day({to(v)}) > 12)"
+        permuted = f"date_format({to(self.walk(f'cast(pmod(t.days, {_CYCLE}) AS bigint)', step, able))}, t.format)"
         formats = "if(substr(x, 5, 1) = '-', array('yyyy-MM-dd'), if(substr(x, 3, 1) = '/', array('dd/MM/yyyy', 'MM/dd/yyyy'), array('dd.MM.yyyy')))"
         known = f"filter(transform({formats}, g -> struct(datediff(to_date(try_to_timestamp(x, g)), {_EPOCH}) AS days, g AS format)), t -> t.days IS NOT NULL)"
         return let(known, "k", f"if(size(k) = 0, x, {let('k[0]', 't', permuted)})")
@@ -145,11 +166,12 @@ class _Sql:
         return let("regexp_replace(x, '[^0-9]', '')", "w" if kind == "card" else "d", sql) if kind in ("card", "phone", "ssn") else sql
 
 
-#: One pattern; the back-reference of dates counts its groups from 1, and no other pattern has any.
-_ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: One pattern; the back-reference of dates counts its groups from 1, and no other pattern has any. Those of numbers all begin with one of a few characters.
+_WORDS, _NUMBERS = ("email", "secret"), ("ip", "date", "ssn", "phone", "card")
+_ANY = "|".join(f"(?:{PATTERNS[kind]})" for kind in _WORDS) + "|(?=[0-9+(])(?:" + "|".join(f"(?:{PATTERNS[kind]})" for kind in _NUMBERS) + ")"
 
 
-def pseudonymised(text_col: str = "text", key: str = DEMO_KEY, inverse: bool = False) -> Column:
+def pseudonymised(text_col: str, key: str, inverse: bool = False) -> Column:
     """A struct (text, n_replaced) for one text."""
     text, pattern = f"`{text_col}`", _quoted(_ANY)
     replaced = f"transform(m, (x, q) -> {_Sql(key, inverse).pseudonym()})"
@@ -159,12 +181,17 @@ def pseudonymised(text_col: str = "text", key: str = DEMO_KEY, inverse: bool = F
     return F.expr(let(f"coalesce(regexp_extract_all({text}, {pattern}, 0), array())", "m", f"if(size(m) = 0, named_struct('text', {text}, 'n_replaced', 0L), {some})"))
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = DEMO_KEY, inverse: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inverse: bool = False) -> DataFrame:
     """docs with their texts pseudonymised; all columns stay."""
     return docs.withColumn(text_col, pseudonymised(text_col, key, inverse)["text"])
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = DEMO_KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key that the session sets, for registered queries."""
+    return spark.conf.get(KEY_SETTING, DEMO_KEY)
+
+
+def report(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_replaced) per row of docs."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.select("doc_id", pseudonymised("text", key).alias("p")).select("doc_id", "p.text", "p.n_replaced")

@@ -33,7 +33,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(_documents(spark, sf_dir))
+    return pii.report(_documents(spark, sf_dir), pii.session_key(spark))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
