@@ -7,10 +7,12 @@ their trie depth-first: a word keeps the forward scores of the prefix that it sh
 before it and only computes the rest. Segmented words are kept for later batches of a task, up to
 MEMO_WORDS; after that they are forgotten and computed anew where they occur.
 
-The one public model is a BPE model, whose scores are ranks and not log-probabilities. A piece's
-score here is that of a Zipf law over its rank, -round(64 * log2(2 + rank)); whole numbers make sums
-exact. A character outside all pieces becomes its UTF-8 bytes and costs UNKNOWN_COST more than the
-worst piece. Decoding joins pieces and bytes again; it returns the text itself, save that a literal
+A unigram model's pieces have its own scores, and a character outside all pieces costs UNKNOWN_UNIGRAM
+more than the worst of them, as in the library. The one public model is a BPE model, whose scores are ranks
+and not log-probabilities. A piece's score then is that of a Zipf law over its rank, -round(64 * log2(2 + rank));
+whole numbers make sums exact; an unknown character costs UNKNOWN_COST more than the worst piece. Such ids
+decode to their texts but are not those that the library gives with that model. An unknown character becomes
+its UTF-8 bytes. Decoding joins pieces and bytes again; it returns the text itself, save that a literal
 mark U+2581 comes back as a space.
 
 Null texts have null ids, empty ones none; null ids decode to null. Repeated rows are treated alike.
@@ -28,20 +30,32 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from unitscope.llm.tokencount import _processor, apart, default_model, pretokens, split
 
 UNKNOWN_COST = 640
+UNKNOWN_UNIGRAM = 10
+SLICE = 1 << 20
 MEMO_WORDS = 300_000
 _MARK = "▁"
 
 
+def _is_unigram(model: str) -> bool:
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(model, "rb") as file:
+        proto.ParseFromString(file.read())
+    return proto.trainer_spec.model_type == proto.trainer_spec.UNIGRAM
+
+
 class Pieces:
     """Pieces of a model, with spaces for its marks: ids and scores by string, and bytes by id."""
 
     def __init__(self, model: str) -> None:
-        processor = _processor(model)
-        self.scores: dict[str, tuple[int, int]] = {}
+        processor, own_scores = _processor(model), _is_unigram(model)
+        self.scores: dict[str, tuple[float, int]] = {}
         bytes_of: list[bytes] = []
         first = None
         for i in range(processor.get_piece_size()):
@@ -52,12 +66,12 @@ class Pieces:
                 bytes_of.append(b"")
             else:
                 first = i if first is None else first
-                self.scores[piece] = (-round(64 * log2(2 + i - first)), i)
+                self.scores[piece] = (processor.get_score(i) if own_scores else -round(64 * log2(2 + i - first)), i)
                 bytes_of.append(piece.encode())
         self.byte_ids = {b[0]: i for i, b in reversed(list(enumerate(bytes_of))) if processor.is_byte(i)}
-        self.unknown = min(score for score, _ in self.scores.values()) - UNKNOWN_COST
+        self.unknown = min(score for score, _ in self.scores.values()) - (UNKNOWN_UNIGRAM if own_scores else UNKNOWN_COST)
         # All ends of pieces: a search backwards from a place stops at the first string that ends no piece.
-        self.ends: dict[str, tuple[int, int] | None] = {piece[k:]: None for piece in self.scores for k in range(len(piece))}
+        self.ends: dict[str, tuple[float, int] | None] = {piece[k:]: None for piece in self.scores for k in range(len(piece))}
         self.ends |= self.scores
         self.flat = np.frombuffer(b"".join(bytes_of), np.uint8)
         self.sizes = np.array([len(b) for b in bytes_of], np.int64)
@@ -169,28 +183,30 @@ def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.Record
 
 
 def encoded(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", model: str | None = None) -> DataFrame:
-    """docs with the ids of each text."""
+    """docs with the ids of each text, in place of a column of that name if there is one."""
     model = model or default_model()
+    docs = docs.drop(ids_col)
     column, names = docs.columns.index(text_col), [*docs.columns, ids_col]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
         for batch in batches:
-            for part in _slices(batch, column, 4 << 20):
+            for part in _slices(batch, column, SLICE):
                 yield pa.RecordBatch.from_arrays([*part.columns, encoder.encode(part.column(column).to_pylist())], names=names)
 
     return docs.mapInArrow(encode, docs.select("*", F.lit(None).cast("array<int>").alias(ids_col)).schema)
 
 
 def decoded(docs: DataFrame, ids_col: str = "token_ids", text_col: str = "decoded", model: str | None = None) -> DataFrame:
-    """docs with the text of each list of ids."""
+    """docs with the text of each list of ids, in place of a column of that name if there is one."""
     model = model or default_model()
+    docs = docs.drop(text_col)
     column, names = docs.columns.index(ids_col), [*docs.columns, text_col]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
         for batch in batches:
-            for part in _slices(batch, column, 1 << 20):
+            for part in _slices(batch, column, SLICE):
                 lists = part.column(column)
                 bounds = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))]).astype(np.int64)
                 texts = pieces.texts(lists.flatten().to_numpy(zero_copy_only=False), bounds)
@@ -200,8 +216,19 @@ def decoded(docs: DataFrame, ids_col: str = "token_ids", text_col: str = "decode
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
-    """(doc_id, token_ids, n_tokens, round_trip) per row of docs; round_trip says whether the ids decode to the text."""
+    """(doc_id, token_ids, n_tokens, round_trip) per row of docs; round_trip says whether the ids decode to the text. Both ways are gone in one task, so that ids and texts need not be moved in between."""
+    model = model or default_model()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    both = decoded(encoded(rows, "text", "token_ids", model), "token_ids", "decoded", model)
-    same = F.col("decoded").eqNullSafe(F.replace(F.col("text"), F.lit(_MARK), F.lit(" ")))
-    return both.select("doc_id", "token_ids", F.coalesce(F.size("token_ids"), F.lit(0)).cast("long").alias("n_tokens"), same.alias("round_trip"))
+    schema = StructType([rows.schema["doc_id"], *StructType.fromDDL("token_ids array<int>, n_tokens long, round_trip boolean")])
+
+    def both_ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(model)
+        for batch in batches:
+            for part in _slices(batch, 1, SLICE):
+                texts = part.column(1).to_pylist()
+                ids = encoder.encode(texts)
+                back = encoder.pieces.texts(ids.values.to_numpy(), ids.offsets.to_numpy())
+                same = [text is None or text.replace(_MARK, " ") == own for text, own in zip(texts, back, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64)), pa.array(same, pa.bool_())], names=schema.names)
+
+    return rows.mapInArrow(both_ways, schema)
