@@ -4,8 +4,10 @@ A text's bytes are cut into windows of WINDOW bytes, the last one padded. Each b
 filters of several widths run over a window, the largest response of each filter is kept, and a dense
 layer with softmax gives the languages' probabilities. A text's are the mean over all its windows,
 weighted by their bytes. The network is trained with numpy on the driver, on WINDOWS_PER_ROW windows
-of at most SAMPLE_ROWS labelled rows; a larger labelled table is sampled by a hash of its texts. All
-texts are then judged in full inside tasks, batch by batch.
+of each of about SAMPLE_ROWS labelled texts. These are dealt evenly over the languages, at least
+LEAST_PER_LANGUAGE to each, and drawn by a hash of the text, so that copies of a text are one; a language
+with fewer texts gives all. Of more than MOST_LANGUAGES languages the most frequent are learned. All texts
+are then judged in full inside tasks, batch by batch.
 
 Null texts, and texts without a letter, are "und" with a score of 0, as is everything when no row is
 labelled. Rows with a null language never train. Repeated rows are judged alike.
@@ -28,6 +30,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 8
 SAMPLE_ROWS = 4000
+LEAST_PER_LANGUAGE = 50
+MOST_LANGUAGES = 1000
 WINDOWS_PER_ROW = 2
 EPOCHS = 6
 UNKNOWN = "und"
@@ -132,16 +136,18 @@ def held_out(id_: Column) -> Column:
 
 
 def fitted(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Network | None:
-    """A network trained on at most about `rows` rows of labelled; None without labels."""
-    known = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND length(text) > 0")
-    total = known.count()
-    if not total:
+    """A network trained on about `rows` texts of labelled; None without labels."""
+    known = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang IS NOT NULL AND length(text) > 0").withColumn("h", F.xxhash64("text", F.lit(1)))
+    distinct = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    if not distinct:
         return None
-    # Evenly by a hash of the text, and a random stretch of each text, so that a window may come from anywhere in it.
-    share = min(1.0, rows / total)
-    taken = known.filter(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * rows)
+    each = max(LEAST_PER_LANGUAGE, rows // len(distinct))
+    # Below its limit lie about `each` of a language's distinct hashes, or all.
+    limits = labelled.sparkSession.createDataFrame([(r["lang"], min(1 << 62, (each << 62) // max(1, r["n"]))) for r in distinct], "lang string, below long")
+    taken = known.join(F.broadcast(limits), "lang").filter(F.pmod("h", F.lit(1 << 62)) < F.col("below"))
+    # A random stretch of each text, so that a window may come from anywhere in it.
     place = F.expr(f"1 + pmod(xxhash64(text, k), greatest(1, length(text) - {WINDOW // 2}))").cast("int")
-    stretches = taken.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(WINDOWS_PER_ROW)))).select("lang", F.substring("text", place, F.lit(WINDOW)).alias("text"))
+    stretches = taken.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(WINDOWS_PER_ROW)))).select("lang", F.substring("text", place, F.lit(WINDOW)).alias("text")).distinct()
     sample = sorted((r["lang"], r["text"]) for r in stretches.collect())
     if not sample:
         return None
