@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from unitscope.llm import pii
 
@@ -15,7 +16,7 @@ SPACED = "4845 1681 1440 7329"
 
 def replaced(spark, texts, **more):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [r["text"] for r in pii.pseudonymise(docs, **more).orderBy("doc_id").collect()]
+    return [r["text"] for r in pii.pseudonymise(docs, pii.DEMO_KEY, **more).orderBy("doc_id").collect()]
 
 
 def luhn_ok(digits):
@@ -59,3 +60,31 @@ def test_secrets_of_digits(spark):
         assert re.fullmatch("token=[0-9A-Fa-f]{16,}", got) and len(got) == len(text) and got != text
         assert got != "token=" + out[-1]
     assert out[4].replace(" ", "") == "token=" + out[-1]
+
+
+def test_all_dates_of_some_years(spark):
+    """No two dates of one layout become the same, all stay dates of their layout and years, and all invert."""
+    days = spark.sql("SELECT explode(flatten(array(sequence(DATE'0001-01-01', DATE'0012-12-31'), sequence(DATE'1968-01-01', DATE'2031-12-31'), sequence(DATE'9990-01-01', DATE'9999-12-31')))) AS d")
+    layouts = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy")
+    dates = days.selectExpr("explode(array(" + ", ".join(f"date_format(d, '{f}')" for f in layouts) + ")) AS text").distinct()
+    made = pii.pseudonymise(dates.withColumn("was", F.col("text")), pii.DEMO_KEY)
+    back = pii.pseudonymise(made.withColumn("made", F.col("text")), pii.DEMO_KEY, inverse=True).cache()
+    n = dates.count()
+    assert n > 100_000 and back.select("made").distinct().count() == n
+    assert back.filter("text <> was").count() == 0
+    month_first = r"'^(0[1-9]|1[0-2])/(1[3-9]|2[0-9]|3[01])/'"
+    assert back.filter(f"(was RLIKE {month_first}) <> (made RLIKE {month_first}) OR length(made) <> 10 OR translate(made, '0123456789', '') <> translate(was, '0123456789', '')").count() == 0
+    back.unpersist()
+
+
+def test_addresses_and_other_numbers_invert(spark):
+    rng = random.Random(8)
+    octets = [[rng.choice((rng.randrange(256), rng.randrange(10))) for _ in range(4)] for _ in range(3000)]
+    texts = [".".join(map(str, o)) for o in octets] + [".".join(f"{p:03d}" for p in o) for o in octets]
+    texts += [f"{rng.randrange(1, 666):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}" for _ in range(500)] + [f"555-{rng.randrange(1000):03d}-{rng.randrange(10000):04d}" for _ in range(500)]
+    texts = sorted(set(texts))
+    made = replaced(spark, texts)
+    assert len(set(made)) == len(texts) and replaced(spark, made, inverse=True) == texts
+    padded = [t for t in texts if re.search(r"\b0\d\d?\.", t)]
+    assert padded and all(re.search(r"(^|\.)0\d", m) for t, m in zip(texts, made, strict=True) if re.search(r"(^|\.)0\d", t) and "-" not in t)
+    assert replaced(spark, ["1.02.3.4", "300.1.1.1"]) == ["1.02.3.4", "300.1.1.1"]
