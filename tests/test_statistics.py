@@ -80,8 +80,8 @@ def test_model_round_trip(spark, tmp_path):
 def test_gaussian_null_is_uniform(spark):
     model = energy.EnergyModel(["a", "b"], [0.0, 0.0], np.eye(2).tolist(), np.eye(2).tolist(), 10)
     sizes = spark.createDataFrame([(40,)], "n_sites int")
-    null = calibrate.gaussian_null(spark, sizes, model, 199, 3)
-    observed = calibrate.gaussian_null(spark, sizes, model, 200, 91)
+    null = calibrate.gaussian_null(sizes, model, 199, 3)
+    observed = calibrate.gaussian_null(sizes, model, 200, 91)
     ps = [r["p_value"] for r in calibrate.rank_p_values(observed, null, "n_sites").collect()]
     assert 0.4 <= np.mean(ps) <= 0.6 and 0.01 <= np.mean(np.array(ps) < 0.05) <= 0.10
     assert null.agg(F.avg("D")).first()[0] == pytest.approx(39 / 40, rel=0.1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from unitscope.operators import compare, diagnostics, energy, sampling, trees
@@ -19,6 +20,8 @@ def test_fasta(spark, tmp_path):
     rows = {(r["unit_id"], r["taxon"]): (r["seq"], r["status"]) for r in T.read_fasta(spark, str(tmp_path / "in")).collect()}
     assert rows[("u1", "a x")] == ("ACGTAC", "OK") and rows[("u1", "b")] == ("ACGTAC", "OK")
     assert rows[("u2", "c")][1] == "MISSING_SEQUENCE" and len(rows) == 4
+    with pytest.raises(ValueError):
+        T.read_fasta(spark, str(tmp_path / "in"), glob="*.none", required=True)
     good = T.read_fasta(spark, str(tmp_path / "in")).filter("status = 'OK'")
     T.write_fasta(good, str(tmp_path / "out"))
     assert "".join(sorted("".join(p.read_text() for p in (tmp_path / "out").rglob("*.txt")))) == "".join(sorted(">a x\nACGTAC\n>b\nACGTAC\n"))
@@ -73,6 +76,10 @@ def test_streams(spark, tmp_path):
         assert T.read_results(spark, store, scoring.RESULTS).count() == wanted
         if wanted == 2:
             data.filter("unit_id >= 2").write.mode("append").parquet(source)
+    data.filter("unit_id = 3").write.mode("append").parquet(source)
+    with pytest.raises(StreamingQueryException, match="scored already"):
+        scoring.score_files(spark, source, "unit_id long, a double, b double", store, check, model, null).awaitTermination()
+    assert T.read_results(spark, store, scoring.RESULTS).count() == 4
     results = spark.createDataFrame([("m", "OK", 1.0), ("m", "OK", 2.0), ("m", "FAIL", 1.0)], "method string, status string, runtime_sec double")
     results.write.parquet(str(tmp_path / "r"))
     scoring.progress_stream(spark, str(tmp_path / "r"), "method string, status string, runtime_sec double", "live", str(tmp_path / "c2")).awaitTermination()

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from unitscope.operators import alignments as A
-from unitscope.operators import calibrate
+from unitscope.operators import calibrate, fdr
 from unitscope.plans import registry as queries
 from unitscope.plans.views import view
 
@@ -57,14 +57,37 @@ def test_audit_judges_all_members(spark):
     assert summary["total"] == len(members) and summary["drop:internal_stop"] == len(judged & stop)
 
 
-def test_pool_numbers_all_rows(spark):
-    """More rows than the bounded pool holds: each has its place in one order, which begins with the bounded pool."""
-    rows = spark.range(30000).select("id", (F.col("id") * 7 % 30011 + 0.5).alias("energy"))
-    got = calibrate.numbered_rows(rows, ["id"], "energy", 11).orderBy("idx").collect()
-    assert [r["idx"] for r in got] == list(range(30000)) and {r["pool_n"] for r in got} == {30000}
-    assert sorted(r["energy"] for r in got) == sorted(r["energy"] for r in rows.collect())
-    first = calibrate.numbered_pool(rows, ["id"], "energy", 500, 11).orderBy("idx").collect()
-    assert [r["energy"] for r in first] == [r["energy"] for r in got[:500]]
+def test_pool_points_stand_for_all_rows(spark):
+    """With more rows than points, every rank is as near to a point as any; with fewer, all values are points, ties included."""
+    rows = spark.range(30000).select((F.col("id") * 7 % 30011 % 9000 + 0.5).alias("energy"))
+    every = sorted(r["energy"] for r in rows.collect())
+    assert calibrate.pool_points(rows, "energy").first()["points"] == every
+    for most in (1, 7, 500, 29999):
+        assert calibrate.pool_points(rows, "energy", most).first()["points"] == [every[j * 30000 // most] for j in range(most)]
+
+
+def test_resampled_null_is_calibrated(spark):
+    """Units drawn from the pool itself, some of more draws than a chunk, have p-values without a trend."""
+    rows = spark.range(120_000).select((F.col("id") % 60).alias("unit_id"), F.pow(F.rand(3), F.lit(2)).alias("energy"))
+    big = spark.range(20_000).select(F.lit(99).cast("long").alias("unit_id"), F.pow(F.rand(4), F.lit(2)).alias("energy"))
+    units = rows.unionByName(big).groupBy("unit_id").agg(F.count("*").alias("n_sites"), F.var_pop("energy").alias("D"))
+    null = calibrate.resampled_null(units, calibrate.pool_points(rows, "energy"), "unit_id", "n_sites", 199, 5)
+    got = calibrate.rank_p_values(units, null, "unit_id").collect()
+    p = [r["p_value"] for r in got]
+    assert len(p) == 61 and {r["null_size"] for r in got} == {199} and 0.4 < sum(p) / len(p) < 0.6 and sum(x < 0.05 for x in p) <= 8
+
+
+def test_ranges_of_any_number(spark):
+    """Ranks range by range are those of one sort, both tails, whatever the sign and size of values."""
+    rows = spark.range(3000).select((F.col("id") % 3).alias("k"), F.expr("(id * 7919 % 1000 - 500) * pow(10D, id % 7 - 3)").alias("D"))
+    null = rows.withColumn("D", F.when(F.col("D") > -1e5, F.col("D") * 0.9)).filter("k < 2")
+    for tail in ("right", "left", "both"):
+        one, split = (sorted(map(tuple, calibrate.rank_p_values(rows, null, "k", tail=tail, split=s).drop("mu0", "sigma0").collect()), key=repr) for s in (False, True))
+        assert one == split and any(r[2] for r in one)
+    p = spark.range(2000).select((F.col("id") % 2).alias("g"), F.pow(F.rand(1), F.lit(9)).alias("p_value")).unionByName(spark.createDataFrame([(0, 0.0), (1, None), (None, 0.5), (None, 1.0)], "g long, p_value double")).cache()
+    few, many = (sorted(map(tuple, fdr.benjamini_hochberg(p, by=["g"], few=f).collect()), key=repr) for f in (True, False))
+    assert few == many and len(few) == 2004
+    p.unpersist()
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")

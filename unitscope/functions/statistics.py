@@ -6,16 +6,41 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 
-def hash_draw(*parts: Column | str | int) -> Column:
-    """A whole number below 2**32 fixed by its parts, the same in every engine with md5."""
+#: Draws are numbers below this prime.
+DRAWS = 2147483647
+#: Multipliers of the parts of a draw's key and of the rounds that mix it: fixed values, any large odd numbers.
+_PART, _ROUND = (48271, 1101520787, 69621), (1103515245, 747796405, 1664525)
+
+
+def hash_key(*parts: Column | str | int) -> Column:
+    """A whole number below 2**28 fixed by its parts, the same in every engine with md5."""
     text = F.concat_ws("|", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
+
+
+def with_draw(rows: DataFrame, name: str, key: str, rep: str, place: str) -> DataFrame:
+    """rows with a number below DRAWS, evenly spread over keys (below 2**28), replicates and places: whole-number arithmetic that any engine has and that stays below 2**63.
+
+    Each round is a column of its own, so that none is computed twice."""
+    out = rows.withColumn(name, F.expr(f"({key} * {_PART[0]}L + {rep} * {_PART[1]}L % {DRAWS}L + {place} * {_PART[2]}L) % {DRAWS}L"))
+    for multiplier in _ROUND:
+        out = out.withColumn(name, F.expr(f"(({name} ^ shiftright({name}, 15)) * {multiplier}L + 12345L) % {DRAWS}L"))
+    return out
+
+
+def drawn_sql(source: str, columns: str, key: str, rep: str, place: str, name: str = "drawn") -> str:
+    """Table expressions for DuckDB that end in `name` (columns, x), the same numbers over the rows of source."""
+    out = [f"{name}_0 AS (SELECT {columns}, ({key} * {_PART[0]} + {rep} * {_PART[1]} % {DRAWS} + ({place}) * {_PART[2]}) % {DRAWS} AS x FROM {source})"]
+    for k, multiplier in enumerate(_ROUND):
+        last = name if k == len(_ROUND) - 1 else f"{name}_{k + 1}"
+        out.append(f"{last} AS (SELECT {columns}, (xor(x, x >> 15) * {multiplier} + 12345) % {DRAWS} AS x FROM {name}_{k})")
+    return ", ".join(out)
 
 
 def finite(column: Column) -> Column:
@@ -41,6 +66,14 @@ def chi2_tail_df2(x: Column) -> Column:
     return F.exp(-F.greatest(x, F.lit(0.0)) / 2)
 
 
+def log_factorial(k: Column) -> Column:
+    """ln k! of whole numbers from 0: from a table below 16, by Stirling's series above, to about 1e-12."""
+    small = F.array(*(F.lit(math.lgamma(i + 1)) for i in range(16)))
+    x = F.greatest(k, F.lit(16)).cast("double")
+    series = x * F.log(x) - x + F.log(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5)))
+    return F.when(k < 16, F.get(small, F.least(k, F.lit(15)).cast("int"))).otherwise(series)
+
+
 def clipped_interval(share: Column, n: Column) -> tuple[Column, Column]:
     """Normal 95 % interval of a share, clipped to [0, 1]."""
     half = 1.96 * F.sqrt(share * (1 - share) / F.greatest(n, F.lit(1)))

@@ -70,7 +70,7 @@ def membership(a: DataFrame, b: DataFrame, unit: str, member: str) -> DataFrame:
 def contains_all(rows: DataFrame, core: DataFrame, unit: str, member: str) -> DataFrame:
     """Units that have every member of a core set."""
     size = core.select(member).distinct().agg(F.count("*").alias("_size"))
-    held = rows.join(F.broadcast(core.select(member).distinct()), member, "left_semi").groupBy(unit).agg(F.count_distinct(member).alias("_n"))
+    held = rows.join(core.select(member).distinct(), member, "left_semi").groupBy(unit).agg(F.count_distinct(member).alias("_n"))
     return held.crossJoin(size).filter("_n = _size").select(unit)
 
 

@@ -1,19 +1,20 @@
 """Calibration diagnostics of p-values: uniformity, null proportions, ranks, quantile tables.
 
-Windows over a whole table run on its distinct values with their counts, which are few for p-values on a grid."""
+Ranks come from the distinct values of a table with their counts, range by range."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unitscope.functions.statistics import beta_quantile, kolmogorov_tail, minus_log10, student_two_sided
+from unitscope.operators.ranges import running
 
 
 def value_counts(rows: DataFrame, value: str) -> DataFrame:
     """(v, c, upto, n): distinct values, their counts, how many rows are at most v, and how many there are."""
     counts = rows.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("c"))
-    return counts.selectExpr("v", "c", "sum(c) OVER (ORDER BY v) AS upto", "sum(c) OVER () AS n")
+    return running(counts, [], "v", "c").select("v", "c", "upto", F.col("total").alias("n"))
 
 
 def storey(rows: DataFrame, p: str) -> DataFrame:
@@ -67,11 +68,10 @@ def spearman(pairs: DataFrame, x: str, y: str, by: list[str] | None = None) -> D
     Ranks come from the distinct values of either side with their counts."""
     by = by or []
     both = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    part = f"PARTITION BY {', '.join(by)} " if by else ""
 
     def ranks(c: str) -> DataFrame:
         counts = both.groupBy(*by, c).agg(F.count("*").alias("_c"))
-        return counts.selectExpr(*by, c, f"sum(_c) OVER ({part}ORDER BY {c}) - (_c - 1) / 2 AS r_{c}")
+        return running(counts, by, c, "_c").select(*by, c, (F.col("upto") - (F.col("_c") - 1) / 2).alias(f"r_{c}"))
 
     ranked = both.join(ranks(x), [*by, x]).join(ranks(y), [*by, y])
     out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr(f"r_{x}", f"r_{y}").alias("rho"))

@@ -1,33 +1,40 @@
-"""Benjamini-Hochberg q-values, for tables whose p-values repeat on a grid."""
+"""Benjamini-Hochberg q-values."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from unitscope.operators.ranges import join_by, least_from, running
 
-def benjamini_hochberg(rows: DataFrame, p: str = "p_value", q: str = "q_value", by: list[str] | None = None, scope: str | None = None, null_as_one: bool = False) -> DataFrame:
+
+def benjamini_hochberg(
+    rows: DataFrame, p: str = "p_value", q: str = "q_value", by: list[str] | None = None, scope: str | None = None, null_as_one: bool = False, few: bool = False
+) -> DataFrame:
     """rows with q, the smallest p * n / rank from each p upwards, at most 1; null p and rows out of scope have a null q.
 
-    Windows run over the distinct p-values of each group with their counts, which are few for ranks among N nulls, and not
-    over the rows; the result comes back by a join."""
+    The work is done on the distinct p-values of each group with their counts, and comes back by a join. They are ranked
+    range by range, so there may be as many as rows. With few, the caller knows that there are few to a group, such as
+    N + 1 for ranks among N nulls; then one window per group ranks them."""
     by = by or []
     value = F.coalesce(p, F.lit(1.0)) if null_as_one else F.col(p)
     tested = rows.withColumn("_p", F.when(F.expr(scope), value) if scope else value)
     counts = tested.filter("_p IS NOT NULL").groupBy(*by, "_p").agg(F.count("*").alias("_c"))
-    group = Window.partitionBy(*by)
-    ranked = counts.withColumn("_rank", F.sum("_c").over(group.orderBy("_p"))).withColumn("_n", F.sum("_c").over(group))
-    adjusted = ranked.withColumn("_q", F.least(F.lit(1.0), F.min(F.col("_p") * F.col("_n") / F.col("_rank")).over(group.orderBy(F.desc("_p")))))
-    table = adjusted.select(*(F.col(b).alias(f"_{b}") for b in by), F.col("_p").alias("_key"), F.col("_q").alias(q))
-    same = tested["_p"] == table["_key"]
-    for b in by:
-        same = same & tested[b].eqNullSafe(table[f"_{b}"])
-    return tested.join(table, same, "left").drop("_p", "_key", *(f"_{b}" for b in by))
+    ratio = F.col("_p") * F.col("total") / F.col("upto")
+    if few:
+        group = Window.partitionBy(*by)
+        ranked = counts.withColumn("upto", F.sum("_c").over(group.orderBy("_p"))).withColumn("total", F.sum("_c").over(group))
+        adjusted = ranked.withColumn("least", F.min(ratio).over(group.orderBy(F.desc("_p"))))
+    else:
+        adjusted = least_from(running(counts, by, "_p", "_c").withColumn("_ratio", ratio), by, "_p", "_ratio")
+    table = adjusted.select(*by, "_p", F.least(F.lit(1.0), "least").alias(q))
+    # A null p meets no row of the table.
+    return join_by(tested, table, [*by, "_p"]).drop("_p")
 
 
-def recompute_audit(rows: DataFrame, by: str, p: str = "p_value", q: str = "q_value", unit: str = "unit_id") -> DataFrame:
+def recompute_audit(rows: DataFrame, by: str, p: str = "p_value", q: str = "q_value", unit: str = "unit_id", few: bool = False) -> DataFrame:
     """Per method: n, missing q, the largest |q - recomputed q|, how many differ by more than 1e-9 and the worst unit."""
-    again = benjamini_hochberg(rows, p, "_again", [by]).withColumn("_gap", F.abs(F.col(q) - F.col("_again")))
+    again = benjamini_hochberg(rows, p, "_again", [by], few=few).withColumn("_gap", F.abs(F.col(q) - F.col("_again")))
     return again.groupBy(by).agg(
         F.count("*").alias("n"),
         F.count_if(F.col(q).isNull()).alias("n_missing"),

@@ -69,12 +69,13 @@ def region_units(kept: DataFrame, regions: DataFrame, key: list[str], seq: str)
 def readiness(rows: DataFrame, rules: dict[str, tuple[Column, str, str]], ident: str, listed: int = 8) -> DataFrame:
     """(name, status, n, offenders, fix) per rule (condition that offends, WARN or FAIL, advice), with the first `listed` offending ids.
 
-    Offences become rows, of which only the first of each rule reach the ranking's result."""
+    Offences become rows, counted where they arise; of each rule only the first ids leave a task."""
     hits = F.filter(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, (bad, _, _) in rules.items())), lambda x: x.isNotNull())
     offences = rows.select(F.explode(hits).alias("name"), F.col(ident).alias("id")).groupBy("name", "id").agg(F.count("*").alias("c"))
     window = Window.partitionBy("name").orderBy("id")
-    ranked = offences.withColumn("_k", F.row_number().over(window))
-    found = ranked.groupBy("name").agg(F.sum("c").alias("n"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("_k") <= listed, F.col("id")))), ",").alias("offenders"))
+    first = offences.withColumn("_k", F.row_number().over(window)).filter(F.col("_k") <= listed)
+    named = first.groupBy("name").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("offenders"))
+    found = offences.groupBy("name").agg(F.sum("c").alias("n")).join(named, "name")
     table = rows.sparkSession.createDataFrame([(name, level, fix) for name, (_, level, fix) in rules.items()], "name string, level string, fix string")
     joined = table.join(found, "name", "left")
     return joined.select("name", F.when(F.col("n") > 0, F.col("level")).otherwise("PASS").alias("status"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("offenders", F.lit("")).alias("offenders"), "fix")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from unitscope.operators.ranges import running
+
 
 def shuffle_key(seed: int | str, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)))
@@ -100,6 +102,8 @@ def balanced_replicates(units: DataFrame, unit: str, replicates: int, seed: int)
 
 
 def capped_in_order(rows: DataFrame, keep: str, order: str, most: int) -> DataFrame:
-    """rows with `kept`: those that want to be kept while fewer than `most` before them were."""
-    before = F.sum(F.col(keep).cast("int")).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("kept", F.col(keep) & (F.coalesce(before, F.lit(0)) < most))
+    """rows with `kept`: those that want to be kept while fewer than `most` before them were, in the order of a number; rows of one number count together. A null wish is none."""
+    wish = F.coalesce(F.col(keep), F.lit(False))
+    placed = running(rows.withColumn("_wish", wish.cast("int")), [], order, "_wish")
+    before = F.col("upto") - F.sum("_wish").over(Window.partitionBy("_range", order))
+    return placed.withColumn("kept", wish & (before < most)).drop("_wish", "upto", "total", "_range")

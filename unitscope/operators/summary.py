@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from unitscope.functions.statistics import clipped_interval
+from unitscope.functions.statistics import clipped_interval, log_factorial
 
 ALPHAS = (0.1, 0.05, 0.01, 0.001)
+TAIL_CELLS = 45
 
 
 def empirical_size(rows: DataFrame, by: list[str], p: str = "p", alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
@@ -74,21 +75,19 @@ def histogram(rows: DataFrame, value: str, bins: int = 20) -> DataFrame:
 def enrichment(rows: DataFrame, hit: str, positive: str) -> DataFrame:
     """One row: the 2x2 counts, the one-sided hypergeometric tail, the odds ratio and its 95 % interval.
 
-    Log factorials are one running sum over 1..n; the tail is a sum over the possible first cells."""
+    The tail is a sum of weights over the possible first cells from the observed one on. Beyond the mode a weight is at most
+    a share of the one before it, and far from the observed one nothing is added that a double could hold, so at most
+    TAIL_CELLS standard deviations of cells are summed."""
     on = lambda h, p: F.count_if((F.col(hit) == F.lit(h)) & (F.col(positive) == F.lit(p)))
     counts = rows.agg(on(True, True).alias("a"), on(True, False).alias("b"), on(False, True).alias("c"), on(False, False).alias("d"))
-    n = counts.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("a") + F.col("b") + F.col("c") + F.col("d"))).alias("k"))
-    logs = n.selectExpr("k", "sum(ln(greatest(k, 1))) OVER (ORDER BY k) AS lf")
-    lower = F.col("a")
-    cells = counts.withColumn("x", F.explode(F.sequence(lower, F.least(F.col("a") + F.col("b"), F.col("a") + F.col("c")))))
+    n, row, column = (F.col("a") + F.col("b") + F.col("c") + F.col("d")).cast("double"), F.col("a") + F.col("b"), F.col("a") + F.col("c")
+    spread = F.sqrt(row * column / n * (n - row) / n * (n - column) / F.greatest(n - 1, F.lit(1.0)))
+    last = F.least(row, column, F.greatest(F.col("a"), F.ceil(row * column / n)) + F.ceil(TAIL_CELLS * spread) + TAIL_CELLS)
+    cells = counts.withColumn("x", F.explode(F.when(n > 0, F.sequence(F.col("a"), last))))
     # The hypergeometric weight of a table with first cell x and the same margins.
-    terms = {"+": ["a + b", "c + d", "a + c", "b + d"], "-": ["a + b + c + d", "x", "a + b - x", "a + c - x", "d - a + x"]}
-    weight = cells.withColumn("w", F.lit(0.0))
-    for sign, names in terms.items():
-        for term in names:
-            table = logs.select(F.col("k").alias("_k"), F.col("lf").alias("_lf"))
-            weight = weight.withColumn("_t", F.expr(term)).join(F.broadcast(table), F.col("_t") == F.col("_k")).withColumn("w", F.col("w") + (F.col("_lf") if sign == "+" else -F.col("_lf"))).drop("_t", "_k", "_lf")
-    tail = weight.agg(F.least(F.lit(1.0), F.sum(F.exp("w"))).alias("p_value"))
+    plus, minus = ("a + b", "c + d", "a + c", "b + d"), ("a + b + c + d", "x", "a + b - x", "a + c - x", "d - a + x")
+    weight = sum((log_factorial(F.expr(t)) for t in plus), F.lit(0.0)) - sum((log_factorial(F.expr(t)) for t in minus), F.lit(0.0))
+    tail = cells.agg(F.least(F.lit(1.0), F.coalesce(F.sum(F.exp(weight)), F.lit(1.0))).alias("p_value"))
     add = F.when(F.least("a", "b", "c", "d") == 0, 0.5).otherwise(0.0)
     cell = {k: F.col(k) + add for k in "abcd"}
     log_ratio = F.log(cell["a"] * cell["d"] / (cell["b"] * cell["c"]))

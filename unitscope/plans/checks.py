@@ -46,9 +46,9 @@ def f15_ks_tail(spark: SparkSession, d: str) -> DataFrame:
     return _r(D.ks_uniform(view(spark, d, "grid"), "p", 0.2, 1.0).select("n", "ks"), 6, "ks")
 
 
-@query()
+@query(f"{_ks('grid', 'p')} SELECT n, round(ks, 9) AS ks, round(CASE WHEN ks * sqrt(n) < 0.2 THEN 1 ELSE least(1, greatest(0, 2 * (SELECT sum((CASE k % 2 WHEN 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * ks * ks * n)) FROM range(1, 101) t(k)))) END, 9) AS ks_p FROM ks", "grid")
 def f15_ks_with_tail(spark: SparkSession, d: str) -> DataFrame:
-    return D.ks_uniform(view(spark, d, "grid"), "p")
+    return _r(D.ks_uniform(view(spark, d, "grid"), "p"), 9, "ks", "ks_p")
 
 
 _GRIDKS = "kd AS (SELECT max(abs(s - k / 1000)) AS ks_discrete FROM (SELECT k, coalesce(sum(c) OVER (ORDER BY k), 0) / (SELECT count(*) FROM grid) AS s FROM (SELECT unnest(range(1, 1001)) AS k) LEFT JOIN (SELECT CAST(round(p * 1000) AS BIGINT) AS k, count(*) AS c FROM grid GROUP BY 1) USING (k)))"
@@ -163,9 +163,10 @@ def e12_largest_remainder(spark: SparkSession, d: str) -> DataFrame:
     return G.largest_remainder(table(spark, d, "supplier"), ["s_nationkey"], "s_acctbal", "s_suppkey", 97).select("s_suppkey", "share")
 
 
-@query("SELECT c * 25 + row_number() OVER (PARTITION BY c ORDER BY md5(concat_ws('|', '5', c, n_nationkey)), n_nationkey) - 1 AS g, n_nationkey FROM nation, range(4) t(c) QUALIFY g < 90")
+@query("SELECT c * n + row_number() OVER (PARTITION BY c ORDER BY md5(concat_ws('|', '5', c, s_suppkey)), s_suppkey) - 1 AS g, s_suppkey FROM supplier, range(4) t(c), (SELECT count(*) AS n FROM supplier) QUALIFY g < n * 7 // 2")
 def e13_balanced_replicates(spark: SparkSession, d: str) -> DataFrame:
-    return G.balanced_replicates(table(spark, d, "nation").select("n_nationkey"), "n_nationkey", 90, 5)
+    units = table(spark, d, "supplier").select("s_suppkey")
+    return G.balanced_replicates(units, "s_suppkey", units.count() * 7 // 2, 5)
 
 
 @query("""s AS (SELECT strain, country, row_number() OVER (PARTITION BY CASE WHEN length(collection_date) >= 7 AND substr(collection_date, 5, 1) = '-' THEN substr(collection_date, 1, 7) ELSE 'unknown' END || country ORDER BY md5(concat_ws('|', '3', strain)), strain) AS n FROM meta), k AS (SELECT count(DISTINCT CASE WHEN length(collection_date) >= 7 AND substr(collection_date, 5, 1) = '-' THEN substr(collection_date, 1, 7) ELSE 'unknown' END || country) AS k FROM meta)
@@ -202,19 +203,20 @@ def g5_uniform_cap(spark: SparkSession, d: str) -> DataFrame:
     return G.uniform_cap(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 5000, 4)
 
 
-_QC = """m AS (SELECT unit_id, count(*) AS n, round(avg(length(regexp_replace(seq, '[ACGT]', '', 'g')) / 96), 6) AS amb, max(len(list_filter(list_transform(range(0, 31), lambda i: substr(seq, i * 3 + 1, 3)), lambda c: c IN ('TAA', 'TAG', 'TGA')))) > 0 AS stops FROM aln WHERE taxon % 20 = 0 GROUP BY unit_id),
+_QC = """m AS (SELECT unit_id, count(*) AS n, round(avg(length(regexp_replace(seq, '[ACGT]', '', 'g')) / 96), 6) AS amb, max(len(list_filter(list_transform(range(0, 31), lambda i: substr(seq, i * 3 + 1, 3)), lambda c: c IN ('TAA', 'TAG', 'TGA')))) > 0 AS stops FROM aln GROUP BY unit_id),
 f AS (SELECT *, CASE WHEN unit_id % 11 = 10 THEN 1 WHEN n < 2 THEN 2 WHEN stops THEN 3 WHEN amb > 0.28 THEN 4 ELSE 0 END AS k FROM m), g AS (SELECT *, coalesce(sum((k = 0)::INT) OVER (ORDER BY unit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 4 AS skip FROM f),
 st AS (SELECT unnest([1, 2, 3, 4]) AS stage_no, unnest(['DISCOVER_FILES', 'TAXA_MATCH', 'CODON_QC', 'LENGTH_FILTER']) AS stage, unnest(['missing_path', 'too_few_taxa', 'internal_stop', 'ambiguous']) AS why),
 au AS (SELECT unit_id, stage_no, stage, CASE WHEN stage_no = k THEN 'DROP' ELSE 'PASS' END AS status, CASE WHEN stage_no = k THEN why ELSE 'ok' END AS reason FROM g, st WHERE NOT skip AND (k = 0 OR stage_no <= k) UNION ALL SELECT unit_id, 5, 'FINAL_KEEP', CASE WHEN skip THEN 'SKIP' WHEN k > 0 THEN 'DROP' ELSE 'KEEP' END, CASE WHEN skip THEN 'MAX_UNITS_LIMIT' WHEN k > 0 THEN why ELSE 'ok' END FROM g LEFT JOIN st ON stage_no = k)"""
 
 
-_QC_ALL = _QC.replace(" WHERE taxon % 20 = 0", "")
+_SUMMARY = f"""{_QC}, fin AS (SELECT * FROM au WHERE stage = 'FINAL_KEEP')
+SELECT 'total' AS item, count(*) AS n FROM fin UNION ALL SELECT 'kept', count(*) FROM fin WHERE status = 'KEEP'
+UNION ALL SELECT 'drop:' || reason, count(*) FROM fin WHERE status = 'DROP' GROUP BY reason"""
 
 
-def _audit(spark: SparkSession, d: str, members: str = "taxon % 20 = 0") -> DataFrame:
-    few = view(spark, d, "aln").filter(members)
+def _audit(spark: SparkSession, d: str) -> DataFrame:
     unclear = F.length(F.translate("seq", "ACGT", "")) / 96
-    metrics = few.groupBy("unit_id").agg(F.count("*").alias("n"), F.round(F.avg(unclear), 6).alias("amb"), F.max(Q.has_internal_stop(F.col("seq"))).alias("stops"))
+    metrics = view(spark, d, "aln").groupBy("unit_id").agg(F.count("*").alias("n"), F.round(F.avg(unclear), 6).alias("amb"), F.max(Q.has_internal_stop(F.col("seq"))).alias("stops"))
     stages = [
         ("DISCOVER_FILES", F.col("unit_id") % 11 == 10, "missing_path"),
         ("TAXA_MATCH", F.col("n") < 2, "too_few_taxa"),
@@ -229,21 +231,20 @@ def f32_staged_audit(spark: SparkSession, d: str) -> DataFrame:
     return _audit(spark, d)
 
 
-@query(f"{_QC}, fin AS (SELECT * FROM au WHERE stage = 'FINAL_KEEP') SELECT 'total' AS item, count(*) AS n FROM fin UNION ALL SELECT 'kept', count(*) FROM fin WHERE status = 'KEEP' UNION ALL SELECT 'drop:' || reason, count(*) FROM fin WHERE status = 'DROP' GROUP BY reason", "aln")
+@query(_SUMMARY, "aln")
 def f33_audit_summary(spark: SparkSession, d: str) -> DataFrame:
     return V.audit_summary(_audit(spark, d))
 
 
-@query(f"{_QC_ALL} SELECT unit_id, stage_no, stage, status, reason FROM au", "aln")
+@query(f"{_QC} SELECT unit_id, stage_no, stage, status, reason FROM au", "aln")
 def f32_staged_audit_all(spark: SparkSession, d: str) -> DataFrame:
-    """As f32_staged_audit, whose SQL takes every twentieth member, on all members of each unit."""
-    return _audit(spark, d, "true")
+    """The name under which f32_staged_audit was registered while that took a part of the members."""
+    return _audit(spark, d)
 
 
-@query(f"{_QC_ALL}, fin AS (SELECT * FROM au WHERE stage = 'FINAL_KEEP') SELECT 'total' AS item, count(*) AS n FROM fin UNION ALL SELECT 'kept', count(*) FROM fin WHERE status = 'KEEP' UNION ALL SELECT 'drop:' || reason, count(*) FROM fin WHERE status = 'DROP' GROUP BY reason", "aln")
+@query(_SUMMARY, "aln")
 def f33_audit_summary_all(spark: SparkSession, d: str) -> DataFrame:
-    return V.audit_summary(_audit(spark, d, "true"))
-
+    return V.audit_summary(_audit(spark, d))
 
 
 @query("""r AS (SELECT unnest(['a', 'b', 'c']) AS region, unnest([1, 2, 3]) AS o, unnest([1, 31, 40]) AS s, unnest([30, 60, 96]) AS e), x AS (SELECT unit_id, taxon, substr(seq, 1, 96 - CAST(taxon % 5 AS INT)) AS seq FROM aln),
@@ -304,12 +305,26 @@ def a10_unfinished(spark: SparkSession, d: str) -> DataFrame:
     return S.unfinished(rows, rows.filter("ord % 4 = 0"), ["ord"]).select("unit_id", "ord")
 
 
-@query()
+def _content(name: str, columns: str) -> str:
+    """SQL of a table's row in the manifest: four sums over the first halves of hashes of its rows."""
+    fields = ", ".join(f"coalesce({c}::STRING, '')" for c in sorted(columns.split()))
+    sums = ", ".join(f"sum(('0x' || substr(h, {k}, 8))::BIGINT)::STRING" for k in (1, 9, 17, 25))
+    return f"SELECT '{name}' AS \"table\", count(*) AS n_rows, sha256(concat_ws('|', count(*)::STRING, {sums})) AS content_hash FROM (SELECT sha256(concat_ws(chr(31), {fields})) AS h FROM {name})"
+
+
+@query(" UNION ALL ".join(_content(*t) for t in (("region", "r_regionkey r_name"), ("nation", "n_nationkey n_name n_regionkey"), ("supplier", "s_suppkey s_name s_nationkey"), ("customer", "c_custkey c_name c_nationkey"))))
 def a12_bundle_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return S.manifest({t: table(spark, d, t) for t in ("region", "nation", "supplier", "part")})
+    columns = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "supplier": ["s_suppkey", "s_name", "s_nationkey"], "customer": ["c_custkey", "c_name", "c_nationkey"]}
+    return S.manifest({t: table(spark, d, t).select(*c) for t, c in columns.items()})
 
 
 @query()
+def a12_whole_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """All columns, among them numbers whose text differs between engines."""
+    return S.manifest({t: table(spark, d, t) for t in ("region", "nation", "supplier", "part")})
+
+
+@query("SELECT method, status, count(*) AS n, sum(runtime_sec) AS seconds FROM methods GROUP BY ALL", "methods")
 def k2_progress(spark: SparkSession, d: str) -> DataFrame:
     """The aggregation of the progress stream, over a finished table."""
     from unitscope.streaming.scoring import progress

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from unitscope.functions.statistics import DRAWS, drawn_sql
 from unitscope.operators import calibrate, energy, fdr
 from unitscope.plans.views import view, with_views
 
 FEATURES = ["f1", "f2"]
-POOL_ROWS, REPLICATES, SEED = 20000, 19, 11
-#: As in the reference, for flagship_all; the other queries keep those of their SQL.
-ALL_REPLICATES = 999
+#: Replicates as in the reference; the least p-value is one in a thousand.
+REPLICATES, SEED = 999, 11
 _KEY = ["unit_id", "l_orderkey", "l_linenumber", "l_partkey"]
 
 
@@ -21,34 +21,36 @@ def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, energy.EnergyM
     return sites.select(*_KEY, *FEATURES, energy.energy(model).alias("energy")), model
 
 
-def _null(spark: SparkSession, scored: DataFrame, units: DataFrame) -> DataFrame:
-    pool = calibrate.numbered_pool(scored, _KEY, "energy", POOL_ROWS, SEED)
-    return calibrate.resampled_null(spark, units, pool, "unit_id", "n_sites", REPLICATES, SEED)
+def _null(scored: DataFrame, units: DataFrame, replicates: int = REPLICATES) -> DataFrame:
+    return calibrate.resampled_null(units, calibrate.pool_points(scored, "energy"), "unit_id", "n_sites", replicates, SEED)
 
 
-def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _results(spark: SparkSession, sf_dir: str, replicates: int = REPLICATES) -> DataFrame:
     scored, model = _scored(spark, sf_dir)
     units = energy.dispersion(scored, "unit_id")
-    null = _null(spark, scored, units)
-    ranked = calibrate.rank_p_values(units, null, "unit_id")
+    ranked = calibrate.rank_p_values(units, _null(scored, units, replicates), "unit_id")
     indexed = ranked.withColumn("idx", calibrate.index(F.col("D"), F.col("mu0"), F.col("sigma0")))
-    # One row per unit, needed twice for q-values: kept, so that the null is drawn once.
-    return fdr.benjamini_hochberg(calibrate.guardrails(indexed, model.training_rows, REPLICATES, "resampled").cache())
+    # There are at most replicates + 1 different p-values.
+    return fdr.benjamini_hochberg(calibrate.guardrails(indexed, model.training_rows, replicates, "resampled"), few=True)
+
+
+def _called(results: DataFrame) -> DataFrame:
+    return results.select("unit_id", "n_sites", F.round("D", 6).alias("D"), F.round("p_value", 6).alias("p_value"), F.round("q_value", 6).alias("q_value")).orderBy("q_value", "unit_id")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which suppliers' order lines scatter abnormally: every supplier by its q-value."""
-    return _results(spark, sf_dir).select("unit_id", "n_sites", F.round("D", 6).alias("D"), F.round("p_value", 6).alias("p_value"), F.round("q_value", 6).alias("q_value")).orderBy("q_value", "unit_id")
+    """Which suppliers' order lines scatter abnormally: every supplier by its q-value, against REPLICATES draws from the energies of all rows."""
+    return _called(_results(spark, sf_dir))
+
+
+def flagship_199(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As flagship with 199 replicates, the smallest number for which calibration figures are published."""
+    return _called(_results(spark, sf_dir, 199))
 
 
 def flagship_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As flagship, against ALL_REPLICATES draws from the energies of all rows."""
-    scored, _ = _scored(spark, sf_dir)
-    units = energy.dispersion(scored, "unit_id")
-    null = calibrate.resampled_null(spark, units, calibrate.numbered_rows(scored, _KEY, "energy", SEED), "unit_id", "n_sites", ALL_REPLICATES, SEED)
-    # Kept, as in _results.
-    ranked = fdr.benjamini_hochberg(calibrate.rank_p_values(units, null, "unit_id").cache())
-    return ranked.select("unit_id", "n_sites", F.round("D", 6).alias("D"), F.round("p_value", 6).alias("p_value"), F.round("q_value", 6).alias("q_value")).orderBy("q_value", "unit_id")
+    """The name under which flagship was registered while flagship itself drew from a part of the rows."""
+    return flagship(spark, sf_dir)
 
 
 def d3_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,28 +87,32 @@ def d8_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d9_rank_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, _ = _scored(spark, sf_dir)
     units = energy.dispersion(scored, "unit_id")
-    null = _null(spark, scored, units)
-    null = null.cache()
-    right = calibrate.rank_p_values(units, null, "unit_id").select("unit_id", "null_size", F.round("p_value", 6).alias("p_right"), "status")
-    left = calibrate.rank_p_values(units, null, "unit_id", tail="left").select("unit_id", F.round("p_value", 6).alias("p_left"))
-    return right.join(left, "unit_id")
+    ranked = calibrate.rank_p_values(units, _null(scored, units), "unit_id", tail="both")
+    return ranked.select("unit_id", "null_size", F.round("p_value", 6).alias("p_right"), "status", F.round("p_left", 6).alias("p_left"))
 
 
 def d10_two_sided_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, _ = _scored(spark, sf_dir)
     units = energy.dispersion(scored, "unit_id")
-    return calibrate.two_sided_p_values(units, _null(spark, scored, units), "unit_id").select("unit_id", F.round("p_value", 6).alias("p_value"))
+    return calibrate.two_sided_p_values(units, _null(scored, units), "unit_id").select("unit_id", F.round("p_value", 6).alias("p_value"))
 
 
 def d11_gaussian_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, model = _scored(spark, sf_dir)
-    null = calibrate.gaussian_null(spark, energy.dispersion(scored, "unit_id"), model, 5, SEED)
-    return null.groupBy("n_sites").agg(F.count("*").alias("replicates"), F.avg("D").alias("mean_D"))
+    null = calibrate.gaussian_null(energy.dispersion(scored, "unit_id"), model, 5, SEED)
+    return null.select("n_sites", "rep", F.round("D", 6).alias("D"))
+
+
+def d11_gaussian_null_of_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With an odd number of features."""
+    model = energy.fit(view(spark, sf_dir, "sites"), ["f1", "f3", "f4"])
+    null = calibrate.gaussian_null(energy.dispersion(_scored(spark, sf_dir)[0], "unit_id"), model, 3, SEED)
+    return null.select("n_sites", "rep", F.round("D", 6).alias("D"))
 
 
 def d12_resampled_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, _ = _scored(spark, sf_dir)
-    null = _null(spark, scored, energy.dispersion(scored, "unit_id"))
+    null = _null(scored, energy.dispersion(scored, "unit_id"))
     return null.select("unit_id", "rep", F.round("D", 6).alias("D"))
 
 
@@ -114,7 +120,7 @@ def d13_shared_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed units against the null of their size class; units 0-4 of the null table are left out as missing contexts."""
     scored, _ = _scored(spark, sf_dir)
     units = energy.dispersion(scored, "unit_id")
-    null = _null(spark, scored, units).filter("unit_id >= 5").withColumn("size_class", F.col("unit_id") % 10)
+    null = _null(scored, units).filter("unit_id >= 5").withColumn("size_class", F.col("unit_id") % 10)
     observed = units.withColumn("size_class", F.col("unit_id") % 20)
     return calibrate.with_shared_null(observed, null, "size_class").select("unit_id", "size_class", "null_size", F.round("p_value", 6).alias("p_value"), "reason")
 
@@ -144,7 +150,13 @@ def d5_array_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e1_benjamini_hochberg(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "grid").select("family", "p")
-    return fdr.benjamini_hochberg(rows, "p", "q").groupBy("p").agg(F.count("*").alias("n"), F.round(F.max("q"), 9).alias("q"))
+    return fdr.benjamini_hochberg(rows, "p", "q", few=True).groupBy("p").agg(F.count("*").alias("n"), F.round(F.max("q"), 9).alias("q"))
+
+
+def e1_continuous_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood-ratio p-values, which hardly repeat, ranked range by range."""
+    rows = view(spark, sf_dir, "sites").select("l_orderkey", "l_linenumber", F.exp(-F.col("f2") / 20000).alias("p"))
+    return fdr.benjamini_hochberg(rows, "p", "q").select("l_orderkey", "l_linenumber", F.round("q", 9).alias("q"))
 
 
 def e2_scoped_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,13 +181,15 @@ scored AS (SELECT unit_id, l_orderkey, l_linenumber, l_partkey, f1 - m1 AS x, f2
   (c * (f1 - m1) * (f1 - m1) - 2 * b * (f1 - m1) * (f2 - m2) + a * (f2 - m2) * (f2 - m2)) / (a * c - b * b) / 2 AS energy FROM sites, model),
 units AS (SELECT unit_id, count(*) AS n_sites, avg(energy) AS mean_energy, var_pop(energy) AS D FROM scored GROUP BY unit_id)"""
 _CORE = with_views("sites") + ", " + _MODEL
+_DRAWN = drawn_sql("draws", "unit_id, rep", "key", "rep", "i")
 _NULL = (
     _CORE
-    + f""", drawn AS (SELECT *, md5(concat_ws('|', '{SEED}', unit_id, l_orderkey, l_linenumber, l_partkey)) AS h FROM scored),
-pool AS (SELECT row_number() OVER (ORDER BY h, unit_id, l_orderkey, l_linenumber, l_partkey, energy) - 1 AS idx, energy FROM drawn
-  ORDER BY h, unit_id, l_orderkey, l_linenumber, l_partkey, energy LIMIT {POOL_ROWS}),
-draws AS (SELECT unit_id, rep, unnest(range(1, n_sites + 1)) AS i FROM units, (SELECT unnest(range({REPLICATES})) AS rep)),
-placed AS (SELECT unit_id, rep, ('0x' || substr(md5(concat_ws('|', '{SEED}', unit_id, rep, i)), 1, 8))::BIGINT % (SELECT count(*) FROM pool) AS idx FROM draws),
+    + f""", total AS (SELECT count(*) AS n, least(count(*), {calibrate.POOL_POINTS}) AS k FROM scored),
+ordered AS (SELECT energy, row_number() OVER (ORDER BY energy) - 1 AS pos FROM scored),
+pool AS (SELECT j AS idx, energy FROM (SELECT unnest(range(k)) AS j, k, n FROM total) JOIN ordered ON pos = j * n // k),
+draws AS (SELECT unit_id, key, rep, unnest(range(1, n_sites + 1)) AS i FROM (SELECT unit_id, n_sites, ('0x' || substr(md5(concat_ws('|', '{SEED}', unit_id)), 1, 7))::BIGINT AS key FROM units), (SELECT unnest(range({REPLICATES})) AS rep)),
+{_DRAWN},
+placed AS (SELECT unit_id, rep, x % (SELECT k FROM total) AS idx FROM drawn),
 nulls AS (SELECT unit_id, rep, var_pop(energy) AS D FROM placed JOIN pool USING (idx) GROUP BY unit_id, rep),
 ranked AS (SELECT u.unit_id, u.n_sites, u.D, count(n.D) AS null_size, (1 + count(*) FILTER (n.D >= u.D)) / (count(n.D) + 1) AS p_right,
   (1 + count(*) FILTER (n.D <= u.D)) / (count(n.D) + 1) AS p_left, avg(n.D) AS mu0, stddev_pop(n.D) AS sigma0
@@ -193,11 +207,27 @@ rk AS (SELECT {keys} p, sum(c) OVER (PARTITION BY {on} ORDER BY p) AS r, sum(c)
 bh AS (SELECT {keys} p, least(1.0, min(p * n / r) OVER (PARTITION BY {on} ORDER BY p DESC)) AS q FROM rk)"""
 
 
-QUERIES = {f.__name__: f for f in (flagship, flagship_all, d3_moments, d4_training_sample, d5_energy, d5_array_energy, d6_gradient, d7_dispersion, d8_index, d9_rank_p, d10_two_sided_p, d11_gaussian_null, d12_resampled_null, d13_shared_null, d14_batch_scores, d15_error_rates, e1_benjamini_hochberg, e2_scoped_q, e3_grouped_q, f39_recompute_audit)}
+def _gaussian(replicates: int, uses: int, energy: str) -> str:
+    """SQL of a Gaussian null from `uses` draws at each place."""
+    each = ", ".join(drawn_sql("places", "n_sites, rep, i", "key", "rep", f"i * {uses} + {k}", f"drawn{k}") for k in range(uses))
+    joined = "drawn0" + "".join(f" JOIN drawn{k} USING (n_sites, rep, i)" for k in range(1, uses))
+    columns = ", ".join(f"drawn{k}.x AS x{k}" for k in range(uses))
+    return (
+        _CORE
+        + f""", places AS (SELECT n_sites, key, rep, unnest(range(1, n_sites + 1)) AS i FROM (SELECT DISTINCT n_sites, ('0x' || substr(md5(concat_ws('|', '{SEED}', 'normal', n_sites)), 1, 7))::BIGINT AS key FROM units), (SELECT unnest(range({replicates})) AS rep)),
+{each}, e AS (SELECT n_sites, rep, {columns} FROM {joined})
+SELECT n_sites, rep, round(var_pop({energy.format(p=DRAWS)}), 6) AS D FROM e GROUP BY n_sites, rep"""
+    )
+
+
+QUERIES = {f.__name__: f for f in (flagship, flagship_199, flagship_all, d3_moments, d4_training_sample, d5_energy, d5_array_energy, d6_gradient, d7_dispersion, d8_index, d9_rank_p, d10_two_sided_p, d11_gaussian_null, d11_gaussian_null_of_three, d12_resampled_null, d13_shared_null, d14_batch_scores, d15_error_rates, e1_benjamini_hochberg, e1_continuous_p, e2_scoped_q, e3_grouped_q, f39_recompute_audit)}
 _PAIRS = [(f"f{i}", f"f{j}") for i in range(1, 5) for j in range(i, 5)]
 ORACLE = {
     "flagship": _FLAGSHIP,
-    "flagship_all": _FLAGSHIP.replace(f" LIMIT {POOL_ROWS}", "").replace(f"range({REPLICATES})", f"range({ALL_REPLICATES})"),
+    "flagship_all": _FLAGSHIP,
+    "flagship_199": _FLAGSHIP.replace(f"range({REPLICATES})", "range(199)"),
+    "d11_gaussian_null": _gaussian(5, 1, "-ln((x0 + 0.5) / {p})"),
+    "d11_gaussian_null_of_three": _gaussian(3, 3, "-ln((x0 + 0.5) / {p}) - ln((x1 + 0.5) / {p}) * pow(cos(2 * pi() * (x2 + 0.5) / {p}), 2)"),
     "d3_moments": with_views("sites") + "SELECT count(*) AS n, " + ", ".join(f"round(avg(f{i}), 4) AS avg_f{i}" for i in range(1, 5)) + ", " + ", ".join(f"round(covar_samp({a}, {b}), 4) AS cov_{a}_{b}" for a, b in _PAIRS) + " FROM sites",
     "d4_training_sample": with_views("sites") + f"SELECT DISTINCT {', '.join(_KEY)} FROM sites ORDER BY md5(concat_ws('|', '7', {', '.join(_KEY)})), {', '.join(_KEY)} LIMIT 1000",
     "d5_energy": _CORE + f"SELECT {', '.join(_KEY)}, round(energy, 6) AS energy FROM scored",
@@ -218,6 +248,7 @@ CASE WHEN n_sites / (SELECT n FROM model) > 0.25 THEN 'FAIL' ELSE 'OK' END AS gu
 concat_ws(';', CASE WHEN n_sites / (SELECT n FROM model) > 0.1 THEN 'size_ratio' END, 'small_null', CASE WHEN sigma0 = 0 THEN 'zero_spread' END) AS warnings FROM ranked r JOIN q ON q.unit_id = r.unit_id""",
     "d15_error_rates": with_views("grid") + "SELECT family, count(*) AS n, round(avg((p <= 0.05)::INT), 6) AS rate_p, round(avg(coalesce(CASE WHEN status = 'OK' THEN p / 2 END <= 0.05, FALSE)::INT), 6) AS rate_half FROM grid GROUP BY family",
     "e1_benjamini_hochberg": with_views("grid") + ", " + _bh("grid", "", "p") + "SELECT cnt.p, cnt.c AS n, round(q, 9) AS q FROM cnt JOIN bh USING (p)",
+    "e1_continuous_p": with_views("sites") + ", c AS (SELECT l_orderkey, l_linenumber, exp(-f2 / 20000) AS p FROM sites), " + _bh("c", "", "p") + "SELECT l_orderkey, l_linenumber, round(q, 9) AS q FROM c JOIN bh USING (p)",
     "e2_scoped_q": with_views("methods") + ", s AS (SELECT * FROM methods WHERE status = 'OK' AND unit_id % 2 = 0), " + _bh("s", "", "p_value") + "SELECT ord, CASE WHEN status = 'OK' AND unit_id % 2 = 0 THEN round(q, 9) END AS q_value FROM methods LEFT JOIN bh ON bh.p = p_value",
     "e3_grouped_q": with_views("methods") + ", one AS (SELECT *, coalesce(p_value, 1.0) AS p1 FROM methods), " + _bh("one", "method,", "p_value", "method") + ", " + _bh("one", "method,", "p1", "method").replace("cnt", "cnt1").replace("rk", "rk1").replace("bh", "bh1") + "SELECT ord, round(bh.q, 9) AS q_value, round(bh1.q, 9) AS q_null_one FROM one LEFT JOIN bh ON bh.p = p_value AND bh.method = one.method LEFT JOIN bh1 ON bh1.p = p1 AND bh1.method = one.method",
     "f39_recompute_audit": with_views("methods") + ", " + _bh("methods", "method,", "p_value", "method") + """, g AS (SELECT m.method, ord, q, CASE WHEN ord % 50 = 0 THEN q + ord % 7 / 1000 ELSE q END AS stored FROM methods m LEFT JOIN bh ON bh.p = p_value AND bh.method = m.method)

@@ -106,14 +106,14 @@ def c12_prefix_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH g AS (SELECT o, CASE WHEN o = 'fixed_lt1' THEN w END AS w, r, f FROM (SELECT unnest(['estimate', 'fixed_lt1']) AS o), (SELECT unnest([0.2, 0.5]) AS w), (SELECT unnest([FALSE, TRUE]) AS r), (SELECT unnest(['F3x4', 'F61']) AS f))
-SELECT DISTINCT format('{}_{}_{}_{}', o, coalesce(format('{:.2f}', w), 'na'), CASE WHEN r THEN 'gamma' ELSE 'flat' END, f) AS name, n_nationkey AS unit_id, rep FROM g, nation, (SELECT unnest(range(3))::INT AS rep)""")
+SELECT DISTINCT format('{}_{}_{}_{}', o, coalesce(format('{:.2f}', w), 'na'), CASE WHEN r THEN 'gamma' ELSE 'flat' END, f) AS name, s_suppkey AS unit_id, rep FROM g, supplier, (SELECT unnest(range(3))::INT AS rep)""")
 def c13_parameter_grid(spark: SparkSession, d: str) -> DataFrame:
     """Options crossed, with values for one mode only, and crossed with units and replicates."""
     lit = lambda *x: F.explode(F.array(*(F.lit(v) for v in x)))
     g = spark.range(1).select(lit("estimate", "fixed_lt1").alias("o")).withColumn("w", F.explode(F.when(F.col("o") == "fixed_lt1", F.array(F.lit(0.2), F.lit(0.5))).otherwise(F.array(F.lit(None).cast("double")))))
     g = g.withColumn("r", lit(False, True)).withColumn("f", lit("F3x4", "F61"))
     name = F.format_string("%s_%s_%s_%s", "o", F.when(F.col("w").isNull(), "na").otherwise(F.format_string("%.2f", "w")), F.when(F.col("r"), "gamma").otherwise("flat"), "f")
-    return g.select(name.alias("name")).crossJoin(table(spark, d, "nation").select(F.col("n_nationkey").alias("unit_id"))).withColumn("rep", lit(0, 1, 2))
+    return g.select(name.alias("name")).crossJoin(table(spark, d, "supplier").select(F.col("s_suppkey").alias("unit_id"))).withColumn("rep", lit(0, 1, 2))
 
 
 @query("SELECT m.ord, CASE WHEN k.method IS NULL THEN NULL ELSE p_value END AS p_value, CASE WHEN k.method IS NULL THEN 'FAIL' ELSE status END AS status, CASE WHEN k.method IS NULL THEN 'missing_context_calibration' ELSE reason END AS reason FROM methods m LEFT JOIN (SELECT DISTINCT method FROM methods WHERE method < '3') k ON k.method = m.method", "methods")

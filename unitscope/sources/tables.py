@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +13,15 @@ from unitscope.functions.sequences import field_text, normalised, record_hash
 FASTA_GLOB = "*.{fa,fasta,fas,fna,aln}"
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(unit_id, taxon, seq, status) of all FASTA files below a folder; unit is the file's stem.
+def read_fasta(spark: SparkSession, path: str, glob: str = FASTA_GLOB, required: bool = False) -> DataFrame:
+    """(unit_id, taxon, seq, status) of all FASTA files below a folder; unit is the file's stem, or the value in the name of a folder "key=value" that it lies in. With required, no files are an error.
 
     Files are split at headers. A header without a sequence, or text before the first header, is a row with a status instead of an error."""
-    raw = spark.read.option("lineSep", "\n>").option("pathGlobFilter", FASTA_GLOB).option("recursiveFileLookup", "true").text(path)
-    named = raw.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^./]+$", 1).alias("unit_id"), F.col("value"))
+    raw = spark.read.option("lineSep", "\n>").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
+    if required and raw.isEmpty():
+        raise ValueError(f"no sequence files below {path}")
+    of_path = lambda pattern: F.nullif(F.regexp_extract(F.col("_metadata.file_path"), pattern, 1), F.lit(""))
+    named = raw.select(F.coalesce(of_path(r"/[^/=]+=([^/]+)/[^/]+$"), of_path(r"([^/]+)\.[^./]+$")).alias("unit_id"), F.col("value"))
     first = F.col("value").startswith(">")
     split = F.split(F.regexp_replace("value", "^>", ""), "\n", 2)
     rows = named.select("unit_id", F.trim(split[0]).alias("taxon"), normalised(F.coalesce(F.try_element_at(split, F.lit(2)), F.lit(""))).alias("seq"), first.alias("_first"))
@@ -31,10 +36,16 @@ def write_fasta(rows: DataFrame, path: str, unit: str = "unit_id", taxon: str =
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A typed tab-separated table; an absent or unreadable path is an empty table of the schema."""
+    """A typed tab-separated table; an absent path is an empty table of the schema. Columns are found by place; a header with other names is an error."""
+    return _unless_absent(lambda: spark.read.schema(schema).option("sep", "\t").option("header", True).option("enforceSchema", False).csv(path), spark, schema)
+
+
+def _unless_absent(read: Callable[[], DataFrame], spark: SparkSession, schema: str) -> DataFrame:
     try:
-        return spark.read.schema(schema).option("sep", "\t").option("header", True).csv(path)
-    except AnalysisException:
+        return read()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -81,10 +92,7 @@ def append_results(results: DataFrame, store: str) -> None:
 
 def read_results(spark: SparkSession, store: str, schema: str) -> DataFrame:
     """The finished results of a store, none where it does not exist yet."""
-    try:
-        return spark.read.schema(schema).parquet(store)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    return _unless_absent(lambda: spark.read.schema(schema).parquet(store), spark, schema)
 
 
 def resume(tasks: DataFrame, score, store: str, key: list[str], schema: str) -> DataFrame:
@@ -107,7 +115,7 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
 
 def summaries(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Every summary table as a function of the raw tables alone, so that a rebuild from stored tables gives them again."""
-    from unitscope.operators import summary
+    from unitscope.operators import diagnostics, summary
 
     out: dict[str, DataFrame] = {}
     if (grid := raw.get("grid")) is not None:
@@ -115,6 +123,9 @@ def summaries(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
         out["power"] = summary.power_table(grid, ["family", "method", "taxa", "L"])
         out["failures"] = summary.failure_rates(grid, ["family", "method"])
         out["runtimes"] = summary.runtimes(grid, ["method", "L"])
+        out["discreteness"] = summary.discreteness(grid, "N", "p")
+        out["null_validation"] = diagnostics.null_validation(grid, "p", 999)
+        out["grid_floor"] = diagnostics.grid_floor(grid, "family", "p", 999)
     if (methods := raw.get("methods")) is not None:
         out["failure_audit"] = summary.failure_audit(methods)
     return out

@@ -10,24 +10,30 @@ from unitscope.operators.calibrate import rank_p_values
 from unitscope.operators.energy import EnergyModel, dispersion, energy
 from unitscope.sources.tables import read_results, unfinished
 
-RESULTS = "unit_id long, n_sites long, mean_energy double, D double, null_size long, p_value double, status string"
+RESULTS = "unit_id long, n_sites long, mean_energy double, D double, null_size long, p_value double, status string, batch_id long"
 
 
 def score_batch(rows: DataFrame, model: EnergyModel, null: DataFrame) -> DataFrame:
     """Results of whole units against a null table shared by all (a single D column)."""
     units = dispersion(rows.withColumn("energy", energy(model)), "unit_id").withColumn("_all", F.lit(1))
-    ranked = rank_p_values(units, null.select("D").withColumn("_all", F.lit(1)), "_all")
-    return ranked.select(*(c.split(" ")[0] for c in RESULTS.split(", ")))
+    ranked = rank_p_values(units, null.select("D").withColumn("_all", F.lit(1)), "_all", split=True)
+    return ranked.select(*(c.split(" ")[0] for c in RESULTS.split(", ") if not c.startswith("batch_id")))
 
 
 def score_files(spark: SparkSession, source: str, schema: str, store: str, checkpoint: str, model: EnergyModel, null: DataFrame) -> StreamingQuery:
     """Scores every unit of the Parquet files in source once and appends it to the store; a restart continues after the last finished batch.
 
-    A batch that is run again after a failure finds its finished units in the store and leaves them out."""
-
-    def append(batch: DataFrame, _: int) -> None:
-        new = unfinished(batch, read_results(spark, store, RESULTS), ["unit_id"])
-        score_batch(new, model, null).write.mode("append").parquet(store)
+    A unit's rows must arrive in one batch, as those of one file do. A batch that is run again after a failure finds its
+    finished units in the store, under its own number, and leaves them out; a unit that stands there under another
+    number has rows that came late, which is an error, since its result would lack them."""
+
+    def append(batch: DataFrame, number: int) -> None:
+        done = read_results(spark, store, RESULTS)
+        late = batch.select("unit_id").distinct().join(done.filter(F.col("batch_id") != number), "unit_id", "left_semi").take(5)
+        if late:
+            raise ValueError(f"rows of units that are scored already: {[r['unit_id'] for r in late]}")
+        new = unfinished(batch, done, ["unit_id"])
+        score_batch(new, model, null).withColumn("batch_id", F.lit(number).cast("long")).write.mode("append").parquet(store)
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
