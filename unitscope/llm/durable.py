@@ -2,27 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, or else the one that the application has set.
-
-    Without either, a session on one machine takes a new temporary folder; a cluster has none that its executors could
-    all read, so there it is an error."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not re.match(r"local($|\[)", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoints-", dir=context.getConf().get("spark.local.dir", None) or os.environ.get("TMPDIR"))
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
+from unitscope.sources.shared import shared_folder
 
 
 def durable(df: DataFrame) -> DataFrame:
