@@ -135,6 +135,11 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string")) % 3 == 1, F.lit(False))
 
 
+def limit_of(texts: int, n: int) -> int:
+    """Below this lie about `texts` of n hashes from 0 to 2**62, or all, however large n is."""
+    return min(1 << 62, (texts << 62) // max(1, n))
+
+
 def fitted(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Network | None:
     """A network trained on about `rows` texts of labelled; None without labels."""
     known = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang IS NOT NULL AND length(text) > 0").withColumn("h", F.xxhash64("text", F.lit(1)))
@@ -142,8 +147,7 @@ def fitted(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
     if not distinct:
         return None
     each = max(LEAST_PER_LANGUAGE, rows // len(distinct))
-    # Below its limit lie about `each` of a language's distinct hashes, or all.
-    limits = labelled.sparkSession.createDataFrame([(r["lang"], min(1 << 62, (each << 62) // max(1, r["n"]))) for r in distinct], "lang string, below long")
+    limits = labelled.sparkSession.createDataFrame([(r["lang"], limit_of(each, r["n"])) for r in distinct], "lang string, below long")
     taken = known.join(F.broadcast(limits), "lang").filter(F.pmod("h", F.lit(1 << 62)) < F.col("below"))
     # A random stretch of each text, so that a window may come from anywhere in it.
     place = F.expr(f"1 + pmod(xxhash64(text, k), greatest(1, length(text) - {WINDOW // 2}))").cast("int")

@@ -6,7 +6,7 @@ with values that differ by less than 1/32. A sketch is a table (group, metric, b
 built by a plain map-side combined count and two sketches merge by adding n. A group's limit for a
 metric is its third quartile plus the larger of REACH interquartile ranges and the metric's SLACK;
 groups of under LEAST_ROWS rows use the merged sketch of their language, small languages that of all
-rows. A document that passes a limit of its group is rejected, as is one that fails a base rule.
+rows. A document that exceeds a limit of its group is rejected, as is one that fails a base rule.
 
 Null and empty texts have no words and fail the base rule. Null languages and sources are groups of
 their own. Repeated rows count as often as they occur and are judged alike. 5-word windows are
@@ -121,21 +121,21 @@ def limits(sketch: DataFrame, outer: str, inner: str) -> DataFrame:
 
 
 def judged(counted: DataFrame, limit: DataFrame, outer: str = "lang", inner: str = "source") -> DataFrame:
-    """counted with base_failed, passed (comma-joined metrics beyond their limits) and kept."""
+    """counted with base_failed, exceeded (comma-joined metrics beyond their limits) and kept."""
     # The table of limits has a row per group; Spark broadcasts it while its measured size is small and splits hot groups of the join otherwise.
     named = limit.withColumnsRenamed({outer: "_outer", inner: "_inner"})
     joined = counted.join(named, counted[outer].eqNullSafe(named["_outer"]) & counted[inner].eqNullSafe(named["_inner"]), "left")
-    passed = F.concat_ws(",", *(F.when(F.expr(sql) > F.col(f"max_{name}"), F.lit(name)) for name, (sql, _) in METRICS.items()))
+    exceeded = F.concat_ws(",", *(F.when(F.expr(sql) > F.col(f"max_{name}"), F.lit(name)) for name, (sql, _) in METRICS.items()))
     return (
         joined.withColumn("base_failed", base_failed())
-        .withColumn("passed", passed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("passed") == ""))
+        .withColumn("exceeded", exceeded)
+        .withColumn("kept", ~F.col("base_failed") & (F.col("exceeded") == ""))
         .drop("_outer", "_inner", *(f"max_{name}" for name in METRICS))
     )
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", outer: str = "lang", inner: str = "source") -> DataFrame:
-    """One row per row of docs: id, groups, counts, base_failed, passed and kept."""
+    """One row per row of docs: id, groups, counts, base_failed, exceeded and kept."""
     counted = durable(docs.select(F.col(id_col).alias("doc_id"), F.col(outer).alias("lang"), F.col(inner).alias("source"), features(text_col).alias("f")).select("doc_id", "lang", "source", "f.*"))
     return judged(counted, limits(sketches(counted, ["lang", "source"]), "lang", "source"))
 

@@ -46,8 +46,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """passed names the limits of the document's group that it passes."""
-    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "passed", "kept")
+    """exceeded names the limits of the document's group that it is beyond."""
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "exceeded", "kept")
     return quality.quality(_documents(spark, sf_dir)).select(*columns)
 
 
@@ -55,6 +55,16 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1 that SQL can express."""
+    return licenses.scan(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7 that SQL can express."""
+    return urlfilter.ruled(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "rule_verdict")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(_documents(spark, sf_dir))
 
@@ -70,9 +80,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_language_id": op10_language_id,
+    "license_base_places": license_base_places,
+    "url_rules": url_rules,
 }
 
+
+def _phrase_places() -> str:
+    """Lists of the places, from 1, of each base phrase in words w."""
+    return ", ".join(
+        f"list_filter(range(1, len(w) - {len(words) - 2}), lambda i: {' AND '.join(f"w[i + {k}] = '{word}'" for k, word in enumerate(words))}) AS p{n}"
+        for n, words in enumerate(phrase.split() for phrase in licenses.PHRASES)
+    )
+
+
+def _rule_cases(value: str) -> str:
+    longest_first = sorted(urlfilter.RULES, key=lambda r: -len(r[0] + r[1]))
+    return " ".join(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN '{host + path if value == 'rule' else verdict}'" for host, path, verdict in longest_first)
+
+
 ORACLE: dict[str, str] = {
+    "license_base_places": rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, len(w) AS n, {_phrase_places()} FROM w
+), a AS (
+  SELECT *, list_concat(list_concat(p0, p1), p2) AS every FROM p
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(every) AS BIGINT) AS n_base, list_min(every) - 1 AS first_word, list_max(every) - 1 AS last_word,
+  concat_ws(',', CASE WHEN len(p1) > 0 THEN 'apache-2' END, CASE WHEN len(p2) > 0 THEN 'cc-by-nc' END, CASE WHEN len(p0) > 0 THEN 'mit' END) AS base_labels
+FROM a
+""",
+    "url_rules": rf"""
+WITH h AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+)
+SELECT page_id, host, path, CASE {_rule_cases("rule")} END AS rule, CASE {_rule_cases("verdict")} END AS rule_verdict FROM h
+""",
     "op2_minhash_near_dedup": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
@@ -152,9 +197,9 @@ WITH t AS (
     CASE WHEN n_symbols * 1000 // greatest(n_words, 1) > (SELECT max(top) FROM l WHERE l.lang IS NOT DISTINCT FROM f.lang AND l.source IS NOT DISTINCT FROM f.source AND metric = 'symbols') THEN 'symbols' END,
     CASE WHEN n_dup_lines * 1000 // greatest(n_lines, 1) > (SELECT max(top) FROM l WHERE l.lang IS NOT DISTINCT FROM f.lang AND l.source IS NOT DISTINCT FROM f.source AND metric = 'dup_lines') THEN 'dup_lines' END,
     CASE WHEN n_repeat_words * 1000 // greatest(n_words, 1) > (SELECT max(top) FROM l WHERE l.lang IS NOT DISTINCT FROM f.lang AND l.source IS NOT DISTINCT FROM f.source AND metric = 'repeats') THEN 'repeats' END,
-    CASE WHEN word_chars * 100 // greatest(n_words, 1) > (SELECT max(top) FROM l WHERE l.lang IS NOT DISTINCT FROM f.lang AND l.source IS NOT DISTINCT FROM f.source AND metric = 'word_length') THEN 'word_length' END) AS passed
+    CASE WHEN word_chars * 100 // greatest(n_words, 1) > (SELECT max(top) FROM l WHERE l.lang IS NOT DISTINCT FROM f.lang AND l.source IS NOT DISTINCT FROM f.source AND metric = 'word_length') THEN 'word_length' END) AS exceeded
   FROM f
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, passed, NOT base_failed AND passed = '' AS kept FROM judged
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, exceeded, NOT base_failed AND exceeded = '' AS kept FROM judged
 """,
 }

@@ -110,6 +110,13 @@ def score(urls: DataFrame, labelled: DataFrame | None, *columns: Column, url_col
     return parts.withColumn("score", F.expr(f"transform(array({_buckets()}), b -> if(size(b) = 0, 0D, 1 / (1 + exp(-({intercept!r}D + {total} / sqrt(size(b)))))))[0]"))
 
 
+def ruled(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(page_id, host, path, rule, rule_verdict) per row of pages; nulls where no rule fits."""
+    parts = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    rule, verdict = _rule(F.col("host"), F.col("path"))
+    return parts.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("rule_verdict"))
+
+
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", labelled: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) per row of pages; score is the model's probability of "block"."""
     rule, verdict = _rule(F.col("host"), F.col("path"))
