@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -33,7 +33,8 @@ from unitscope.llm.wordhash import chunks, shingles, words
 
 MATCH_WORDS = 5
 COVERAGE = 0.5
-MOST_BITS = 27
+#: With so many bits to a seed, a run of words that is none passes with a chance of 6e-5, up to a million seeds; beyond that more runs pass, and are moved, and no result changes.
+BITS_PER_SEED, MOST_BITS = 256, 28
 #: Keys of found documents up to this number, 24 bytes each, are sent to the tasks that read the documents.
 BROADCAST_ROWS = 200_000
 
@@ -155,7 +156,7 @@ def _inside(seeds: np.ndarray, n_bits: int, bitmap: np.ndarray) -> np.ndarray:
 
 def _bitmap(seeds: DataFrame) -> tuple[int, np.ndarray]:
     """The number of bits, from the number of seeds, and the bitmap with two bits set for each."""
-    wanted = 16 * max(1, seeds.count())
+    wanted = BITS_PER_SEED * max(1, seeds.count())
     n_bits = 1 << min(MOST_BITS, max(15, (wanted - 1).bit_length()))
     bit = F.explode(F.array(*(F.expr(f"1 + (shiftrightunsigned(seed, {shift}) & {n_bits - 1}L)") for shift in (0, 32)))).alias("bit")
     parts = seeds.select(bit).groupBy(F.expr("bitmap_bucket_number(bit)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
@@ -205,7 +206,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     return tiled.filter((F.col("covered_words") > 0) & (F.col("covered_words") >= coverage * F.col("item_words"))).withColumn("coverage", F.round(F.col("covered_words") / F.col("item_words"), 6))
 
 
-def text_key(text_col: str) -> F.Column:
+def text_key(text_col: str) -> Column:
     """Tells the texts of one id apart."""
     return F.xxhash64(F.octet_length(text_col), F.col(text_col))
 
