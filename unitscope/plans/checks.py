@@ -70,13 +70,25 @@ def f18_size_counts(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("family", "alpha").agg(F.count("*").alias("n"), F.count_if(F.col("p") <= F.col("alpha")).alias("hits"))
 
 
-@query()
+#: The bounds are where a binomial tail reaches its share, by bisection.
+_INTERVAL = """c AS (SELECT family, alpha, count(*) AS n, count(*) FILTER (p <= alpha) AS hits FROM grid, (SELECT unnest([0.1, 0.05, 0.01])::DOUBLE AS alpha) GROUP BY ALL),
+q AS (SELECT family, alpha, side, hits + side AS k, n, CASE side WHEN 0 THEN 0.025 ELSE 0.975 END AS want FROM c, (SELECT unnest([0, 1]) AS side)),
+b AS (SELECT family, alpha, side, k, n, want, 0::DOUBLE AS low, 1::DOUBLE AS high, 0 AS turn FROM q
+  UNION ALL SELECT family, alpha, side, k, n, want, CASE WHEN t < want THEN (low + high) / 2 ELSE low END, CASE WHEN t < want THEN high ELSE (low + high) / 2 END, turn + 1
+  FROM (SELECT *, list_sum(list_transform(range(k, n + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln((low + high) / 2) + (n - j) * ln(1 - (low + high) / 2)))) AS t FROM b WHERE turn < 45)),
+e AS (SELECT family, alpha, max((low + high) / 2) FILTER (side = 0) AS low, max((low + high) / 2) FILTER (side = 1) AS high FROM b WHERE turn = 45 GROUP BY ALL),
+i AS (SELECT c.*, CASE WHEN hits = 0 THEN 0 ELSE low END AS low, CASE WHEN hits = n THEN 1 ELSE high END AS high FROM c JOIN e USING (family, alpha))
+SELECT family, alpha, n, hits, round(low, 6) AS low, round(high, 6) AS high, alpha BETWEEN low AND high AS inside, CASE WHEN alpha = 0.05 AND low > 0.05 THEN 'FAIL' ELSE 'OK' END AS status FROM i"""
+
+
+@query(_INTERVAL, "grid")
 def f18_exact_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Sizes with their exact intervals; inflated ones at .05 fail."""
     counts = f18_size_counts(spark, d)
     low, high = D.exact_interval("hits", "n")
     out = counts.withColumns({"low": low, "high": high}).withColumn("inside", F.col("alpha").between(F.col("low"), F.col("high")))
-    return out.withColumn("status", F.when((F.col("alpha") == 0.05) & (F.col("low") > 0.05), "FAIL").otherwise("OK"))
+    out = out.withColumn("status", F.when((F.col("alpha") == 0.05) & (F.col("low") > 0.05), "FAIL").otherwise("OK"))
+    return _r(out, 6, "low", "high")
 
 
 def _rank(c: str, by: str = "") -> str:
@@ -128,9 +140,19 @@ def e4_qq_table(spark: SparkSession, d: str) -> DataFrame:
     return _r(D.qq_table(view(spark, d, "grid"), "p"), 6, "expected", "observed_score", "expected_score")
 
 
-@query()
+#: The bounds of rank i are where the binomial tail from i on reaches its share, by bisection; terms beyond twelve deviations from the mean are nothing.
+_BAND = """c AS (SELECT p, count(*) AS c FROM grid GROUP BY p), s AS (SELECT p, (sum(c) OVER (ORDER BY p))::BIGINT AS i, (sum(c) OVER ())::BIGINT AS n FROM c),
+b AS (SELECT p, i, n, want, 0::DOUBLE AS low, 1::DOUBLE AS high, 0 AS turn FROM s, (SELECT unnest([0.025, 0.975]) AS want)
+  UNION ALL SELECT p, i, n, want, CASE WHEN t < want THEN x ELSE low END, CASE WHEN t < want THEN high ELSE x END, turn + 1
+  FROM (SELECT *, coalesce(list_sum(list_transform(range(greatest(i, (n * x - 12 * sqrt(n * x * (1 - x)) - 30)::BIGINT), least(n, (n * x + 12 * sqrt(n * x * (1 - x)) + 30)::BIGINT) + 1),
+    lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(x) + (n - j) * ln(1 - x)))), 0) AS t FROM (SELECT *, (low + high) / 2 AS x FROM b WHERE turn < 32))),
+e AS (SELECT p, max((low + high) / 2) FILTER (want = 0.025) AS low, max((low + high) / 2) FILTER (want = 0.975) AS high FROM b WHERE turn = 32 GROUP BY p)
+SELECT p, i, n, round((i - 0.5) / n, 6) AS expected, round(-log10(p), 6) AS observed_score, round(-log10((i - 0.5) / n), 6) AS expected_score, round(low, 6) AS low, round(high, 6) AS high FROM s JOIN e USING (p)"""
+
+
+@query(_BAND, "grid")
 def e4_qq_band(spark: SparkSession, d: str) -> DataFrame:
-    return D.qq_table(view(spark, d, "grid"), "p", band=True)
+    return _r(D.qq_table(view(spark, d, "grid"), "p", band=True), 6, "expected", "observed_score", "expected_score", "low", "high")
 
 
 @query("SELECT o_orderkey, w, w AND coalesce(sum(w::INT) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 500 AS kept FROM (SELECT o_orderkey, o_orderstatus = 'F' AS w FROM orders)")

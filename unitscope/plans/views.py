@@ -64,7 +64,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(*names: str) -> str:
     """WITH clause that defines the named views for DuckDB, to be followed by further CTEs or a SELECT."""
-    return "WITH " + ", ".join(f"{name} AS ({DUCK[name]})" for name in names) + " "
+    return "WITH RECURSIVE " + ", ".join(f"{name} AS ({DUCK[name]})" for name in names) + " "
 
 
 def register() -> tuple[dict, dict, Callable]:
