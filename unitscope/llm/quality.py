@@ -23,6 +23,8 @@ from unitscope.llm.durable import durable
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 LEAST_ROWS = 200
+#: Rows of limits, of about 100 bytes each, that are sent to all tasks.
+BROADCAST_GROUPS = 100_000
 REACH = 3
 #: metric: (its integer value as SQL over the features, slack above the third quartile)
 METRICS = {
@@ -122,8 +124,10 @@ def limits(sketch: DataFrame, outer: str, inner: str) -> DataFrame:
 
 def judged(counted: DataFrame, limit: DataFrame, outer: str = "lang", inner: str = "source") -> DataFrame:
     """counted with base_failed, exceeded (comma-joined metrics beyond their limits) and kept."""
-    # The table of limits has a row per group; Spark broadcasts it while its measured size is small and splits hot groups of the join otherwise.
-    named = limit.withColumnsRenamed({outer: "_outer", inner: "_inner"})
+    # The table of limits has a row per group. It is sent to all tasks while it is small; otherwise Spark splits hot groups of the join.
+    named = durable(limit.withColumnsRenamed({outer: "_outer", inner: "_inner"}))
+    if named.count() <= BROADCAST_GROUPS:
+        named = F.broadcast(named)
     joined = counted.join(named, counted[outer].eqNullSafe(named["_outer"]) & counted[inner].eqNullSafe(named["_inner"]), "left")
     exceeded = F.concat_ws(",", *(F.when(F.expr(sql) > F.col(f"max_{name}"), F.lit(name)) for name, (sql, _) in METRICS.items()))
     return (
@@ -141,10 +145,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out
 
 
 def accepted(docs: DataFrame, text_col: str = "text", outer: str = "lang", inner: str = "source") -> DataFrame:
-    """The rows of docs that pass, with their columns. The counts are taken twice, once for the sketches and once beside the text, which is cheaper than moving or storing texts."""
+    """The rows of docs that pass, with their columns. Rows are stored beside their counts, which costs more to take again than to store; no text is shuffled."""
+    quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
     counts = F.struct(F.col(outer).alias("lang"), F.col(inner).alias("source"), features(text_col).alias("f"))
-    first = docs.select(counts.alias("c")).select("c.lang", "c.source", "c.f.*")
-    limit = limits(durable(sketches(first, ["lang", "source"])), "lang", "source")
-    kept = F.struct(*docs.columns)
-    again = docs.select(kept.alias("row"), counts.alias("c")).select("row", "c.lang", "c.source", "c.f.*")
-    return judged(again, limit).filter("kept").select("row.*")
+    counted = durable(docs.select(F.struct(*quoted).alias("row"), counts.alias("c")).select("row", "c.lang", "c.source", "c.f.*"))
+    return judged(counted, limits(sketches(counted, ["lang", "source"]), "lang", "source")).filter("kept").select("row.*")

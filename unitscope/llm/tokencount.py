@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unitscope.llm.durable import durable
 from unitscope.llm.quality import bucket, bucket_floor
+from unitscope.sources.shared import scratch
 
 LIMIT = 4096
 HEAD_ROWS = 1 << 17
@@ -134,7 +134,9 @@ def _frequent(table: DataFrame) -> DataFrame:
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) per row of docs."""
     model = model or default_model()
-    table = durable(vocabulary(docs, text_col, model))
+    # A compressed table takes a third of a checkpoint's space.
+    vocabulary(docs, text_col, model).write.parquet(path := scratch(docs.sparkSession, "vocabulary"))
+    table = docs.sparkSession.read.parquet(path)
     frequent = _frequent(table)
     head = docs.sparkSession.sparkContext.broadcast({r["pretoken"]: r["pieces"] for r in frequent.select("pretoken", "pieces").collect()})
 
