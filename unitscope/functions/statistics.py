@@ -24,13 +24,18 @@ def hash_key(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
 
 
-def with_draw(rows: DataFrame, name: str, key: str, rep: str, place: str) -> DataFrame:
-    """rows with a number below DRAWS, evenly spread over keys (below 2**28), replicates and places: whole-number arithmetic that any engine has and that stays below 2**63.
+def draw_base(key: str, rep: str) -> Column:
+    """What all draws of a key (below 2**28) and a replicate share."""
+    return F.expr(f"({key} * {_PART[0]}L + {rep} * {_PART[1]}L % {DRAWS}L) % {DRAWS}L")
 
-    Each round is a column of its own, so that none is computed twice."""
-    out = rows.withColumn(name, F.expr(f"({key} * {_PART[0]}L + {rep} * {_PART[1]}L % {DRAWS}L + {place} * {_PART[2]}L) % {DRAWS}L"))
+
+def with_draws(rows: DataFrame, places: dict[str, str], base: str) -> DataFrame:
+    """rows with a number below DRAWS for each name and place, evenly spread over bases and places: whole-number arithmetic that any engine has and that stays below 2**63.
+
+    Each round is a set of columns of its own, so that none is computed twice."""
+    out = rows.withColumns({name: F.expr(f"({base} + ({place}) * {_PART[2]}L) % {DRAWS}L") for name, place in places.items()})
     for multiplier in _ROUND:
-        out = out.withColumn(name, F.expr(f"(({name} ^ shiftright({name}, 15)) * {multiplier}L + 12345L) % {DRAWS}L"))
+        out = out.withColumns({name: F.expr(f"(({name} ^ shiftright({name}, 15)) * {multiplier}L + 12345L) % {DRAWS}L") for name in places})
     return out
 
 
