@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -29,14 +29,12 @@ def draw_base(key: str, rep: str) -> Column:
     return F.expr(f"({key} * {_PART[0]}L + {rep} * {_PART[1]}L % {DRAWS}L) % {DRAWS}L")
 
 
-def with_draws(rows: DataFrame, places: dict[str, str], base: str) -> DataFrame:
-    """rows with a number below DRAWS for each name and place, evenly spread over bases and places: whole-number arithmetic that any engine has and that stays below 2**63.
-
-    Each round is a set of columns of its own, so that none is computed twice."""
-    out = rows.withColumns({name: F.expr(f"({base} + ({place}) * {_PART[2]}L) % {DRAWS}L") for name, place in places.items()})
+def draws(base: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Numbers below DRAWS, evenly spread over bases and places: whole-number arithmetic that any engine has and that stays below 2**63."""
+    x = (base + places * _PART[2]) % DRAWS
     for multiplier in _ROUND:
-        out = out.withColumns({name: F.expr(f"(({name} ^ shiftright({name}, 15)) * {multiplier}L + 12345L) % {DRAWS}L") for name in places})
-    return out
+        x = ((x ^ (x >> 15)) * multiplier + 12345) % DRAWS
+    return x
 
 
 def drawn_sql(source: str, columns: str, key: str, rep: str, place: str, name: str = "drawn") -> str:
