@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from unitscope.llm import decontaminate, langid, licenses, minhash, pii, quality, tokencount, urlfilter, viterbi, warc
+from unitscope.llm import decontaminate, langid, licenses, mergerounds, minhash, negatives, pii, quality, tokencount, urlfilter, viterbi, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -69,6 +70,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(_documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vec_id against all vectors; every seventh has the next label."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    labelled = vectors.withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return negatives.hard_negatives(labelled, F.col("vec_id") % 50 == 0)
+
+
+def op13_bpe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of whole texts and of what they decode to."""
+    return mergerounds.digests(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -80,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_bpe_rounds": op13_bpe_rounds,
     "license_base_places": license_base_places,
     "url_rules": url_rules,
 }
@@ -142,6 +157,24 @@ WITH RECURSIVE w AS (
 )
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, low.component_id, s.doc_id = low.component_id AS kept
 FROM s JOIN low ON s.doc_id = low.doc_id
+""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i])) AS BIGINT) AS score
+  FROM v AS a JOIN v AS b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), n AS (
+  SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
 """,
     "op8_quality_rules": rf"""
 WITH t AS (
