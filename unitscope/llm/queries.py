@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitscope.llm import decontaminate, langid, licenses, mergerounds, minhash, negatives, pii, quality, tokencount, urlfilter, viterbi, warc
+from unitscope.llm import decontaminate, langid, licenses, mergerounds, minhash, negatives, pii, quality, spelling, tokencount, urlfilter, viterbi, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -77,6 +77,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(labelled, F.col("vec_id") % 50 == 0)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of whole texts; one run in 97 loses a letter first."""
+    return spelling.variants(_documents(spark, sf_dir), one_in=97)
+
+
 def op13_bpe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of whole texts and of what they decode to."""
     return mergerounds.digests(_documents(spark, sf_dir))
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_language_id": op10_language_id,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_bpe_rounds": op13_bpe_rounds,
     "license_base_places": license_base_places,
     "url_rules": url_rules,
@@ -175,6 +181,42 @@ WITH v AS (
   FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
 )
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+""",
+    # The checksum is taken byte by byte with a table that its polynomial gives.
+    "op12_spelling_variants": rf"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crc
+), r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents
+), d AS (
+  SELECT doc_id, run, count(*) AS n, flatten(list_transform(string_split(concat(doc_id, ':', run), ''),
+    lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [CAST(192 + ord(c) // 64 AS BIGINT), CAST(128 + ord(c) % 64 AS BIGINT)] END)) AS bytes
+  FROM r GROUP BY doc_id, run
+), h AS (
+  SELECT run, n, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t.crc[CAST(xor(c, b) & 255 AS BIGINT) + 1]), 4294967295), 4294967295) AS h FROM d, t
+), w AS (
+  SELECT CASE WHEN h % 97 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, n FROM h
+), v AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), e AS (
+  SELECT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS short FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)
+), near AS (
+  SELECT a.word, b.word AS other, b.n FROM e AS a JOIN e AS b ON a.i = b.i AND a.short = b.short AND a.word <> b.word
+  UNION SELECT e.word, v.word, v.n FROM e JOIN v ON e.short = v.word
+  UNION SELECT v.word, e.word, e.n FROM e JOIN v ON e.short = v.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS top, max(n) AS top_n FROM near GROUP BY word
+), j AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 2 * v.n THEN top END AS form, CASE WHEN top_n >= 2 * v.n THEN top_n END AS form_n
+  FROM v LEFT JOIN best ON best.word = v.word
+), path AS (
+  SELECT word, word AS at FROM j
+  UNION ALL
+  SELECT path.word, j.form FROM path JOIN j ON j.word = path.at AND j.form IS NOT NULL
+), root AS (
+  SELECT path.word, path.at AS root FROM path JOIN j ON j.word = path.at AND j.form IS NULL
+)
+SELECT j.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM j JOIN root ON root.word = j.word
 """,
     "op8_quality_rules": rf"""
 WITH t AS (
