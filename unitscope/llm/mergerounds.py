@@ -77,11 +77,10 @@ class _Model:
             self.pieces[i] = piece
         self.end = model.get("end_of_word_suffix") or ""
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        made: dict[str, int] = {}
+        made = {a + b: rank for rank, (a, b) in enumerate(pairs)}
         for rank, (left, right) in enumerate(pairs):
-            if max(made.get(left, -1), made.get(right, -1)) >= rank or left + right in made:
-                raise ValueError(f"merge {rank} of {path} comes before a merge that makes its parts; words cannot be merged in rounds")
-            made[left + right] = rank
+            if max(made.get(left, -1), made.get(right, -1)) >= rank or made[left + right] != rank:
+                raise ValueError(f"merge {rank} of {path} comes before a merge that makes its parts, or another makes the same; words cannot be merged in rounds")
         left, right, into = (np.array([vocabulary[p] for p in side], np.int64) for side in ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs]))
         keys = left * self.size + right
         order = np.argsort(keys)

@@ -12,7 +12,7 @@ lower bound. Second pass: for each positive a window of scores of other labels.
 none whose k-th best certain member it can still reach. Tiles return at most k rows for each anchor and window, of which the best stay.
 
 Scores are integers: each component x counts as floor(256 * x), x as double. Sums are exact in 32-bit floats below 2**24, in
-64-bit floats below 2**53 and in Python's integers beyond; scores beyond a long come out as the nearest long.
+64-bit floats below 2**53 and in Python's integers beyond, those beyond 38 digits counting as 38 nines; scores beyond a long come out as the nearest long.
 
 Rows without an id, label or vector, or with a component that is null or not finite (times 256, as double), take no part. Vectors meet
 only vectors of their own length. Rows that repeat are rows of their own, but an anchor that repeats is asked
@@ -23,6 +23,7 @@ without positives or negatives have no rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ TILES, LEAST_TILE = 64, 1 << 10
 SCALE = 256
 #: Shares of the dimensions after which the bitmap is looked at.
 STEPS = (0.5, 0.625, 0.75, 0.875, 1.0)
-_LONG = (1 << 63) - 1
+_LONG, _WIDE = (1 << 63) - 1, 10**38 - 1
 
 Keep = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -102,8 +103,12 @@ def _windows(limits: list[tuple[int, int]], k: int) -> Keep:
     return keep
 
 
-def _long(scores: np.ndarray) -> list[int]:
-    return [max(-_LONG - 1, min(_LONG, int(x))) for x in scores]
+def _wide(scores: np.ndarray) -> list[int]:
+    return [max(-_WIDE, min(_WIDE, int(x))) for x in scores.tolist()]
+
+
+def _long(score: str) -> Column:
+    return F.least(F.greatest(F.col(score), F.lit(-_LONG - 1)), F.lit(_LONG)).cast("long").alias(score)
 
 
 def _first(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -122,14 +127,17 @@ def _scan(rows: pa.Table, anchors: pa.Table):
         yield i, own_id, (start, end), asked[:, i], (columns, low, high, ids)
 
 
-_POSITIVE = "anchor long, positive_id long, score long"
-_NEGATIVE = "anchor long, anchor_id long, place int, positive_id long, positive_score long, negative_id long, negative_score long"
+_POSITIVE = "anchor long, positive_id long, score decimal(38)"
+_NEGATIVE = "anchor long, anchor_id long, place int, positive_id long, positive_score decimal(38), negative_id long, negative_score decimal(38)"
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "decimal(38)": pa.decimal128(38, 0)}
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
     names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
     columns = zip(*rows, strict=True) if rows else [[] for _ in names]
-    return pa.table([pa.array(list(c), pa.int64() if kind == "long" else pa.int32()) for c, kind in zip(columns, kinds, strict=True)], names=list(names))
+    return pa.table([pa.array([Decimal(x) for x in c] if kind == "decimal(38)" else list(c), _ARROW[kind]) for c, kind in zip(columns, kinds, strict=True)], names=list(names))
 
 
 def _positives(k: int):
@@ -141,7 +149,7 @@ def _positives(k: int):
                 near = np.arange(start, end)
                 near, scores = bond(columns, low, high, vector, near[ids[near] != own], _best(k))
                 top = _first(ids[near], scores, k)
-                out += zip([keys[i]] * len(top), ids[near[top]].tolist(), _long(scores[top]), strict=True)
+                out += zip([keys[i]] * len(top), ids[near[top]].tolist(), _wide(scores[top]), strict=True)
         return _table(out, _POSITIVE)
 
     return best
@@ -153,13 +161,13 @@ def _negatives(k: int, part: tuple[int, int]):
         if len(rows) and len(anchors):
             keys, positives = anchors["anchor"].to_pylist(), anchors["positives"].to_pylist()
             for i, own, (start, end), vector, (columns, low, high, ids) in _scan(rows, anchors):
-                limits = [(-(-part[0] * p["score"] // 100), part[1] * p["score"] // 100) for p in positives[i]]
+                limits = [(-(-part[0] * int(p["score"]) // 100), part[1] * int(p["score"]) // 100) for p in positives[i]]
                 far = np.concatenate([np.arange(start), np.arange(end, len(ids))])
                 far, scores = bond(columns, low, high, vector, far[ids[far] != own], _windows(limits, k))
                 for place, (p, (least, most)) in enumerate(zip(positives[i], limits, strict=True)):
                     inside = np.flatnonzero((scores >= least) & (scores <= most))
                     top = inside[_first(ids[far[inside]], scores[inside], k)]
-                    out += [(keys[i], own, place, p["positive_id"], p["score"], x, s) for x, s in zip(ids[far[top]].tolist(), _long(scores[top]), strict=True)]
+                    out += [(keys[i], own, place, p["positive_id"], p["score"], x, s) for x, s in zip(ids[far[top]].tolist(), _wide(scores[top]), strict=True)]
         return _table(out, _NEGATIVE)
 
     return best
@@ -193,4 +201,4 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, n_positives: int = 5,
     windows = tiled.cogroup(to_tiles(durable(anchors.join(chosen, "anchor")))).applyInArrow(_negatives(n_negatives, percent), _NEGATIVE)
     order = Window.partitionBy("anchor", "place").orderBy(F.desc("negative_score"), "negative_id")
     ranked = windows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n_negatives)
-    return ranked.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    return ranked.select("anchor_id", "positive_id", "rank", "negative_id", _long("positive_score"), _long("negative_score"))
