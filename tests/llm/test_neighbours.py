@@ -70,16 +70,18 @@ def test_no_vectors_no_negatives(spark):
 def test_bounds_shrink_the_bitmap_and_keep_what_is_wanted():
     rng = np.random.default_rng(8)
     columns = np.floor(256 * rng.normal(size=(32, 4000)) * np.geomspace(1, 0.01, 32)[:, None])
-    anchor, seen = columns[:, 0], []
+    anchors, seen = columns[:, :70], []
 
     def keep(low, high):
         seen.append(len(low))
         return negatives._best(5)(low, high)
 
-    alive, scores = negatives.bond(columns, columns.min(axis=1), columns.max(axis=1), anchor, np.arange(1, 4000), keep)
-    every = anchor @ columns[:, 1:]
-    assert seen[0] == 3999 and seen[-1] < 100
-    assert set(np.argsort(-every)[:5] + 1) <= set(alive.tolist()) and np.array_equal(scores, every[alive - 1])
+    found = list(negatives.bond(columns, anchors, lambda i: (np.delete(np.arange(4000), i), keep)))
+    assert [i for i, _, _ in found] == list(range(70)) and seen[0] == 3999 and min(seen) < 100
+    for i, alive, scores in found:
+        every = anchors[:, i] @ columns
+        best = [x for x in np.argsort(-every, kind="stable") if x != i][:5]
+        assert set(best) <= set(alive.tolist()) and np.array_equal(scores, every[alive]) and len(alive) < 1000
 
 
 # --- spelling variants

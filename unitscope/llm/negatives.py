@@ -22,7 +22,7 @@ without positives or negatives have no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 
 import numpy as np
@@ -35,10 +35,11 @@ from unitscope.llm.durable import durable
 ROW_TILE = 1 << 14
 ANCHOR_TILE = 1 << 12
 #: Smaller tables still make so many tiles, of LEAST_TILE rows at least, that there is work for all.
-TILES, LEAST_TILE = 64, 1 << 10
+TILES, LEAST_TILE = 64, 1 << 12
 SCALE = 256
-#: Shares of the dimensions after which the bitmap is looked at.
-STEPS = (0.5, 0.625, 0.75, 0.875, 1.0)
+#: Shares of the dimensions after which the bitmap is looked at, and anchors that read the first share together.
+STEPS = (0.75, 0.875, 1.0)
+BATCH = 64
 _LONG, _WIDE = (1 << 63) - 1, 10**38 - 1
 
 Keep = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -61,25 +62,33 @@ def _exact(rows: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tuple(np.array([int(x) for x in side.ravel()], object).reshape(side.shape) for side in (rows, anchors))
 
 
-def bond(columns: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, alive: np.ndarray, keep: Keep) -> tuple[np.ndarray, np.ndarray]:
-    """The candidates of `alive` that keep(lower bounds, upper bounds) leaves to the end, and their exact scores."""
-    order = np.argsort(-np.abs(anchor), kind="stable")
-    ends = np.stack([anchor * low, anchor * high])[:, order]
-    rest = [np.concatenate([np.cumsum(side[::-1])[::-1], np.zeros(1, side.dtype)]) for side in (ends.min(axis=0), ends.max(axis=0))]
-    score = np.zeros(len(alive), columns.dtype)
-    whole, at = len(alive) == columns.shape[1], 0
-    for share in STEPS:
-        end = round(share * len(order))
-        dims, at = order[at:end], end
-        if len(dims):
-            read = columns[dims] if whole else columns[dims[:, None], alive]
-            score = score + anchor[dims] @ read
-        stays = keep(score + rest[0][at], score + rest[1][at])
-        if not stays.all():
-            alive, score, whole = alive[stays], score[stays], False
-        if not len(alive):
-            break
-    return alive, score
+def bond(columns: np.ndarray, anchors: np.ndarray, wanted: Callable[[int], tuple[np.ndarray, Keep]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each anchor (a column of anchors) i with wanted(i) = (candidates, keep): i, the candidates that keep(lower bounds, upper bounds) leaves to
+    the end, and their exact scores.
+
+    The first dimensions are read for BATCH anchors at once, as one product of their vectors without the other dimensions; what the
+    bitmaps leave is read for each anchor on its own."""
+    low, high = columns.min(axis=1)[:, None], columns.max(axis=1)[:, None]
+    ends = [round(share * len(columns)) for share in STEPS]
+    for begin in range(0, anchors.shape[1], BATCH):
+        batch = anchors[:, begin : begin + BATCH]
+        order = np.argsort(-np.abs(batch), axis=0, kind="stable")
+        least, most = (np.take_along_axis(f(batch * low, batch * high), order, axis=0)[::-1] for f in (np.minimum, np.maximum))
+        # What the dimensions from each place of the order on can add.
+        rest = [np.concatenate([np.cumsum(side, axis=0)[::-1], np.zeros((1, batch.shape[1]), side.dtype)]) for side in (least, most)]
+        first = np.zeros_like(batch)
+        np.put_along_axis(first, order[: ends[0]], np.take_along_axis(batch, order[: ends[0]], axis=0), axis=0)
+        read = first.T @ columns
+        for i in range(batch.shape[1]):
+            alive, keep = wanted(begin + i)
+            score = read[i, alive]
+            for at, end in zip(ends, [*ends[1:], ends[-1]], strict=True):
+                stays = keep(score + rest[0][at, i], score + rest[1][at, i])
+                alive, score = alive[stays], score[stays]
+                dims = order[at:end, i]
+                if len(dims) and len(alive):
+                    score = score + batch[dims, i] @ columns[dims[:, None], alive]
+            yield begin + i, alive, score
 
 
 def _best(k: int) -> Keep:
@@ -90,14 +99,18 @@ def _best(k: int) -> Keep:
 
 
 def _windows(limits: list[tuple[int, int]], k: int) -> Keep:
+    bottom, top = min(least for least, _ in limits), max(most for _, most in limits)
+
     def keep(low: np.ndarray, high: np.ndarray) -> np.ndarray:
         wanted = np.zeros(len(low), bool)
+        near = np.flatnonzero((high >= bottom) & (low <= top))
+        low, high = low[near], high[near]
         for least, most in limits:
             able = (high >= least) & (low <= most)
             sure = np.sort(low[(low >= least) & (high <= most)])
             if len(sure) >= k:
                 able &= high >= sure[-k]
-            wanted |= able.astype(bool)
+            wanted[near[able.astype(bool)]] = True
         return wanted
 
     return keep
@@ -116,15 +129,13 @@ def _first(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k] if scores.dtype != object else np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], int)
 
 
-def _scan(rows: pa.Table, anchors: pa.Table):
-    """For each anchor: its place, its vector, and the tile's columns with their bounds, ids and labels, rows in order of label."""
+def _sides(rows: pa.Table, anchors: pa.Table):
+    """The tile's columns in order of label, the anchors', the tile's ids, and of each anchor its id and where its label starts and ends."""
     rows = rows.take(pa.array(np.argsort(rows["label"].to_numpy(), kind="stable")))
     columns, asked = _exact(_columns(rows), _columns(anchors))
-    ids, labels = rows["id"].to_numpy(), rows["label"].to_numpy()
-    low, high = columns.min(axis=1), columns.max(axis=1)
-    for i, (own_id, own_label) in enumerate(zip(anchors["id"].to_pylist(), anchors["label"].to_pylist(), strict=True)):
-        start, end = np.searchsorted(labels, own_label), np.searchsorted(labels, own_label, side="right")
-        yield i, own_id, (start, end), asked[:, i], (columns, low, high, ids)
+    labels, own = rows["label"].to_numpy(), anchors["label"].to_numpy()
+    places = list(zip(anchors["id"].to_pylist(), np.searchsorted(labels, own).tolist(), np.searchsorted(labels, own, side="right").tolist(), strict=True))
+    return columns, asked, rows["id"].to_numpy(), places
 
 
 _POSITIVE = "anchor long, positive_id long, score decimal(38)"
@@ -144,10 +155,14 @@ def _positives(k: int):
     def best(rows: pa.Table, anchors: pa.Table) -> pa.Table:
         out = []
         if len(rows) and len(anchors):
+            columns, asked, ids, places = _sides(rows, anchors)
             keys = anchors["anchor"].to_pylist()
-            for i, own, (start, end), vector, (columns, low, high, ids) in _scan(rows, anchors):
-                near = np.arange(start, end)
-                near, scores = bond(columns, low, high, vector, near[ids[near] != own], _best(k))
+
+            def wanted(i: int) -> tuple[np.ndarray, Keep]:
+                own, start, end = places[i]
+                return start + np.flatnonzero(ids[start:end] != own), _best(k)
+
+            for i, near, scores in bond(columns, asked, wanted):
                 top = _first(ids[near], scores, k)
                 out += zip([keys[i]] * len(top), ids[near[top]].tolist(), _wide(scores[top]), strict=True)
         return _table(out, _POSITIVE)
@@ -159,15 +174,21 @@ def _negatives(k: int, part: tuple[int, int]):
     def best(rows: pa.Table, anchors: pa.Table) -> pa.Table:
         out = []
         if len(rows) and len(anchors):
+            columns, asked, ids, places = _sides(rows, anchors)
             keys, positives = anchors["anchor"].to_pylist(), anchors["positives"].to_pylist()
-            for i, own, (start, end), vector, (columns, low, high, ids) in _scan(rows, anchors):
-                limits = [(-(-part[0] * int(p["score"]) // 100), part[1] * int(p["score"]) // 100) for p in positives[i]]
-                far = np.concatenate([np.arange(start), np.arange(end, len(ids))])
-                far, scores = bond(columns, low, high, vector, far[ids[far] != own], _windows(limits, k))
-                for place, (p, (least, most)) in enumerate(zip(positives[i], limits, strict=True)):
+            limits = [[(-(-part[0] * int(p["score"]) // 100), part[1] * int(p["score"]) // 100) for p in own] for own in positives]
+
+            def wanted(i: int) -> tuple[np.ndarray, Keep]:
+                own, start, end = places[i]
+                other = ids != own
+                other[start:end] = False
+                return np.flatnonzero(other), _windows(limits[i], k)
+
+            for i, far, scores in bond(columns, asked, wanted):
+                for place, (p, (least, most)) in enumerate(zip(positives[i], limits[i], strict=True)):
                     inside = np.flatnonzero((scores >= least) & (scores <= most))
                     top = inside[_first(ids[far[inside]], scores[inside], k)]
-                    out += [(keys[i], own, place, p["positive_id"], p["score"], x, s) for x, s in zip(ids[far[top]].tolist(), _wide(scores[top]), strict=True)]
+                    out += [(keys[i], places[i][0], place, p["positive_id"], p["score"], x, s) for x, s in zip(ids[far[top]].tolist(), _wide(scores[top]), strict=True)]
         return _table(out, _NEGATIVE)
 
     return best
