@@ -268,8 +268,8 @@ def rules() -> list[tuple[int, str, str, str]]:
         grade, label, keyword, pattern = line.split(" ", 3)
         if grade == "2" and pattern.startswith("under "):
             pattern = "(?:(?:licen[sc]ed|released|distributed) )?" + pattern  # so that a grant contains the hint of class 4
-        # An optional part that ends in a space keeps its own gap.
-        out.append((int(grade), label, keyword, "(?is)" + re.sub(r" +", lambda _: _GAP, pattern)))
+        # Spaces are gaps, " ?" an optional one. An optional part that ends in a space keeps its own gap.
+        out.append((int(grade), label, keyword, "(?is)" + re.sub(r" +(\??)", lambda m: f"(?:{_GAP})?" if m[1] else _GAP, pattern)))
     return out
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitscope.llm.license_rules import SCORES, needed, rules
-from unitscope.llm.quality import let
+from unitscope.llm.quality import let, running
 
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 BASE_SCORE = 0.95
@@ -44,12 +44,10 @@ def _detections(low: str) -> str:
     table = ", ".join(f"struct({grade} AS grade, {k} AS rank, '{label}' AS label, '{keyword}' AS keyword, {_quoted(pattern)} AS pattern)" for k, (grade, label, keyword, pattern) in enumerate(rules()))
     tried = f"filter(array({table}), r -> contains({low}, r.keyword))"
     # The parts between matches and the matches give the intervals: each starts where those before it end.
-    intervals = (
-        "aggregate(m, struct(0 AS at, 0 AS k, cast(array() AS array<struct<start: int, end: int>>) AS out),"
-        " (a, x) -> struct(a.at + length(p[a.k]) + length(x) AS at, a.k + 1 AS k,"
-        " concat(a.out, array(struct(a.at + length(p[a.k]) AS start, a.at + length(p[a.k]) + length(x) AS end))) AS out)).out"
-    )
-    each = let("regexp_extract_all(`_text`, r.pattern, 0)", "m", f"if(size(m) = 0, cast(array() AS array<struct<start: int, end: int>>), {let('split(`_text`, r.pattern, -1)', 'p', intervals)})")
+    interval = "struct<start: int, end: int>"
+    start = lambda s, k: f"{s} + length(p[{k}])"
+    intervals = running("sequence(0, size(m) - 1)", "0", interval, lambda s, k: f"struct({start(s, k)} AS start, {start(s, k)} + length(m[{k}]) AS end)", lambda s, k: f"{start(s, k)} + length(m[{k}])")
+    each = let("regexp_extract_all(`_text`, r.pattern, 0)", "m", f"if(size(m) = 0, cast(array() AS array<{interval}>), {let('split(`_text`, r.pattern, -1)', 'p', intervals)})")
     return f"flatten(transform({tried}, r -> transform({each}, x -> struct(x.start AS start, -x.end AS back, r.grade AS grade, r.rank AS rank, r.label AS label))))"
 
 

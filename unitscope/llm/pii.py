@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitscope.llm.quality import let
+from unitscope.llm.quality import let, running
 
 ROUNDS = 10
 #: For tests and for sessions that set no KEY_SETTING; whoever knows the key can invert the pseudonyms.
@@ -38,9 +38,9 @@ _SECRET = r"(?i:token|secret|password|passwd|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3
 _SLASHED = r"\d{2}[/.]\d{2}[/.]\d{4}(?![\d/])|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
 _DASHED = r"(?:\d{4}-\d{2}-\d{2}|\d{3}-\d{2}-\d{4}|\d{3}-\d{3}-\d{4})(?![\d-])"
 
-#: Patterns of candidates by kind, tried in this order at each place.
+#: Patterns of candidates by kind, tried in this order at each place. Repeated groups are bounded or possessive: Java tries again by recursion.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})++",
     # What can be seen at the place itself is tried before the words that stand before it.
     "secret": rf"(?<=[=:\s\"'])(?=[A-Za-z0-9_+/-]{{16}})(?<={_SECRET})[A-Za-z0-9_+/-]{{16,}}",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
@@ -50,6 +50,8 @@ PATTERNS = {
     # Whole runs of groups; possessive, since a run can be long.
     "card": rf"(?<![\dA-Za-z+])(?=\d(?:[ -]?\d){{12}})\d++(?![A-Za-z])(?:(?: (?!{_DASHED}|{_SLASHED})|-(?!{_SLASHED}))\d++(?![A-Za-z]))*+",
 }
+#: A card of 19 digits has so many groups at most.
+MOST_GROUPS = 19
 _EPOCH, _CYCLE = "DATE'1700-01-01'", 146097
 #: Steps of a walk at most: of random permutations not one value in 10**18 needs more.
 WALK = 512
@@ -75,10 +77,12 @@ class _Sql:
         )
 
     @staticmethod
-    def luhn(digits: str) -> str:
-        """The check digit of a string of digits."""
-        total = let(digits, "z", "aggregate(sequence(1, length(z)), 0, (s, i) -> s + if(i % 2 = 0, cast(substr(z, -i, 1) AS int), cast(substr('0246813579', cast(substr(z, -i, 1) AS int) + 1, 1) AS int)))")
-        return f"cast(pmod(10 - {total}, 10) AS string)"
+    def luhn(digits: str, table: str = "_t.even") -> str:
+        """The Luhn sum of a string of at most 20 digits that an even or an odd number of others follow, from tables of pairs of digits."""
+        pairs = lambda v, n: " + ".join(f"{table}[int(({v} div {100**k}L) % 100)]" for k in range(n))
+        whole = lambda n: let(f"cast({digits} AS bigint)", "_h", pairs("_h", n))
+        halves = let(f"struct(cast(substr({digits}, 1, length({digits}) - 10) AS bigint) AS a, cast(right({digits}, 10) AS bigint) AS b)", "_h", f"{pairs('_h.a', 5)} + {pairs('_h.b', 5)}")
+        return f"CASE WHEN length({digits}) = 0 THEN 0 WHEN length({digits}) <= 2 THEN {table}[int({digits})] WHEN length({digits}) <= 4 THEN {whole(2)} WHEN length({digits}) <= 10 THEN {whole(5)} ELSE {halves} END"
 
     @staticmethod
     def laid(digits: str) -> str:
@@ -86,22 +90,36 @@ class _Sql:
         return let(digits, "n", "aggregate(split(x, ''), struct(0 AS k, '' AS out), (s, c) -> if(c RLIKE '^[0-9]$', struct(s.k + 1 AS k, concat(s.out, substr(n, s.k + 1, 1)) AS out), struct(s.k AS k, concat(s.out, c) AS out))).out")
 
     def card(self) -> str:
+        """Of the groups g of a run and their separators p. Whatever is asked about a group looks at the MOST_GROUPS beside it at most."""
         half, rest = "((length(d) - 2) div 2)", "(length(d) - 2 - (length(d) - 2) div 2)"
         left, right = f"substr(d, 2, int({half}))", f"substr(d, int({half}) + 2, int({rest}))"
         body = let(self.feistel(left, right, f"rpad('1', int({half}) + 1, '0')", f"rpad('1', int({rest}) + 1, '0')", "concat('card', length(d), substr(d, 1, 1))"), "f", f"concat(substr(d, 1, 1), lpad(cast(f.l AS string), int({half}), '0'), lpad(cast(f.r AS string), int({rest}), '0'))")
-        made = let("substr(w, c.s + 1, -c.m)", "d", let(body, "e", f"concat(e, {self.luhn('e')})"))
-        # Of a run x with digits w: places of its separators, then how many digits stand before and up to the end of each group.
-        breaks = "filter(transform(split(x, ''), (c, k) -> if(c RLIKE '^[ -]$', k, NULL)), k -> k IS NOT NULL)"
-        edges = let(breaks, "g", "concat(array(0), transform(g, (p, k) -> p - k), array(length(w)))")
-        valid = let("substr(w, b[i] + 1, b[j] - b[i])", "d", f"{self.luhn('substr(d, 1, length(d) - 1)')} = substr(d, -1, 1)")
-        usual = "j = i + 1 OR array_join(transform(sequence(i, j - 1), t -> b[t + 1] - b[t]), ' ') IN ('4 4 4 4', '4 6 5', '4 6 4')"
-        ends = f"filter(sequence(i + 1, least(i + 19, size(b) - 1)), j -> if(b[j] - b[i] BETWEEN 13 AND 19, {valid}, false))"
-        # (order, digits before, minus length) of what validates.
-        found = f"flatten(transform(sequence(0, size(b) - 2), i -> transform({ends}, j -> struct(if({usual}, 0, 1) AS o, b[i] AS s, b[i] - b[j] AS m))))"
-        free = "aggregate(array_sort(v), slice(v, 1, 0), (a, c) -> if(exists(a, t -> t.s < c.s - c.m AND c.s < t.s - t.m), a, concat(a, array(c))))"
-        spots = f"array_sort(transform({free}, c -> struct(c.s AS s, {made} AS e)))"
-        number = f"aggregate({spots}, struct(0 AS k, '' AS out), (a, c) -> struct(c.s + length(c.e) AS k, concat(a.out, substr(w, a.k + 1, c.s - a.k), c.e) AS out), a -> concat(a.out, substr(w, a.k + 1)))"
-        return let(edges, "b", let(found, "v", f"if(size(v) = 0, x, {self.laid(number)})"))
+        check = f"cast(pmod(10 - ({self.luhn('e', '_t.odd')}), 10) AS string)"
+        digits = lambda i, j: f"array_join(slice(g, int({i} + 1), int({j} - {i})), '')"
+        made = let(digits("i", "e[i]"), "d", let(body, "e", f"concat(e, {check})"))
+        # Before each group: how many digits, and the Luhn sums of all groups so far in a stretch that ends after an even or an odd number of digits.
+        own = f"struct({{s}}.b + length({{v}}) AS b, if(length({{v}}) > 19, 0, {self.luhn('{v}')}) AS whole, if(length({{v}}) > 18, 0, {self.luhn('{v}', '_t.odd')}) AS moved)"
+        after = "struct(y.b AS b, {s}.even + if(y.b % 2 = 0, y.whole, y.moved) AS even, {s}.odd + if(y.b % 2 = 1, y.whole, y.moved) AS odd)"
+        sums = running("concat(g, array(''))", "struct(0 AS b, 0 AS even, 0 AS odd)", "struct<b: int, even: int, odd: int>", lambda s, v: s, lambda s, v: let(own.replace("{s}", s).replace("{v}", v), "y", after.replace("{s}", s)))
+        # Ends of the stretches from group i that validate: of usual layouts, and the others from the longest.
+        valid = "b[j].b - b[i].b BETWEEN 13 AND 19 AND if(b[j].b % 2 = 0, b[j].even - b[i].even, b[j].odd - b[i].odd) % 10 = 0"
+        ends = f"filter(sequence(i + 1, least(i + {MOST_GROUPS}, size(g))), j -> {valid})"
+        usual = "j = i + 1 OR array_join(transform(slice(g, int(i + 1), int(j - i)), t -> length(t)), ' ') IN ('4 4 4 4', '4 6 5', '4 6 4')"
+        found = f"transform(sequence(0, size(g) - 1), i -> if(b[least(i + {MOST_GROUPS}, size(g))].b - b[i].b < 13, NULL, {let(ends, 'j', 'if(size(j) = 0, NULL, struct(i AS i, array_max(filter(j, j -> ' + usual + ')) AS u, reverse(j) AS o))')}))"
+        # The end of the stretch taken from each group, or 0: first usual ones from the left, then others that meet none of them.
+        taken = lambda end: running("v", "0", "int", lambda s, v: f"if({v} IS NULL, 0, {end(s, v)})", lambda s, v: f"if({v} IS NULL, {s}, greatest({s}, {end(s, v)}))")
+        first = taken(lambda s, v: f"if({v}.u IS NULL OR {v}.i < {s}, 0, {v}.u)")
+        meets = "exists(sequence(greatest(0, {v}.i - " + str(MOST_GROUPS) + "), j - 1), t -> u[t] > {v}.i)"
+        other = taken(lambda s, v: f"if({v}.i < {s}, 0, coalesce(get(filter({v}.o, j -> NOT {meets.format(v=v)}), 0), 0))")
+        both = "zip_with(u, o, (x, y) -> greatest(x, y))"
+        covered = f"exists(sequence(greatest(0, i - {MOST_GROUPS}), i - 1), t -> e[t] > i)"
+        laid = let(made, "m", "array_join(transform(sequence(i, e[i] - 1), t -> concat(if(t = 0, '', p[t - 1]), substr(m, b[t].b - b[i].b + 1, length(g[t])))), '')")
+        pieces = f"array_join(transform(sequence(0, size(g) - 1), i -> CASE WHEN e[i] > 0 THEN {laid} WHEN i = 0 THEN g[i] WHEN {covered} THEN '' ELSE concat(p[i - 1], g[i]) END), '')"
+        chosen = let(first, "u", let(other, "o", let(both, "e", pieces)))
+        run = let(sums, "b", let(found, "v", f"if(exists(v, c -> c IS NOT NULL), {chosen}, x)"))
+        twice = [sum(divmod(2 * d, 10)) for d in range(10)]
+        even, odd = (f"array({', '.join(str(a[v // 10] + b[v % 10]) for v in range(100))})" for a, b in ((twice, range(10)), (range(10), twice)))
+        return let(f"struct({even} AS even, {odd} AS odd)", "_t", let("split(x, '[ -]')", "g", let("regexp_extract_all(x, '[ -]', 0)", "p", run)))
 
     def phone(self) -> str:
         number = let(self.feistel("substr(d, -7, 3)", "substr(d, -4, 4)", "1000", "10000", "concat('phone', substr(d, 1, length(d) - 7))"), "f", "concat(substr(d, 1, length(d) - 7), lpad(cast(f.l AS string), 3, '0'), lpad(cast(f.r AS string), 4, '0'))")
@@ -163,7 +181,7 @@ class _Sql:
         if kind in ("email", "secret") and self.inverse:
             return "x"
         sql = getattr(self, kind)()
-        return let("regexp_replace(x, '[^0-9]', '')", "w" if kind == "card" else "d", sql) if kind in ("card", "phone", "ssn") else sql
+        return let("regexp_replace(x, '[^0-9]', '')", "d", sql) if kind in ("phone", "ssn") else sql
 
 
 #: One pattern; the back-reference of dates counts its groups from 1, and no other pattern has any. Those of numbers all begin with one of a few characters.

@@ -15,6 +15,8 @@ compared by 64-bit hashes within one text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,17 @@ def let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def running(array: str, zero: str, kind: str, emit: Callable[[str, str], str], step: Callable[[str, str], str]) -> str:
+    """SQL for the array of emit(state, item), of type kind, over the items of an array; step(state, item) is the state for the next, zero the first.
+
+    An aggregation that appends to an array copies it at each step. Here blocks of blocks are appended to: of n items, blocks of
+    the cube root of n each, so an item costs as many copied references and not n."""
+    none, nested, n = f"cast(array() AS array<{kind}>)", f"cast(array() AS array<array<{kind}>>)", "int(ceil(cbrt(size(_all))))"
+    items = f"aggregate(slice(_all, int(_k * {n} * {n} + _l * {n} + 1), {n}), struct(_c.s AS s, {none} AS out), (_b, _v) -> struct({step('_b.s', '_v')} AS s, concat(_b.out, array({emit('_b.s', '_v')})) AS out), _b -> struct(_b.s AS s, concat(_c.out, array(_b.out)) AS out))"
+    blocks = f"aggregate(sequence(0, int((least(size(_all) - _k * {n} * {n}, {n} * {n}) - 1) div {n})), struct(_a.s AS s, {nested} AS out), (_c, _l) -> {items}, _c -> struct(_c.s AS s, concat(_a.out, array(flatten(_c.out))) AS out))"
+    return let(array, "_all", f"if(size(_all) = 0, {none}, aggregate(sequence(0, int((size(_all) - 1) div ({n} * {n}))), struct({zero} AS s, {nested} AS out), (_a, _k) -> {blocks}, _a -> flatten(_a.out)))")
+
+
 def _repeated_words() -> str:
     """Words that stand in a 5-word window found twice or more. Texts without such a window, most of them, need no sorting."""
     windows = "transform(sequence(0, size(w) - 5), i -> xxhash64(w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]))"
