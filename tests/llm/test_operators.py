@@ -149,6 +149,22 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     assert kept == {i for i, c in enumerate(low) if i == c}
 
 
+def test_words_that_rules_make_alike_stay_apart(spark):
+    """Thue-Morse words and their complements, and texts of two words in that order, have one polynomial modulo 2**64 from 1,024 letters or words on."""
+    order = "a"
+    for _ in range(11):
+        order += order.translate(str.maketrans("ab", "ba"))
+    other = order.translate(str.maketrans("ab", "ba"))
+    spaced = [" ".join({"a": "east", "b": "west"}[c] for c in x) for x in (order, other)]
+    tail = " and the same tail of words"
+    texts = [order, other, order + tail, other + tail]
+    assert [r["component_id"] for r in minhash.near_duplicates(table(spark, texts)).orderBy("doc_id").collect()] == [0, 1, 2, 3]
+    items = spark.createDataFrame([(1, order), (2, order + tail)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["coverage"]) for r in decontaminate.contaminated(table(spark, [other, other + tail, order]), items).collect()} == {(1, 2, 0.857143), (2, 1, 1.0)}
+    a, b = (np.array([{"east": 1, "west": 2}[w] for w in x.split()], np.uint64) for x in spaced)
+    assert all(np.array_equal(a[p : p + n], b[q : q + n]) for p, q, n in decontaminate.tiles(a, b))
+
+
 def test_block_links_find_all_pairs(spark, monkeypatch):
     """Blocks of two members must give what one block gives."""
     monkeypatch.setattr(minhash, "BLOCK_ROWS", 2)

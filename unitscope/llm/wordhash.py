@@ -1,8 +1,8 @@
 """Words and word shingles of Arrow text columns as numpy hashes, a whole batch at a time.
 
-A word's hash is a polynomial over its bytes modulo 2**64, taken from one running sum over the
-batch, so the cost does not depend on how many words or documents the batch has. Hashes are equal
-in every process and run. Null texts count as empty.
+A word's hash is the sum of mixed pairs of a byte and its place in the word, and a shingle's that of mixed words at their places, so
+that no rule of letters or words (as a polynomial modulo 2**64 has them) makes different texts alike. The cost does not depend
+on how many words or documents the batch has. Hashes are equal in every process and run. Null texts count as empty.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ SHINGLE_WORDS = 5
 CHUNK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,18 +47,6 @@ def _alphabet(kind: str) -> np.ndarray:
     return np.where(apart, np.uint64(0), seeds(256, 5)[lower])
 
 
-_powers: list[np.ndarray] = []
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        steps = np.full((2, size), 1, np.uint64)
-        steps[0, 1:], steps[1, 1:] = _BASE, _BASE_INVERSE
-        _powers[:] = [np.multiply.accumulate(steps[0]), np.multiply.accumulate(steps[1])]
-    return _powers[0], _powers[1]
-
-
 def chunks(texts: pa.Array | pa.ChunkedArray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) for runs of rows of about `most` bytes; a longer text is a run of its own."""
     if isinstance(texts, pa.ChunkedArray):
@@ -88,10 +75,13 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: str = "space") -> tuple[n
     joined[offsets] = False
     first = np.flatnonzero(inside & ~joined[:-1])
     end = np.flatnonzero(inside & ~joined[1:]) + 1
-    up, down = _powers_to(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(value * up[:n], out=total[1:])
-    hashes = mix((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64))
+    sizes = end - first
+    starts = np.cumsum(sizes) - sizes
+    own = value[inside]
+    own += (np.arange(len(own), dtype=np.uint64) - np.repeat(starts, sizes).astype(np.uint64)) * _BASE
+    own = (own ^ (own >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    own ^= own >> np.uint64(29)
+    hashes = mix(np.add.reduceat(own, starts) + sizes.astype(np.uint64)) if len(starts) else np.zeros(0, np.uint64)
     return hashes, np.searchsorted(first, offsets), first, end
 
 
@@ -109,7 +99,7 @@ def shingles(hashes: np.ndarray, starts: np.ndarray, size: int = SHINGLE_WORDS)
     if n >= size:
         run = np.zeros(n - size + 1, np.uint64)
         for k in range(size):
-            run += hashes[k : n - size + 1 + k] * _PLACE[k]
+            run += mix(hashes[k : n - size + 1 + k] * _PLACE[k])
         text = np.repeat(np.arange(len(counts)), counts)
         inside = text[: n - size + 1] == text[size - 1 :]
         mask = np.ones(len(out), bool)
@@ -117,5 +107,5 @@ def shingles(hashes: np.ndarray, starts: np.ndarray, size: int = SHINGLE_WORDS)
         out[mask] = mix(run[inside])
     for t in short:
         own = hashes[starts[t] : starts[t + 1]]
-        out[out_starts[t]] = mix((own * _PLACE[: len(own)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own)))[0]
+        out[out_starts[t]] = mix(mix(own * _PLACE[: len(own)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own)))[0]
     return out, out_starts
