@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from unitscope.operators import alignments as A
-from unitscope.operators import calibrate, fdr
+from unitscope.operators import calibrate, fdr, ordinals, ranges
 from unitscope.plans import registry as queries
 from unitscope.plans.views import view
 
@@ -57,26 +57,42 @@ def test_audit_judges_all_members(spark):
     assert summary["total"] == len(members) and summary["drop:internal_stop"] == len(judged & stop)
 
 
-def test_pool_points_stand_for_all_rows(spark):
-    """With more rows than points, every rank is as near to a point as any; with fewer, all values are points, ties included."""
-    rows = spark.range(30000).select((F.col("id") * 7 % 30011 % 9000 + 0.5).alias("energy"))
-    every = sorted(r["energy"] for r in rows.collect())
-    assert calibrate.pool_points(rows, "energy").first()["points"] == every
-    for most in (1, 7, 500, 29999):
-        assert calibrate.pool_points(rows, "energy", most).first()["points"] == [every[j * 30000 // most] for j in range(most)]
-
-
 def test_resampled_null_is_calibrated(spark):
     """Units drawn from the pool itself, some of more draws than a chunk, have p-values without a trend."""
     rows = spark.range(120_000).select((F.col("id") % 60).alias("unit_id"), F.pow(F.rand(3), F.lit(2)).alias("energy"))
     big = spark.range(20_000).select(F.lit(99).cast("long").alias("unit_id"), F.pow(F.rand(4), F.lit(2)).alias("energy"))
     units = rows.unionByName(big).groupBy("unit_id").agg(F.count("*").alias("n_sites"), F.var_pop("energy").alias("D"))
-    null = calibrate.resampled_null(units, calibrate.pool_points(rows, "energy"), "unit_id", "n_sites", 199, 5)
-    got = calibrate.rank_p_values(units, null, "unit_id").collect()
+    got = calibrate.resampled_p_values(units, rows, "unit_id", "n_sites", 199, 5).collect()
     p = [r["p_value"] for r in got]
     assert len(p) == 61 and {r["null_size"] for r in got} == {199} and 0.4 < sum(p) / len(p) < 0.6 and sum(x < 0.05 for x in p) <= 8
 
 
+@pytest.mark.parametrize("how", ["whole", "runs of replicates", "pieces", "parts of the pool"])
+def test_ranks_where_draws_are_made_are_those_of_a_sort(spark, monkeypatch, how):
+    """Both tails, moments and odd units (without rows or a statistic, of one row) by every way that the draws can take."""
+    rows = spark.range(9000).select((F.col("id") * F.col("id") % 23).alias("unit_id"), F.expr("pow(id * 7919 % 9001 / 9001D, 3)").alias("energy")).filter("unit_id <> 0 OR energy < 0.2")
+    units = rows.groupBy("unit_id").agg(F.count("*").alias("n_sites"), F.var_pop("energy").alias("D"))
+    units = units.unionByName(spark.createDataFrame([(90, 0, 0.1), (91, 5, None), (92, 1, 0.0), (93, 7, 0.01)], "unit_id long, n_sites long, D double"))
+    monkeypatch.setattr(calibrate, "CHUNK", 40)
+    if how == "runs of replicates":
+        monkeypatch.setattr(calibrate, "RANKED_DRAWS", 2000)
+    if how == "pieces":
+        monkeypatch.setattr(calibrate, "LARGE_UNIT", 300)
+    most = 1000 if how == "parts of the pool" else calibrate.POOL_VALUES
+    if how == "parts of the pool":
+        monkeypatch.setattr(calibrate, "GROUP_DRAWS", 5000)
+    null = calibrate.resampled_null(units.filter("D IS NOT NULL"), rows, "unit_id", "n_sites", 49, 5)
+    want = {r["unit_id"]: r for r in calibrate.rank_p_values(units, null, "unit_id", tail="both").collect()}
+    got = calibrate.resampled_p_values(units, rows, "unit_id", "n_sites", 49, 5, tail="both", most=most).collect()
+    assert len(got) == len(want) > 10
+    for r in got:
+        own = want[r["unit_id"]]
+        assert r.asDict().keys() == own.asDict().keys()
+        assert [r[c] for c in ("n_extreme", "null_size", "p_value", "status", "n_extreme_left", "p_left")] == [own[c] for c in ("n_extreme", "null_size", "p_value", "status", "n_extreme_left", "p_left")]
+        assert [r[c] for c in ("mu0", "sigma0")] == [own[c] if own[c] is None else pytest.approx(own[c], abs=1e-12) for c in ("mu0", "sigma0")]
+    assert want[90]["status"] == want[91]["status"] == "FAIL" and want[92]["sigma0"] == 0
+
+
 def test_ranges_of_any_number(spark):
     """Ranks range by range are those of one sort, both tails, whatever the sign and size of values."""
     rows = spark.range(3000).select((F.col("id") % 3).alias("k"), F.expr("(id * 7919 % 1000 - 500) * pow(10D, id % 7 - 3)").alias("D"))
@@ -90,6 +106,45 @@ def test_ranges_of_any_number(spark):
     p.unpersist()
 
 
+@pytest.mark.parametrize("inline", [4, 128])
+def test_ranges_are_even_whatever_the_values(spark, monkeypatch, inline):
+    """Narrow and skewed values, and one that has a third of the rows: no range has over twice the mean but that value's own."""
+    monkeypatch.setattr(ranges, "INLINE", inline)
+    narrow = spark.range(20_000).select((F.lit(1e6) + F.col("id") / 2).alias("v"))
+    skewed = spark.range(20_000).select(F.exp(F.col("id") % 40 + F.rand(1)).alias("v"))
+    hot = spark.range(10_000).select(F.lit(7.5).alias("v")).unionByName(spark.range(20_000).select(F.rand(2).alias("v") * 10))
+    for rows in (narrow, skewed, hot):
+        at = ranges.bounds(rows, "v", 32, 500)
+        placed = rows.withColumn("r", ranges.range_of(F.col("v"), at)).groupBy("r").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("r").collect()
+        mean = sum(r["n"] for r in placed) / 32
+        assert len(at) > 20 and all(a["high"] < b["low"] for a, b in zip(placed, placed[1:], strict=False))
+        assert all(r["n"] <= 2 * mean or r["low"] <= 7.5 <= r["high"] for r in placed)
+        bare = [r for r in placed if r["n"] > 2 * mean]
+        assert len(bare) <= (1 if rows is hot else 0)
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (-float("inf"),), (0.0,), (-0.0,)], "v double")
+    assert ranges.bounds(odd, "v") == [] and ranges.bounds(odd.limit(0), "v") == []
+    assert [r["r"] for r in odd.select(ranges.range_of(F.col("v"), [-1.0, 0.0]).alias("r")).collect()] == [None, 2, 2, 0, 1, 1]
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 100)
+    monkeypatch.setattr(ranges.bounds, "__defaults__", (ranges.RANGES, 100))
+    p = spark.range(3000).select((F.col("id") % 5).alias("g"), F.pow(F.rand(1), F.lit(9)).alias("p_value")).cache()
+    few, many = (sorted(map(tuple, fdr.benjamini_hochberg(p, by=["g"], few=f).collect()), key=repr) for f in (True, False))
+    assert few == many
+    p.unpersist()
+
+
+def test_places_and_quantiles_are_those_of_a_sort(spark):
+    rows = spark.range(5000).select(F.col("id"), (F.col("id") * 7919 % 613).alias("v"))
+    got = {r["id"]: r["k"] for r in ordinals.numbered(rows, [F.desc("v"), "id"], "k").collect()}
+    assert got == {i: k for k, (_, i) in enumerate(sorted((-(i * 7919 % 613), i) for i in range(5000)), 1)}
+    assert ordinals.numbered(rows.limit(0), ["v"]).collect() == []
+    shares = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
+    for df in (rows, rows.select(F.expr("if(id % 3 = 0, NULL, -v / 7)").alias("v")), rows.limit(1), rows.limit(2)):
+        one = ordinals.quantiles(df, "v", shares).first()
+        want = df.agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q"), F.count("v").alias("n")).first()
+        assert one["quantiles"] == pytest.approx(want["q"]) and one["n"] == want["n"]
+    assert tuple(ordinals.quantiles(rows.limit(0), "v", shares).first()) == (None, 0)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_null_of_999(spark):
     p = [r["p_value"] for r in queries.QUERIES["flagship_all"](spark, DATA).collect()]

@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType
 #: Draws are numbers below this prime.
 DRAWS = 2147483647
 #: Multipliers of the parts of a draw's key and of the rounds that mix it: fixed values, any large odd numbers.
-_PART, _ROUND = (48271, 1101520787, 69621), (1103515245, 747796405, 1664525)
+DRAW_PARTS, _ROUND = (48271, 1101520787, 69621), (1103515245, 747796405, 1664525)
 
 
 def hash_key(*parts: Column | str | int) -> Column:
@@ -26,12 +26,12 @@ def hash_key(*parts: Column | str | int) -> Column:
 
 def draw_base(key: str, rep: str) -> Column:
     """What all draws of a key (below 2**28) and a replicate share."""
-    return F.expr(f"({key} * {_PART[0]}L + {rep} * {_PART[1]}L % {DRAWS}L) % {DRAWS}L")
+    return F.expr(f"({key} * {DRAW_PARTS[0]}L + {rep} * {DRAW_PARTS[1]}L % {DRAWS}L) % {DRAWS}L")
 
 
 def draws(base: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Numbers below DRAWS, evenly spread over bases and places: whole-number arithmetic that any engine has and that stays below 2**63."""
-    x = (base + places * _PART[2]) % DRAWS
+    x = (base + places * DRAW_PARTS[2]) % DRAWS
     for multiplier in _ROUND:
         x = ((x ^ (x >> 15)) * multiplier + 12345) % DRAWS
     return x
@@ -39,7 +39,7 @@ def draws(base: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 def drawn_sql(source: str, columns: str, key: str, rep: str, place: str, name: str = "drawn") -> str:
     """Table expressions for DuckDB that end in `name` (columns, x), the same numbers over the rows of source."""
-    out = [f"{name}_0 AS (SELECT {columns}, ({key} * {_PART[0]} + {rep} * {_PART[1]} % {DRAWS} + ({place}) * {_PART[2]}) % {DRAWS} AS x FROM {source})"]
+    out = [f"{name}_0 AS (SELECT {columns}, ({key} * {DRAW_PARTS[0]} + {rep} * {DRAW_PARTS[1]} % {DRAWS} + ({place}) * {DRAW_PARTS[2]}) % {DRAWS} AS x FROM {source})"]
     for k, multiplier in enumerate(_ROUND):
         last = name if k == len(_ROUND) - 1 else f"{name}_{k + 1}"
         out.append(f"{last} AS (SELECT {columns}, (xor(x, x >> 15) * {multiplier} + 12345) % {DRAWS} AS x FROM {name}_{k})")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from unitscope.operators.ordinals import numbered
+
 
 def unique_ids(rows: DataFrame, base: str, order: str, out: str = "unique_id") -> DataFrame:
     """Repeated base ids become id, id_2, id_3 in the given order; where that name is another row's own base id, the number counts on past all its repeats."""
@@ -74,18 +76,22 @@ def contains_all(rows: DataFrame, core: DataFrame, unit: str, member: str) -> Da
     return held.crossJoin(size).filter("_n = _size").select(unit)
 
 
+def _member_counts(rows: DataFrame, unit: str, member: str) -> DataFrame:
+    return rows.groupBy(member).agg(F.count_distinct(unit).alias("n_units"))
+
+
 def member_ranking(rows: DataFrame, unit: str, member: str) -> DataFrame:
     """Members by the number of units that have them, ties by name."""
-    counts = rows.groupBy(member).agg(F.count_distinct(unit).alias("n_units"))
-    # One row per distinct member: the ranking window is as small as the member list.
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_units"), member)))
+    return numbered(_member_counts(rows, unit, member), [F.desc("n_units"), member], "rank")
 
 
 def longest_core(rows: DataFrame, unit: str, member: str, target: int) -> DataFrame:
     """The largest k up to target for which some unit has the k most frequent members, and the units that have them: (unit, k).
 
     A unit's k is the rank before its first missing member, so one pass finds all of them."""
-    ranking = member_ranking(rows, unit, member).filter(F.col("rank") <= target).select(member, "rank")
+    order = [F.desc("n_units"), F.col(member)]
+    top = _member_counts(rows, unit, member).orderBy(*order).limit(target)  # which bounds the window below
+    ranking = top.select(member, F.row_number().over(Window.orderBy(*order)).alias("rank"))
     held = rows.select(unit, member).distinct().join(F.broadcast(ranking), member)
     order = Window.partitionBy(unit).orderBy("rank")
     prefix = held.withColumn("_place", F.row_number().over(order)).filter("_place = rank").groupBy(unit).agg(F.max("rank").alias("k"))

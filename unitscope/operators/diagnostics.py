@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unitscope.functions.statistics import beta_quantile, kolmogorov_tail, minus_log10, student_two_sided
+from unitscope.operators.ordinals import quantiles
 from unitscope.operators.ranges import running
 
 
@@ -95,7 +96,7 @@ def confounders(correlations: DataFrame, covariates: list[str], level: float = 0
 def quantile_rejections(rows: DataFrame, value: str, q: str, level: float = 0.1) -> DataFrame:
     """(bin, n, share of q <= level) by quartile bins, right-closed with the least value in the first; equal edges merge; empty below four rows."""
     known = rows.filter(F.col(value).isNotNull())
-    edges = known.agg(F.array_distinct(F.percentile(value, F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0))))).alias("edges"), F.count("*").alias("_n"))
+    edges = quantiles(known, value, [0.0, 0.25, 0.5, 0.75, 1.0]).select(F.array_distinct("quantiles").alias("edges"), F.col("n").alias("_n"))
     placed = known.crossJoin(F.broadcast(edges)).filter("_n >= 4")
     inner = F.filter("edges", lambda e: e < F.col(value))
     return placed.groupBy(F.greatest(F.lit(1), F.size(inner)).alias("bin")).agg(F.count("*").alias("n"), F.avg(F.coalesce(F.col(q) <= level, F.lit(False)).cast("int")).alias("share"))

@@ -20,8 +20,11 @@ def staged_audit(metrics: DataFrame, unit: str, stages: list[tuple[str, Column,
     reasons = F.element_at(F.array(*(F.lit(reason) for _, _, reason in stages)), F.greatest(F.col("_first"), F.lit(1)))
     judged = metrics.withColumn("_first", first).withColumn("_reason", F.when(F.col("_first") > 0, reasons).otherwise("ok"))
     if most is not None:
-        before = F.sum((F.col("_first") == 0).cast("int")).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-        judged = judged.withColumn("_skip", F.coalesce(before, F.lit(0)) >= most)
+        # The last unit that may be kept; those beyond it are skipped, if there are so many.
+        first = judged.filter("_first = 0").select(F.col(order).alias("_order")).orderBy("_order").limit(most)
+        last = first.agg(F.max("_order").alias("_last"), F.count("*").alias("_kept"))
+        beyond = F.when(F.col("_kept") >= most, F.coalesce(F.col(order) > F.col("_last"), F.lit(most == 0))).otherwise(False)
+        judged = judged.crossJoin(F.broadcast(last)).withColumn("_skip", beyond)
     else:
         judged = judged.withColumn("_skip", F.lit(False))
     n = len(names)

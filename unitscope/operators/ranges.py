@@ -1,23 +1,58 @@
 """Running totals in the order of a number without a window over the whole table.
 
-Values are dealt into ranges by a rule of their own that keeps their order: RANGES ranges to each doubling of the size of a
-number. A window runs inside each range, and another over the totals of the ranges, of which there are at most a few
-thousand to any table that is not spread over hundreds of orders of magnitude."""
+Values are dealt into ranges whose bounds are quantiles of the values themselves, from a sketch that tasks build and merge, so a
+range holds about as many rows as any other, unless one value alone has more. A window runs inside each range, and another over
+the totals of the ranges."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
-#: Above the largest range of a double's size, so that small sizes have positive numbers too.
-_UP = 1100 * RANGES
+#: Ranges at most, rows from which on a table has more than one, and rows to a range that are aimed at.
+RANGES, RANGE_ROWS = 1024, 50_000
+#: The sketch's ranks are right to one in so many rows.
+ACCURACY = 1 << 14
+#: Bounds that generated code compares with one by one, halving them; more are searched for in an array.
+INLINE = 128
 
 
-def range_of(value: Column) -> Column:
-    """A whole number that never falls as value grows; 0 for 0, null for null."""
-    size = F.floor(F.log2(F.abs(value.cast("double"))) * RANGES) + _UP
-    return F.when(value == 0, F.lit(0).cast("long")).when(value < 0, -size).otherwise(size)
+def bounds(rows: DataFrame, value: str, ranges: int = RANGES, range_rows: int = RANGE_ROWS) -> list[float]:
+    """The largest values of all ranges but the last, in order. One pass over the rows; as many numbers as ranges reach the driver."""
+    number = F.col(value).cast("double")
+    known = F.when(~F.isnan(number), number)
+    row = rows.agg(F.count(known).alias("n"), F.percentile_approx(known, [k / ranges for k in range(1, ranges)], ACCURACY).alias("at")).first()
+    wanted = min(ranges, -(-row["n"] // range_rows))
+    if wanted <= 1:
+        return []
+    picked = (row["at"][-(-k * ranges // wanted) - 1] for k in range(1, wanted))
+    return sorted({x for x in picked if x == x})
+
+
+def range_of(value: Column, at: list[float]) -> Column:
+    """How many of the bounds are smaller than a value; it never falls as the value grows. Null for null."""
+    number = value.cast("double")
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(number <= F.lit(at[middle]), search(low, middle)).otherwise(search(middle + 1, high))
+
+    if len(at) <= INLINE:
+        place = search(0, len(at))
+    else:
+        table = F.array(*(F.lit(x) for x in at))
+        step = lambda s, _: F.when(s["low"] >= s["high"], s).otherwise(_halved(s, number, table))
+        start = F.struct(F.lit(0).alias("low"), F.lit(len(at)).alias("high"))
+        place = F.aggregate(F.sequence(F.lit(1), F.lit(len(at).bit_length() + 1)), start, step)["low"]
+    return F.when(number.isNotNull(), place)
+
+
+def _halved(s: Column, number: Column, table: Column) -> Column:
+    middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+    below = number <= F.get(table, middle)
+    return F.struct(F.when(below, s["low"]).otherwise(middle + 1).alias("low"), F.when(below, middle).otherwise(s["high"]).alias("high"))
 
 
 def join_by(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
@@ -29,7 +64,7 @@ def join_by(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
 
 def running(rows: DataFrame, by: list[str], value: str, amount: str) -> DataFrame:
     """rows with upto, the sum of amount over the rows of the group whose value is at most theirs, total, that over the group, and _range."""
-    ranged = rows.withColumn("_range", range_of(F.col(value)))
+    ranged = rows.withColumn("_range", range_of(F.col(value), bounds(rows, value)))
     sums = ranged.groupBy(*by, "_range").agg(F.sum(amount).alias("_sum"))
     group = Window.partitionBy(*by)
     before = F.sum("_sum").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from unitscope.operators.ordinals import numbered
 from unitscope.operators.ranges import running
 
 
@@ -34,10 +35,10 @@ def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
 def split_units(units: DataFrame, unit: str, seed: int, share: float = 0.2, least_test: int = 1) -> DataFrame:
     """(unit, side): round-half-even(n * share) units for training, from 1 to n - 1 and leaving least_test; a single unit stands on both sides.
 
-    Units are ranked by their seeded hash; the rank needs an order over all units, not over rows."""
+    Units are ranked by their seeded hash, range by range."""
     distinct = units.select(unit).distinct()
     n = distinct.agg(F.count("*").alias("_n"))
-    ranked = distinct.withColumn("_rank", F.row_number().over(Window.orderBy(shuffle_key(seed, unit), unit))).crossJoin(F.broadcast(n))
+    ranked = numbered(distinct.withColumn("_order", shuffle_key(seed, unit)), ["_order", unit], "_rank").crossJoin(F.broadcast(n))
     k = F.greatest(F.lit(1), F.least(F.bround(F.col("_n") * share), F.col("_n") - 1, F.greatest(F.lit(1), F.col("_n") - least_test)))
     one = F.array(F.lit("train"), F.lit("test"))
     sides = F.when(F.col("_n") == 1, one).when(F.col("_rank") <= k, F.array(F.lit("train"))).otherwise(F.array(F.lit("test")))
@@ -62,7 +63,8 @@ def with_required(split: DataFrame, unit: str, tokens: list[str], seed: int) ->
         free = free.filter(~has(token))
     n = moved.agg(F.count("*").alias("_n"))
     order = Window.orderBy(shuffle_key(seed, unit), unit)
-    back = free.withColumn("_k", F.row_number().over(order)).crossJoin(F.broadcast(n)).filter("_k <= _n").select(unit, F.lit(True).alias("_back"))
+    # No more units move back than there are tokens.
+    back = free.orderBy(shuffle_key(seed, unit), unit).limit(len(tokens)).withColumn("_k", F.row_number().over(order)).crossJoin(F.broadcast(n)).filter("_k <= _n").select(unit, F.lit(True).alias("_back"))
     joined = split.join(moved, unit, "left").join(back, unit, "left")
     side = F.when(F.col("_move"), "test").when(F.col("_back"), "train").otherwise(F.col("side"))
     return joined.select(unit, side.alias("side"))
@@ -70,9 +72,8 @@ def with_required(split: DataFrame, unit: str, tokens: list[str], seed: int) ->
 
 def spread_pick(rows: DataFrame, value: str, unit: str, m: int) -> DataFrame:
     """m rows spread over the order of a value: ranks 0, 1, last, evenly spaced ones, then in order."""
-    order = Window.orderBy(value, unit)
-    ranked = rows.withColumn("rank", F.row_number().over(order) - 1)
-    n = rows.count()
+    ranked = numbered(rows, [value, unit], "rank").withColumn("rank", F.col("rank") - 1)
+    n = ranked.count()
     even = [round(i * (n - 1) / max(m - 1, 1)) for i in range(m)]
     wanted = list(dict.fromkeys(k for k in [0, 1, n - 1, *even, *range(min(n, 2 * m))] if 0 <= k < n))[:m]
     return ranked.filter(F.col("rank").isin(wanted))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from unitscope.functions.statistics import clipped_interval, log_factorial
+from unitscope.operators.ordinals import quantiles
 
 ALPHAS = (0.1, 0.05, 0.01, 0.001)
 TAIL_CELLS = 45
@@ -97,9 +98,12 @@ def enrichment(rows: DataFrame, hit: str, positive: str) -> DataFrame:
 
 def roll_up(rows: DataFrame, numbers: list[str], texts: list[str]) -> DataFrame:
     """One row: median, mean, maximum and sum of every number, and the share of non-empty values of every text."""
-    out = [f(c).alias(f"{name}_{c}") for c in numbers for name, f in (("median", lambda c: F.percentile(c, F.lit(0.5))), ("mean", F.avg), ("max", F.max), ("sum", F.sum))]
+    out = [f(c).alias(f"{name}_{c}") for c in numbers for name, f in (("mean", F.avg), ("max", F.max), ("sum", F.sum))]
     out += [F.avg((F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "").cast("int")).alias(f"filled_{c}") for c in texts]
-    return rows.agg(*out)
+    row = rows.agg(*out)
+    for c in numbers:
+        row = row.crossJoin(quantiles(rows, c, [0.5]).select(F.col("quantiles")[0].alias(f"median_{c}")))
+    return row.select(*(f"{name}_{c}" for c in numbers for name in ("median", "mean", "max", "sum")), *(f"filled_{c}" for c in texts))
 
 
 def gates(rows: DataFrame, rules: dict[str, tuple[Column, float]]) -> DataFrame:

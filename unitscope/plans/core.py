@@ -22,13 +22,13 @@ def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, energy.EnergyM
 
 
 def _null(scored: DataFrame, units: DataFrame, replicates: int = REPLICATES) -> DataFrame:
-    return calibrate.resampled_null(units, calibrate.pool_points(scored, "energy"), "unit_id", "n_sites", replicates, SEED)
+    return calibrate.resampled_null(units, scored, "unit_id", "n_sites", replicates, SEED)
 
 
 def _results(spark: SparkSession, sf_dir: str, replicates: int = REPLICATES) -> DataFrame:
     scored, model = _scored(spark, sf_dir)
     units = energy.dispersion(scored, "unit_id")
-    ranked = calibrate.rank_p_values(units, _null(scored, units, replicates), "unit_id")
+    ranked = calibrate.resampled_p_values(units, scored, "unit_id", "n_sites", replicates, SEED)
     indexed = ranked.withColumn("idx", calibrate.index(F.col("D"), F.col("mu0"), F.col("sigma0")))
     # There are at most replicates + 1 different p-values.
     return fdr.benjamini_hochberg(calibrate.guardrails(indexed, model.training_rows, replicates, "resampled"), few=True)
@@ -87,7 +87,7 @@ def d8_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d9_rank_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, _ = _scored(spark, sf_dir)
     units = energy.dispersion(scored, "unit_id")
-    ranked = calibrate.rank_p_values(units, _null(scored, units), "unit_id", tail="both")
+    ranked = calibrate.resampled_p_values(units, scored, "unit_id", "n_sites", REPLICATES, SEED, tail="both")
     return ranked.select("unit_id", "null_size", F.round("p_value", 6).alias("p_right"), "status", F.round("p_left", 6).alias("p_left"))
 
 
@@ -116,6 +116,28 @@ def d12_resampled_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return null.select("unit_id", "rep", F.round("D", 6).alias("D"))
 
 
+def d9_supplied_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each unit against null rows that are supplied for it, ranked by a sort."""
+    scored, _ = _scored(spark, sf_dir)
+    units = energy.dispersion(scored, "unit_id")
+    ranked = calibrate.rank_p_values(units, _null(scored, units), "unit_id", tail="both")
+    return ranked.select("unit_id", "null_size", F.round("p_value", 6).alias("p_right"), "status", F.round("p_left", 6).alias("p_left"))
+
+
+def d12_large_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """19 replicates from a pool that is held in parts of 4,000 values, as one is that no task can hold."""
+    scored, _ = _scored(spark, sf_dir)
+    null = calibrate.resampled_null(energy.dispersion(scored, "unit_id"), scored, "unit_id", "n_sites", 19, SEED, most=4000)
+    return null.select("unit_id", "rep", F.round("D", 6).alias("D"))
+
+
+def d14_large_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p-values of both tails from such a pool."""
+    scored, _ = _scored(spark, sf_dir)
+    ranked = calibrate.resampled_p_values(energy.dispersion(scored, "unit_id"), scored, "unit_id", "n_sites", 19, SEED, tail="both", most=4000)
+    return ranked.select("unit_id", "null_size", F.round("p_value", 6).alias("p_right"), F.round("mu0", 6).alias("mu0"), F.round("p_left", 6).alias("p_left"))
+
+
 def d13_shared_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed units against the null of their size class; units 0-4 of the null table are left out as missing contexts."""
     scored, _ = _scored(spark, sf_dir)
@@ -166,7 +188,8 @@ def e2_scoped_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e3_grouped_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "methods")
-    both = fdr.benjamini_hochberg(fdr.benjamini_hochberg(rows, by=["method"]), q="q_null_one", by=["method"], null_as_one=True)
+    # p-values of this table lie on a grid of a thousandth.
+    both = fdr.benjamini_hochberg(fdr.benjamini_hochberg(rows, by=["method"], few=True), q="q_null_one", by=["method"], null_as_one=True, few=True)
     return both.select("ord", F.round("q_value", 9).alias("q_value"), F.round("q_null_one", 9).alias("q_null_one"))
 
 
@@ -184,9 +207,8 @@ _CORE = with_views("sites") + ", " + _MODEL
 _DRAWN = drawn_sql("draws", "unit_id, rep", "key", "rep", "i")
 _NULL = (
     _CORE
-    + f""", total AS (SELECT count(*) AS n, least(count(*), {calibrate.POOL_POINTS}) AS k FROM scored),
-ordered AS (SELECT energy, row_number() OVER (ORDER BY energy) - 1 AS pos FROM scored),
-pool AS (SELECT j AS idx, energy FROM (SELECT unnest(range(k)) AS j, k, n FROM total) JOIN ordered ON pos = j * n // k),
+    + f""", total AS (SELECT count(*) AS k FROM scored),
+pool AS (SELECT energy, row_number() OVER (ORDER BY energy) - 1 AS idx FROM scored),
 draws AS (SELECT unit_id, key, rep, unnest(range(1, n_sites + 1)) AS i FROM (SELECT unit_id, n_sites, ('0x' || substr(md5(concat_ws('|', '{SEED}', unit_id)), 1, 7))::BIGINT AS key FROM units), (SELECT unnest(range({REPLICATES})) AS rep)),
 {_DRAWN},
 placed AS (SELECT unit_id, rep, x % (SELECT k FROM total) AS idx FROM drawn),
@@ -220,7 +242,7 @@ SELECT n_sites, rep, round(var_pop({energy.format(p=DRAWS)}), 6) AS D FROM e GRO
     )
 
 
-QUERIES = {f.__name__: f for f in (flagship, flagship_199, flagship_all, d3_moments, d4_training_sample, d5_energy, d5_array_energy, d6_gradient, d7_dispersion, d8_index, d9_rank_p, d10_two_sided_p, d11_gaussian_null, d11_gaussian_null_of_three, d12_resampled_null, d13_shared_null, d14_batch_scores, d15_error_rates, e1_benjamini_hochberg, e1_continuous_p, e2_scoped_q, e3_grouped_q, f39_recompute_audit)}
+QUERIES = {f.__name__: f for f in (flagship, flagship_199, flagship_all, d3_moments, d4_training_sample, d5_energy, d5_array_energy, d6_gradient, d7_dispersion, d8_index, d9_rank_p, d10_two_sided_p, d11_gaussian_null, d11_gaussian_null_of_three, d12_resampled_null, d9_supplied_null, d12_large_pool, d14_large_pool, d13_shared_null, d14_batch_scores, d15_error_rates, e1_benjamini_hochberg, e1_continuous_p, e2_scoped_q, e3_grouped_q, f39_recompute_audit)}
 _PAIRS = [(f"f{i}", f"f{j}") for i in range(1, 5) for j in range(i, 5)]
 ORACLE = {
     "flagship": _FLAGSHIP,
@@ -240,6 +262,9 @@ SELECT label, count(*) AS n_sites, round(avg(energy), 4) AS mean_energy, round(v
     "d9_rank_p": _NULL + "SELECT unit_id, null_size, round(p_right, 6) AS p_right, round(p_left, 6) AS p_left, 'OK' AS status FROM ranked",
     "d10_two_sided_p": _NULL + """, mid AS (SELECT unit_id, median(D) AS m FROM (SELECT unit_id, D FROM nulls UNION ALL SELECT unit_id, D FROM units) GROUP BY unit_id)
 SELECT u.unit_id, round((1 + count(*) FILTER (round(abs(n.D - m), 12) >= round(abs(u.D - m), 12))) / (count(*) + 1), 6) AS p_value FROM units u JOIN mid USING (unit_id) JOIN nulls n ON n.unit_id = u.unit_id GROUP BY u.unit_id""",
+    "d9_supplied_null": _NULL + "SELECT unit_id, null_size, round(p_right, 6) AS p_right, round(p_left, 6) AS p_left, 'OK' AS status FROM ranked",
+    "d12_large_pool": _NULL.replace(f"range({REPLICATES})", "range(19)") + "SELECT unit_id, rep, round(D, 6) AS D FROM nulls",
+    "d14_large_pool": _NULL.replace(f"range({REPLICATES})", "range(19)") + "SELECT unit_id, null_size, round(p_right, 6) AS p_right, round(mu0, 6) AS mu0, round(p_left, 6) AS p_left FROM ranked",
     "d12_resampled_null": _NULL + "SELECT unit_id, rep, round(D, 6) AS D FROM nulls",
     "d13_shared_null": _NULL + """SELECT u.unit_id, u.unit_id % 20 AS size_class, count(n.D) AS null_size, CASE WHEN count(n.D) > 0 THEN round((1 + count(*) FILTER (n.D >= u.D)) / (count(n.D) + 1), 6) END AS p_value,
 CASE WHEN count(n.D) > 0 THEN 'ok' ELSE 'missing_context_calibration' END AS reason FROM units u LEFT JOIN nulls n ON n.unit_id >= 5 AND n.unit_id % 10 = u.unit_id % 20 GROUP BY u.unit_id""",
