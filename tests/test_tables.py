@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.errors import StreamingQueryException
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from unitscope.operators import compare, diagnostics, energy, sampling, trees
@@ -65,21 +65,50 @@ def test_resume_runs_missing_units_only(spark, tmp_path):
     assert seen.value == 2
 
 
+def test_a_broken_append_leaves_nothing_visible(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame([(i,) for i in x], "x int")
+    store = str(tmp_path / "store")
+    assert T.read_results(spark, store, "x int").count() == 0
+    assert T.append_results(rows(1, 2), store) and T.append_results(rows(3), store, 7)
+    # A batch that runs again, and what one leaves that was killed before its commit.
+    assert not T.append_results(rows(9), store, 7)
+    rows(10).write.parquet(f"{store}/batch-8-killed")
+    assert sorted(r["x"] for r in T.read_results(spark, store, "x int").collect()) == [1, 2, 3]
+    with pytest.raises(PythonException):
+        T.append_results(rows(4, 5).mapInPandas(lambda frames: (f["none"] for f in frames), "x int"), store)
+    assert T.append_results(rows(6), store) and {r["number"] for r in T.committed(spark, store).collect()} == {0, 7, 8}
+    assert sorted(r["x"] for r in T.read_results(spark, store, "x int").collect()) == [1, 2, 3, 6]
+
+
 def test_streams(spark, tmp_path):
-    data = spark.range(40).selectExpr("id % 4 AS unit_id", "cast(id AS double) AS a", "cast(id * id % 7 AS double) AS b")
+    """Units in pieces over loads and starts, closed by a marker or by time, equal those of one batch; late rows are counted."""
+    data = spark.range(60).selectExpr("id % 4 AS unit_id", "cast(id AS double) AS a", "cast(id * id % 7 AS double) AS b", "id DIV 20 AS load")
     model = energy.fit(data, ["a", "b"])
+    whole = {r["unit_id"]: r for r in energy.dispersion(data.withColumn("energy", energy.energy(model)), "unit_id").collect()}
     null = spark.createDataFrame([(0.1,), (0.2,), (0.3,)], "D double")
     source, store, check = (str(tmp_path / x) for x in ("in", "store", "check"))
-    data.filter("unit_id < 2").write.parquet(source)
-    for wanted in (2, 4, 4):
-        scoring.score_files(spark, source, "unit_id long, a double, b double", store, check, model, null).awaitTermination()
-        assert T.read_results(spark, store, scoring.RESULTS).count() == wanted
-        if wanted == 2:
-            data.filter("unit_id >= 2").write.mode("append").parquet(source)
-    data.filter("unit_id = 3").write.mode("append").parquet(source)
-    with pytest.raises(StreamingQueryException, match="scored already"):
-        scoring.score_files(spark, source, "unit_id long, a double, b double", store, check, model, null).awaitTermination()
-    assert T.read_results(spark, store, scoring.RESULTS).count() == 4
+    schema = "unit_id long, a double, b double, event_time timestamp, last boolean"
+
+    def load(rows, minute, last=None):
+        timed = rows.select("unit_id", "a", "b", (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=F.lit(minute))).alias("event_time"), F.lit(last).cast("boolean").alias("last"))
+        timed.write.mode("append").parquet(source)
+        scoring.score_files(spark, source, schema, store, check, model, null, delay="1 minute", wait_ms=600_000).awaitTermination()
+        return sorted(r["unit_id"] for r in scoring.stored(spark, store).collect())
+
+    def marker(unit):
+        return spark.createDataFrame([(unit, None, None)], "unit_id long, a double, b double")
+
+    assert load(data.filter("load = 0"), 0) == []
+    assert load(data.filter("load = 1").unionByName(spark.createDataFrame([(None, 1.0, 1.0, 1)], data.schema)), 1) == []
+    assert load(data.filter("load = 2"), 2) == []
+    assert load(marker(0), 3, True) == [0]
+    assert load(data.filter("unit_id = 0 AND load = 1"), 3) == [0] and load(marker(0), 3, True) == [0]
+    assert [tuple(r) for r in scoring.late_rows(spark, store).collect()] == [(0, 5)]
+    # Time passes for the others; a start without new files finds nothing to do.
+    assert load(marker(99), 30) == load(marker(99).limit(0), 31) == [0, 1, 2, 3]
+    for r in scoring.stored(spark, store).collect():
+        assert (r["n_sites"], r["mean_energy"], r["D"]) == (15, pytest.approx(whole[r["unit_id"]]["mean_energy"]), pytest.approx(whole[r["unit_id"]]["D"]))
+        assert r["null_size"] == 3 and r["status"] == "OK"
     results = spark.createDataFrame([("m", "OK", 1.0), ("m", "OK", 2.0), ("m", "FAIL", 1.0)], "method string, status string, runtime_sec double")
     results.write.parquet(str(tmp_path / "r"))
     scoring.progress_stream(spark, str(tmp_path / "r"), "method string, status string, runtime_sec double", "live", str(tmp_path / "c2")).awaitTermination()

@@ -112,7 +112,7 @@ def test_ranges_are_even_whatever_the_values(spark, monkeypatch, inline):
     monkeypatch.setattr(ranges, "INLINE", inline)
     narrow = spark.range(20_000).select((F.lit(1e6) + F.col("id") / 2).alias("v"))
     skewed = spark.range(20_000).select(F.exp(F.col("id") % 40 + F.rand(1)).alias("v"))
-    hot = spark.range(10_000).select(F.lit(7.5).alias("v")).unionByName(spark.range(20_000).select(F.rand(2).alias("v") * 10))
+    hot = spark.range(10_000).select(F.lit(7.5).alias("v")).unionByName(spark.range(20_000).select((F.rand(2) * 10).alias("v")))
     for rows in (narrow, skewed, hot):
         at = ranges.bounds(rows, "v", 32, 500)
         placed = rows.withColumn("r", ranges.range_of(F.col("v"), at)).groupBy("r").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("r").collect()

@@ -86,48 +86,56 @@ def judged(rows: DataFrame, max_ambiguous: float, seq: str = "seq") -> DataFrame
 
 
 def _block_pair(key: tuple, rows: pa.Table) -> pa.Table:
-    """(unit, n, total) of the pairs of two blocks of a unit, or within one: pairs with a common site, and the sum of their shares."""
+    """(unit, n, total) of the pairs of members of two blocks of a unit's classes, or within one: pairs with a common site, and the sum of their shares."""
     unit, low, high = key
-    block = rows["_k"].to_numpy()
-    code = np.full(256, -1, np.int8)
-    code[np.frombuffer("".join(BASES).encode(), np.uint8)] = range(len(BASES))
-    lengths = np.array([len(s) for s in rows["_sym"].to_pylist()], np.int64)
-    member = np.repeat(np.arange(len(block)), lengths)
-    pos = np.array(rows["_pos"].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.int64)
-    sym = code[np.frombuffer("".join(rows["_sym"].to_pylist()).encode(), np.uint8)]
+    block, members = rows["_k"].to_numpy(), rows["_members"].to_numpy().astype(np.float64)
+    lengths = rows["_pos"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    class_ = np.repeat(np.arange(len(block)), lengths)
+    pos = rows["_pos"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = rows["_counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(BASES))
     x, y = np.flatnonzero(block == low.as_py()), np.flatnonzero(block == high.as_py())
-    both, same = np.zeros((len(x), len(y)), np.int32), np.zeros((len(x), len(y)), np.int32)
-    # Counts are products of 0/1 matrices, a run of positions at a time: exact in float32, and of bounded size.
+    both, same = np.zeros((len(x), len(y))), np.zeros((len(x), len(y)))
+    # Products of counts, a run of positions at a time: whole numbers, and of bounded size.
     order = np.argsort(pos, kind="stable")
-    member, pos, sym = member[order], pos[order], sym[order]
+    class_, pos, counts = class_[order], pos[order], counts[order]
     start = 0
     while start < len(pos):
         end = np.searchsorted(pos, pos[start] + _RUN)
-        at, place, base = member[start:end], pos[start:end] - pos[start], sym[start:end]
-        seen = np.zeros((len(BASES), len(block), _RUN), np.float32)
-        seen[base, at, place] = 1
-        same += sum(b[x] @ b[y].T for b in seen).astype(np.int32)
-        any_base = seen.sum(axis=0)
-        both += (any_base[x] @ any_base[y].T).astype(np.int32)
+        at, place = class_[start:end], pos[start:end] - pos[start]
+        seen = np.zeros((len(BASES), len(block), _RUN))
+        seen[:, at, place] = counts[start:end].T
+        same += sum(b[x] @ b[y].T for b in seen)
+        any_base = (seen.sum(axis=0) > 0).astype(np.float64)
+        both += any_base[x] @ any_base[y].T
         start = end
-    shared = both > 0
+    pairs = members[x][:, None] * members[y]
+    shares = np.divide(pairs * both - same, both, out=np.zeros_like(both), where=both > 0)
+    n = np.where(both > 0, pairs, 0.0)
     if low.as_py() == high.as_py():
-        shared = np.triu(shared, 1)
-    total = ((both[shared] - same[shared]) / both[shared]).sum()
-    return pa.table({"unit": pa.array([unit.as_py()], unit.type), "n": pa.array([int(shared.sum())], pa.int64()), "total": pa.array([float(total)], pa.float64())})
+        # Within a class each pair was met from both sides, and each member met itself, without a difference.
+        own = np.diag(n > 0) * members[x]
+        n, shares = np.triu(n, 1).sum() + ((own * members[x] - own) / 2).sum(), np.triu(shares, 1).sum() + np.diag(shares).sum() / 2
+    return pa.table({"unit": pa.array([unit.as_py()], unit.type), "n": pa.array([round(float(np.sum(n)))], pa.int64()), "total": pa.array([float(np.sum(shares))], pa.float64())})
 
 
 def pairwise_distance(long: DataFrame, unit: str = "unit_id", taxon: str = "taxon", block: int = 1024) -> DataFrame:
     """Per unit: mean over all pairs of members of the share of sites with different bases, over sites where both have one.
 
-    Each pair needs its own denominator, so all pairs are compared. The members of a unit are dealt by hash into blocks of about
-    `block`; each pair of blocks is one group, which a task compares by matrix products and of which one row is left."""
+    A pair's denominator follows from which sites its members can be read at. Members that can be read at the same sites are a class, and
+    the counts of each base at each site of two classes give the sum over all pairs between them: the work grows with pairs of classes.
+    The classes of a unit (at worst as many as members) are dealt by hash into blocks of about `block`; each pair of blocks is one group,
+    which a task compares by matrix products and of which one row is left."""
     base = F.when(F.col("sym").isin(*BASES), F.struct(F.col("pos").cast("int").alias("pos"), "sym"))
-    members = long.filter(F.col(taxon).isNotNull()).groupBy(unit, taxon).agg(F.collect_list(base).alias("_bases"))
-    blocks = long.groupBy(unit).agg(F.count_distinct(taxon).alias("_n")).filter("_n > 1").select(unit, F.ceil(F.col("_n") / block).cast("int").alias("_n"))
-    own = members.join(blocks, unit).withColumn("_k", F.pmod(F.xxhash64(taxon), F.col("_n")).cast("int"))
+    members = long.filter(F.col(taxon).isNotNull()).groupBy(unit, taxon).agg(F.array_sort(F.collect_set(base)).alias("_bases"))
+    masked = members.select(unit, F.sha2(F.array_join(F.transform("_bases", lambda b: b["pos"]), ","), 256).alias("_mask"), "_bases")
+    sizes = masked.groupBy(unit, "_mask").agg(F.count("*").alias("_members"))
+    here = masked.select(unit, "_mask", F.explode("_bases").alias("b")).groupBy(unit, "_mask", F.col("b.pos").alias("pos"))
+    sites = here.agg(F.array(*(F.count_if(F.col("b.sym") == x) for x in BASES)).alias("counts")).groupBy(unit, "_mask").agg(F.collect_list(F.struct("pos", "counts")).alias("_sites"))
+    blocks = sizes.groupBy(unit).agg(F.count("*").alias("_n"), F.sum("_members").alias("_all")).filter("_all > 1").select(unit, F.ceil(F.col("_n") / block).cast("int").alias("_n"))
+    # A class without sites has no pairs, but its unit has a row.
+    own = sizes.join(blocks, unit).join(sites, [unit, "_mask"], "left").withColumn("_k", F.pmod(F.xxhash64("_mask"), F.col("_n")).cast("int"))
     each = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select(
-        F.col(unit).alias("unit"), F.least("_k", "_o").alias("_low"), F.greatest("_k", "_o").alias("_high"), "_k", F.col("_bases")["pos"].alias("_pos"), F.array_join(F.col("_bases")["sym"], "").alias("_sym")
+        F.col(unit).alias("unit"), F.least("_k", "_o").alias("_low"), F.greatest("_k", "_o").alias("_high"), "_k", "_members", F.coalesce(F.col("_sites")["pos"], F.array().cast("array<int>")).alias("_pos"), F.coalesce(F.flatten(F.col("_sites")["counts"]), F.array().cast("array<bigint>")).alias("_counts")
     )
     kind = long.schema[unit].dataType.simpleString()
     sums = each.groupBy("unit", "_low", "_high").applyInArrow(_block_pair, f"unit {kind}, n bigint, total double").groupBy("unit").agg(F.sum("n").alias("n_pairs"), F.sum("total").alias("total"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -86,19 +87,43 @@ def unfinished(tasks: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     return tasks.join(done, key, "left_anti")
 
 
-def append_results(results: DataFrame, store: str) -> None:
-    results.write.mode("append").parquet(store)
+_COMMIT = "number long, folder string"
+
+
+def committed(spark: SparkSession, store: str) -> DataFrame:
+    """(number, folder) of the store's finished batches; what a broken append has written is in none."""
+    return _unless_absent(lambda: spark.read.schema(_COMMIT).json(f"{store}/commits"), spark, _COMMIT)
+
+
+def append_results(results: DataFrame, store: str, number: int | None = None) -> bool:
+    """Appends a batch to the store unless one of its number is there already; whether it did.
+
+    The batch goes to a folder of its own, and is part of the store once one small file names that folder, which is written last; so
+    readers see all of a batch or nothing, and no append reads what the store holds. Without a number a batch is the next one
+    (of one writer at a time). What a broken append leaves behind is never read."""
+    spark = results.sparkSession
+    # A row to each batch.
+    done = [r["number"] for r in committed(spark, store).select("number").collect()]
+    number = max(done, default=-1) + 1 if number is None else number
+    if number in done:
+        return False
+    folder = f"batch-{number}-{uuid.uuid4().hex}"
+    results.write.parquet(f"{store}/{folder}")
+    spark.createDataFrame([(number, folder)], _COMMIT).coalesce(1).write.mode("append").json(f"{store}/commits")
+    return True
 
 
 def read_results(spark: SparkSession, store: str, schema: str) -> DataFrame:
-    """The finished results of a store, none where it does not exist yet."""
-    return _unless_absent(lambda: spark.read.schema(schema).parquet(store), spark, schema)
+    """The results of the store's finished batches, none where it does not exist yet."""
+    folders = [f"{store}/{r['folder']}" for r in committed(spark, store).collect()]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
 def resume(tasks: DataFrame, score, store: str, key: list[str], schema: str) -> DataFrame:
     """All results after scoring only the tasks that the store does not have yet."""
     spark = tasks.sparkSession
-    append_results(score(unfinished(tasks, read_results(spark, store, schema), key)).select(*read_results(spark, store, schema).columns), store)
+    done = read_results(spark, store, schema)
+    append_results(score(unfinished(tasks, done, key)).select(*done.columns), store)
     return read_results(spark, store, schema)
 
 
