@@ -96,3 +96,32 @@ def test_tails(spark):
     assert value(S.student_two_sided(F.lit(2.228139), F.lit(10.0))) == pytest.approx(0.05, abs=1e-6)
     assert value(S.kolmogorov_tail(F.lit(0.0), F.lit(5.0))) == 1.0
     assert value(S.number(F.lit("NaN"))) is None and value(S.number(F.lit("x"))) is None and value(S.number(F.lit("1.5"))) == 1.5
+
+
+def test_tails_of_the_jvm_have_all_digits(spark):
+    xs = [-3.0, -0.5, 0.0, 1e-9, 0.1, 0.5, 1.0, 2.0, 2.9, 3.1, 5.0, 9.0, 20.0, 26.0]
+    got = [r["y"] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(S.erfc(F.col("x")).alias("y")).collect()]
+    assert got == [pytest.approx(math.erfc(x), rel=1e-12) for x in xs]
+    want = {(0.1, 100.0): 0.2699996716773, (0.05, 900.0): 0.0222179626165, (0.5, 4.0): 0.2699996716773}
+    got = {(r["d"], r["n"]): r["p"] for r in spark.createDataFrame(list(want), "d double, n double").withColumn("p", S.kolmogorov_tail("d", "n")).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-10) for k, v in want.items()}
+
+
+def test_canonical_numbers_are_exact_and_alike_in_both_engines(spark):
+    import random
+
+    import duckdb
+
+    rng = random.Random(3)
+    xs = [0.0, -0.0, 1.0, -1.5, 0.1, 1e-310, 5e-324, 1.7976931348623157e308, 2.0**-1022, 2.0**52, 2.0**53, float("nan"), float("inf"), -float("inf"), None]
+    xs += [2.0**k for k in range(-300, 300, 7)] + [math.nextafter(2.0**k, 0) for k in range(-300, 300, 7)] + [rng.uniform(-1, 1) * 10 ** rng.randrange(-300, 300) for _ in range(400)]
+    got = [r["t"] for r in spark.createDataFrame(list(enumerate(xs)), "i int, x double").select("i", S.canonical_number(F.col("x")).alias("t")).orderBy("i").collect()]
+    for x, text in zip(xs, got, strict=True):
+        if x is not None and math.isfinite(x) and x:
+            mantissa, exponent = map(int, text.split("e"))
+            assert 2**52 <= abs(mantissa) < 2**53 and math.ldexp(mantissa, exponent) == x
+    assert got[:2] == ["0", "0"] and got[11:15] == ["nan", "inf", "-inf", None]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INT, x DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(xs)))
+    assert [r[0] for r in con.execute(f"SELECT {S.canonical_number_sql('x')} FROM t ORDER BY i").fetchall()] == got

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitscope.functions.sequences import field_text, normalised, record_hash
+from unitscope.functions.statistics import canonical_number
 
 FASTA_GLOB = "*.{fa,fasta,fas,fna,aln}"
 
@@ -128,10 +129,11 @@ def resume(tasks: DataFrame, score, store: str, key: list[str], schema: str) ->
 
 
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, n_rows, content_hash): row counts and hashes that do not depend on row order, from sums of row hashes."""
+    """(table, n_rows, content_hash): row counts and hashes that do not depend on row order, from sums of row hashes. Floating-point numbers count by their mantissa and exponent, not by an engine's text."""
     rows = None
     for name, df in sorted(tables.items()):
-        hashed = df.select(record_hash(*df.columns).alias("h"))
+        exact = df.select(*(canonical_number(F.col(f"`{c}`").cast("double")).alias(c) if kind in ("double", "float") else F.col(f"`{c}`") for c, kind in df.dtypes))
+        hashed = exact.select(record_hash(*df.columns).alias("h"))
         halves = [F.sum(F.conv(F.substring("h", k, 8), 16, 10).cast("decimal(20,0)")) for k in (1, 9, 17, 25)]
         one = hashed.agg(F.count("*").alias("n_rows"), F.sha2(F.concat_ws("|", F.count("*").cast("string"), *(h.cast("string") for h in halves)), 256).alias("content_hash")).select(F.lit(name).alias("table"), "n_rows", "content_hash")
         rows = one if rows is None else rows.unionByName(one)
