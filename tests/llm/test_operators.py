@@ -675,6 +675,41 @@ class Naive(HTMLParser):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_chunks_members_and_digests_of_sources(spark, tmp_path):
+    """Payloads sent in chunks, in several gzip members or as raw deflate, from files straight to derivatives, with the source's digest checked."""
+    import zlib
+
+    page = "<html lang=en><title>T</title><p>" + "word " * 3000 + "</p><p>end é</p></html>"
+    want = warc.parsed(page).text
+    raw = page.encode()
+    members = gzip.compress(raw[:5000]) + gzip.compress(raw[5000:]) + gzip.compress(b"")
+    squeeze = zlib.compressobj(9, zlib.DEFLATED, -15)
+    deflated = squeeze.compress(raw) + squeeze.flush()
+    chunk = lambda data, n: b"".join(b"%x;ext=1\r\n" % len(data[i : i + n]) + data[i : i + n] + b"\r\n" for i in range(0, len(data), n)) + b"0\r\nTrailer: x\r\n\r\n"
+    sent = [(b"Content-Encoding: gzip\r\n", members), (b"Content-Encoding: deflate\r\n", deflated), (b"Transfer-Encoding: chunked\r\n", chunk(raw, 999)), (b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n", chunk(members, 7)), (b"Content-Encoding: gzip\r\n", members + b"junk"), (b"Transfer-Encoding: chunked\r\n", raw)]
+    records = [b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <i>\r\nContent-Length: 4\r\n\r\nsoft\r\n\r\n"]
+    for i, (head, payload) in enumerate(sent):
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + head + b"\r\n" + payload
+        named = [warc.digest(block), "sha1:WRONG", "md5:abc"][i % 3]
+        records.append(f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <{i}>\r\nWARC-Target-URI: u{i}\r\nWARC-Block-Digest: {named}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+    (tmp_path / "all.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    made = warc.derivatives(warc.read_records(spark, str(tmp_path))).collect()
+    assert len(made) == 2 * len(sent) and {r["page_id"] for r in made} == {f"<{i}>" for i in range(len(sent))}
+    for r in made:
+        assert r["source_verified"] == [True, False, None][int(r["page_id"][1]) % 3]
+        assert r["record_type"] != "conversion" or r["content"] == want, r["page_id"]
+    assert warc.unpacked(gzip.compress(b"x" * 5000), 4999) is None and warc.unpacked(gzip.compress(b"x" * 5000), 5000) == b"x" * 5000
+    assert warc.unpacked(b"plain") is None and warc.dechunked(b"zz") == b"zz" and warc.dechunked(b"5\r\nabc") == b"abc"
+
+
+def test_odd_responses(spark):
+    rows = clashing(spark.createDataFrame([(1, "u", ""), (1, "u", None), (None, None, "<p>a"), (2, "", "x" * 100_000)], "page_id long, url string, html string"))
+    made = warc.derivatives(warc.responses(rows))
+    assert Counter(r["page_id"] for r in made.collect()) == {1: 4, None: 2, 2: 2} and warc.derivatives(warc.responses(rows.limit(0))).collect() == []
+    judged = urlfilter.judge(rows)
+    assert Counter(r["page_id"] for r in judged.collect()) == {1: 2, None: 1, 2: 1} and urlfilter.judge(rows.limit(0)).collect() == []
+
+
 def test_visible_text_is_that_of_a_html_parser(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     made = {r["page_id"]: r["content"] for r in warc.derivatives(warc.responses(pages)).filter("record_type = 'conversion'").collect()}

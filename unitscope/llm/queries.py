@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitscope.llm import decontaminate, langid, licenses, mergerounds, minhash, negatives, pii, quality, spelling, tokencount, urlfilter, viterbi, warc
+from unitscope.sources.shared import scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,6 +57,13 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
+def warc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derivatives of response records that were written as WARC files and read again: what SQL knows of them."""
+    warc.write_responses(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")), path := scratch(spark, "warc"))
+    made = warc.derivatives(warc.read_records(spark, path))
+    return made.select("record_type", "target_uri", F.col("source_headers").alias("headers"), F.col("refers_to").isNotNull().alias("refers"))
+
+
 def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op1 that SQL can express."""
     return licenses.scan(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -103,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_bpe_rounds": op13_bpe_rounds,
     "license_base_places": license_base_places,
     "url_rules": url_rules,
+    "warc_files": warc_files,
 }
 
 
@@ -120,6 +129,9 @@ def _rule_cases(value: str) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "warc_files": """
+SELECT unnest(['metadata', 'conversion']) AS record_type, coalesce(url, '') AS target_uri, concat('Content-Type: text/html; charset=utf-8', chr(13), chr(10), 'Content-Length: ', octet_length(encode(coalesce(html, '')))) AS headers, TRUE AS refers FROM pages
+""",
     "license_base_places": rf"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents

@@ -9,8 +9,8 @@ same records.
 
 A page is read by one forward scan, so time grows with its length, however broken it is: a tag ends at the
 first ">", an element whose text is dropped at its first closing tag (without one, nothing is dropped), a
-comment without an end reaches to the end. A payload is unpacked if its headers say gzip or deflate and it
-is, and decoded by the charset that they or a meta tag name, else as UTF-8, with U+FFFD for what is none.
+comment without an end reaches to the end. A payload sent in chunks is put together, unpacked (all members) if its headers say gzip or deflate and it
+is, up to MOST_UNPACKED bytes, and decoded by the charset that they or a meta tag name, else as UTF-8, with U+FFFD for what is none.
 
 A null or empty block gives an empty text and no links; a response without HTTP headers is taken as
 a bare payload. Headers may repeat and keep their order. Repeated responses give repeated records. Rows
@@ -47,7 +47,11 @@ _BLOCKS = frozenset("p div br hr h1 h2 h3 h4 h5 h6 li ul ol table tr td th nav a
 _LINKING = frozenset("a link img script iframe area source".split())
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?([a-z0-9_:.-]{1,40})", re.I)
 
-_SCHEMA = "record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_digest string, source_headers string, content string"
+#: Bytes that a payload may unpack to; one that would be larger is kept packed.
+MOST_UNPACKED = 1 << 28
+_CHUNK_SIZE = re.compile(rb"([0-9a-fA-F]{1,15})[ \t]*(?:;[^\r\n]{0,4096})?\r\n")
+
+_SCHEMA = "record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_digest string, source_block_digest string, source_verified boolean, source_headers string, content string"
 
 
 def digest(block: bytes) -> str:
@@ -129,14 +133,45 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status, [(name.strip(), value.strip()) for name, _, value in (line.partition(":") for line in lines)], payload
 
 
+def dechunked(payload: bytes) -> bytes:
+    """A payload sent in chunks, put together: sizes in hexadecimal, extensions and trailers left out. One that does not begin so is returned as it is, one that breaks off as far as it goes."""
+    out, at = [], 0
+    while found := _CHUNK_SIZE.match(payload, at):
+        size, start = int(found[1], 16), found.end()
+        if not size:
+            return b"".join(out)
+        out.append(payload[start : start + size])
+        at = start + size + (2 if payload[start + size : start + size + 2] == b"\r\n" else 0)
+    return b"".join(out) if out and at else payload
+
+
+def unpacked(payload: bytes, most: int = MOST_UNPACKED) -> bytes | None:
+    """All members of a gzip payload, or a zlib or raw deflate one, as far as they are whole; None where it is none of these or unpacks to more than `most` bytes."""
+    for bits in (47, -15):
+        out, rest, size = [], payload, 0
+        try:
+            while rest:
+                member = zlib.decompressobj(bits)
+                out.append(member.decompress(rest, most - size + 1))
+                size += len(out[-1])
+                if size > most:
+                    return None
+                rest = member.unused_data
+                bits = 31 if bits == 47 else bits  # only gzip has further members
+            return b"".join(out)
+        except zlib.error:
+            if out:
+                return b"".join(out)
+    return None
+
+
 def payload_text(headers: list[tuple[str, str]], payload: bytes) -> str:
-    """A payload unpacked and decoded."""
+    """A payload put together, unpacked and decoded."""
     of = {name.lower(): value for name, value in headers}
+    if "chunked" in of.get("transfer-encoding", "").lower():
+        payload = dechunked(payload)
     if of.get("content-encoding", "").lower() in ("gzip", "x-gzip", "deflate"):
-        try:
-            payload = zlib.decompressobj(47).decompress(payload)  # gzip or zlib
-        except zlib.error:
-            pass
+        payload = payload if (plain := unpacked(payload)) is None else plain
     named = _CHARSET.search(of.get("content-type", "").encode()) or _CHARSET.search(payload[:1024])
     try:
         charset = codecs.lookup(named[1].decode()).name if named else "utf-8"
@@ -160,9 +195,11 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for page_id, source, uri, date, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for page_id, source, uri, date, named, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             status, headers, payload = http_parts(block)
-            page, source_digest = parsed(payload_text(headers, payload)), digest(payload)
+            page, source_digest, block_digest = parsed(payload_text(headers, payload)), digest(payload), digest(block)
+            # A digest of another kind cannot be checked here.
+            verified = named.lower() == block_digest.lower() if named and named.lower().startswith("sha1:") else None
             meta = {
                 "status": status,
                 "headers": headers,
@@ -174,20 +211,32 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made = (("metadata", "application/json", json.dumps(meta, ensure_ascii=False)), ("conversion", "text/plain", page.text))
             for kind, content_type, content in made:
                 data = content.encode()
-                rows.append((page_id, kind, record_id(kind, source, content), source, uri, date, content_type, len(data), digest(data), source_digest, "\r\n".join(f"{k}: {v}" for k, v in headers), content))
-        columns = list(zip(*rows, strict=True)) or [[]] * 12
+                rows.append((page_id, kind, record_id(kind, source, content), source, uri, date, content_type, len(data), digest(data), source_digest, block_digest, verified, "\r\n".join(f"{k}: {v}" for k, v in headers), content))
+        columns = list(zip(*rows, strict=True)) or [[]] * 14
         fields = [f.split() for f in _SCHEMA.split(", ")]
         names = ["page_id", *(name for name, _ in fields)]
-        types = [batch.schema.field(0).type, *(pa.int64() if kind == "long" else pa.string() for _, kind in fields)]
+        types = [batch.schema.field(0).type, *({"long": pa.int64(), "boolean": pa.bool_()}.get(kind, pa.string()) for _, kind in fields)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
 def derivatives(records: DataFrame) -> DataFrame:
-    """Metadata and conversion records of response records (page_id, record_id, target_uri, warc_date, block)."""
-    rows = records.select("page_id", "record_id", "target_uri", "warc_date", F.coalesce(F.col("block").cast("binary"), F.lit(b"")).alias("block"))
+    """Metadata and conversion records of response records (record_id, target_uri, warc_date, block), as `responses` or `read_records` give them.
+
+    Where there is a record_type, other records than responses make none. page_id is the records' own, or else the source's record id. A block_digest that the source names is compared
+    with its block's: source_verified is null where it names none of this kind."""
+    if "record_type" in records.columns:
+        records = records.filter("record_type = 'response'")
+    has = lambda c, other: F.col(c) if c in records.columns else other.alias(c)
+    rows = records.select(has("page_id", F.col("record_id")), "record_id", "target_uri", "warc_date", has("block_digest", F.lit(None).cast("string")), F.coalesce(F.col("block").cast("binary"), F.lit(b"")).alias("block"))
     return rows.mapInArrow(_derive, StructType(rows.schema.fields[:1] + StructType.fromDDL(_SCHEMA).fields))
 
 
+def write_responses(records: DataFrame, path: str) -> None:
+    """Response records whose blocks are text as WARC text files."""
+    head = F.concat_ws("\r\n", F.lit(VERSION), F.lit("WARC-Type: response"), *(F.concat(F.lit(f"{name}: "), F.col(c)) for name, c in (("WARC-Record-ID", "record_id"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"))), F.lit("Content-Type: application/http; msgtype=response"), F.concat(F.lit("Content-Length: "), F.octet_length("block").cast("string")))
+    records.select(F.concat(head, F.lit("\r\n\r\n"), F.col("block")).alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+
+
 def write_records(records: DataFrame, path: str) -> None:
     """Derivative records as WARC text files."""
     head = F.concat_ws(
