@@ -14,6 +14,8 @@ rows are judged alike.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,13 +26,16 @@ SIZES = (3, 4, 5)
 THRESHOLD = 0.5
 #: (host, path, verdict): a rule fits its host and all subdomains where the path starts with its own; the longest that fits wins.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: A small labelled table: names and paths by hand, each name under every suffix so that suffixes carry no label. Every HELD_OUT-th name is for measuring.
+#: A small labelled table: names and paths by hand, and invented clean names, each name under every suffix so that suffixes carry no label. Every HELD_OUT-th name is for measuring.
 SUFFIXES = ("example.com", "example.org", "example.net", "com", "org", "net")
 HELD_OUT = 4
 CLEAN_NAMES = """news docs university library museum weather blog.cooking archive python health school m.journal www.wiki maps recipes science
 forum.gardening theatre history thesis transport ship-models hotels pillow-shop betterhomes winter-sports city-council m.choir bakery birdwatching
 astronomy www.translation-office bridge-club hospital parliament orchestra railway-times blog.knitting observatory seed-catalogue m.farmersmarket
 notary driving-lessons harbour-office blog.fieldnotes www.swimming freelance-editors winery adulteducation trackandfield""".split()
+#: Clean names that mean nothing, so that letters of no word speak for neither side: made by a rule, of syllables of these parts.
+INVENTED = 64
+_STARTS, _VOWELS, _ENDS = "b br d dr f fl g gr h k l m n p pl qu r s sh st t th tr v w z".split(), "a e i o u ai ea io ou".split(), ["", "l", "n", "r", "s", "nd", "ng", "nt", "st", "th"]
 SPAM_NAMES = """spam-offers cheap-meds free-casino hot-singles buy-viagra-now best-casino-bonus xxx-videos pills4u replica-watches free-money win-prize
 spam-links adult-cams payday-loans-fast crack-keygen porn-free online-poker-win m.pills-direct www.bets-today m.casino-slots blog.cheap-viagra
 www.spam-zone sexy-cams fake-bags m.free-spins poker-bets link-farm-seo ads-network click-tracker banner-ads adult-dating adult-zone quick-loans
@@ -40,11 +45,21 @@ CLEAN_PATHS = ("/", "/about", "/2021/05/article.html", "/wiki/History", "/docs/g
 SPAM_PATHS = ("/", "/about", "/win?id=7", "/buy/cheap/pills.html", "/casino/play-now", "/promo/click-here", "/contact/", "/xxx/videos")
 
 
+def invented_names() -> list[str]:
+    """INVENTED names of two or three syllables, some under the prefixes that sites have."""
+    names = []
+    for i in range(INVENTED):
+        numbers = hashlib.sha256(f"invented {i}".encode()).digest()
+        syllables = [_STARTS[numbers[3 * k] % len(_STARTS)] + _VOWELS[numbers[3 * k + 1] % len(_VOWELS)] + _ENDS[numbers[3 * k + 2] % len(_ENDS)] for k in range(2 + numbers[30] % 2)]
+        names.append(("", "", "www.", "m.", "blog.")[numbers[31] % 5] + "".join(syllables))
+    return names
+
+
 def labelled_urls(held_out: bool | None = None) -> list[tuple[str, int]]:
     """(url, 1 for block) of all names, of the held-out ones or of the others."""
     return [
         (f"https://{name}.{suffix}{paths[(i + k) % len(paths)]}", label)
-        for names, paths, label in ((CLEAN_NAMES, CLEAN_PATHS, 0), (SPAM_NAMES, SPAM_PATHS, 1))
+        for names, paths, label in (([*CLEAN_NAMES, *invented_names()], CLEAN_PATHS, 0), (SPAM_NAMES, SPAM_PATHS, 1))
         for i, name in enumerate(names)
         for k, suffix in enumerate(SUFFIXES)
         if held_out is None or held_out == (i % HELD_OUT == 0)
@@ -77,8 +92,10 @@ def trained(spark: SparkSession, labelled: DataFrame | None = None) -> tuple[lis
     rows = labelled.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("label").cast("double").alias("label"))
     counts = rows.withColumn("b", F.expr(_buckets())).filter("size(b) > 0")
     shares = F.expr(f"transform(sequence(0, {BUCKETS - 1}), k -> size(filter(b, x -> x = k)) / sqrt(size(b)))")
-    ready = counts.select("label", array_to_vector(shares).alias("features")).coalesce(1).persist()
-    fitted = LogisticRegression(regParam=1e-3, maxIter=60, standardization=False).fit(ready)
+    # Both labels weigh the same, whatever their numbers.
+    sizes = counts.groupBy("label").agg((F.lit(1.0) / F.count("*")).alias("weight"))
+    ready = counts.join(F.broadcast(sizes), "label").select("label", "weight", array_to_vector(shares).alias("features")).coalesce(1).persist()
+    fitted = LogisticRegression(regParam=1e-3, maxIter=60, standardization=False, weightCol="weight").fit(ready)
     ready.unpersist()
     return [float(w) for w in fitted.coefficients], float(fitted.intercept)
 
