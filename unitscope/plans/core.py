@@ -152,6 +152,20 @@ def d14_batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("unit_id", "n_sites", F.round("D", 6).alias("D"), F.round("p_value", 6).alias("p_value"), F.round("q_value", 6).alias("q_value"), "guard", F.array_join("warnings", ";").alias("warnings"))
 
 
+#: Training rows, null size, null kind, strict, override of the guardrails that are tried.
+_GUARDS = [(2300, 999, "resampled", False, False), (2300, 1000, "gaussian", False, True), (2300, 999, "resampled", True, True), (5000, 1999, "gaussian", True, False), (5000, 999, "resampled", False, False), (100_000, 1000, "resampled", True, False)]
+
+
+def b25_guardrails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All branches: units of a tenth and of a quarter of the training rows, strict and overridden, every tenth without null spread."""
+    units = energy.dispersion(_scored(spark, sf_dir)[0], "unit_id").select("unit_id", "n_sites", F.when(F.col("unit_id") % 10 == 0, 0.0).otherwise(1.0).alias("sigma0"))
+    out = None
+    for k, (n_rows, null_size, kind, strict, override) in enumerate(_GUARDS):
+        one = calibrate.guardrails(units, n_rows, null_size, kind, strict=strict, override=override).select("unit_id", F.lit(k).alias("setting"), "guard", F.array_join("warnings", ";").alias("warnings"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def d15_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = view(spark, sf_dir, "grid").withColumn("half", F.when(F.col("status") == "OK", F.col("p") / 2))
     rates = calibrate.error_rates(grid, "family", ["p", "half"])
@@ -242,7 +256,7 @@ SELECT n_sites, rep, round(var_pop({energy.format(p=DRAWS)}), 6) AS D FROM e GRO
     )
 
 
-QUERIES = {f.__name__: f for f in (flagship, flagship_199, flagship_all, d3_moments, d4_training_sample, d5_energy, d5_array_energy, d6_gradient, d7_dispersion, d8_index, d9_rank_p, d10_two_sided_p, d11_gaussian_null, d11_gaussian_null_of_three, d12_resampled_null, d9_supplied_null, d12_large_pool, d14_large_pool, d13_shared_null, d14_batch_scores, d15_error_rates, e1_benjamini_hochberg, e1_continuous_p, e2_scoped_q, e3_grouped_q, f39_recompute_audit)}
+QUERIES = {f.__name__: f for f in (flagship, flagship_199, flagship_all, d3_moments, d4_training_sample, d5_energy, d5_array_energy, d6_gradient, d7_dispersion, d8_index, d9_rank_p, d10_two_sided_p, d11_gaussian_null, d11_gaussian_null_of_three, d12_resampled_null, d9_supplied_null, d12_large_pool, d14_large_pool, d13_shared_null, b25_guardrails, d14_batch_scores, d15_error_rates, e1_benjamini_hochberg, e1_continuous_p, e2_scoped_q, e3_grouped_q, f39_recompute_audit)}
 _PAIRS = [(f"f{i}", f"f{j}") for i in range(1, 5) for j in range(i, 5)]
 ORACLE = {
     "flagship": _FLAGSHIP,
@@ -271,6 +285,10 @@ CASE WHEN count(n.D) > 0 THEN 'ok' ELSE 'missing_context_calibration' END AS rea
     "d14_batch_scores": _NULL + """SELECT r.unit_id, n_sites, round(D, 6) AS D, round(p_right, 6) AS p_value, round(q_value, 6) AS q_value,
 CASE WHEN n_sites / (SELECT n FROM model) > 0.25 THEN 'FAIL' ELSE 'OK' END AS guard,
 concat_ws(';', CASE WHEN n_sites / (SELECT n FROM model) > 0.1 THEN 'size_ratio' END, 'small_null', CASE WHEN sigma0 = 0 THEN 'zero_spread' END) AS warnings FROM ranked r JOIN q ON q.unit_id = r.unit_id""",
+    "b25_guardrails": _CORE
+    + f""", g AS (SELECT * FROM (VALUES {', '.join(f"({k}, {n}, {null}, '{kind}', {strict}, {override})" for k, (n, null, kind, strict, override) in enumerate(_GUARDS))}) AS t(setting, n_rows, null_size, kind, strict, override))
+SELECT unit_id, setting, CASE WHEN (n_sites / n_rows > 0.25 AND NOT override) OR (n_sites / n_rows > 0.1 AND strict) THEN 'FAIL' ELSE 'OK' END AS guard,
+concat_ws(';', CASE WHEN n_sites / n_rows > 0.1 THEN 'size_ratio' END, CASE WHEN null_size < 1000 THEN 'small_null' END, CASE WHEN unit_id % 10 = 0 THEN 'zero_spread' END, CASE WHEN kind = 'gaussian' THEN 'gaussian_null' END) AS warnings FROM units, g""",
     "d15_error_rates": with_views("grid") + "SELECT family, count(*) AS n, round(avg((p <= 0.05)::INT), 6) AS rate_p, round(avg(coalesce(CASE WHEN status = 'OK' THEN p / 2 END <= 0.05, FALSE)::INT), 6) AS rate_half FROM grid GROUP BY family",
     "e1_benjamini_hochberg": with_views("grid") + ", " + _bh("grid", "", "p") + "SELECT cnt.p, cnt.c AS n, round(q, 9) AS q FROM cnt JOIN bh USING (p)",
     "e1_continuous_p": with_views("sites") + ", c AS (SELECT l_orderkey, l_linenumber, exp(-f2 / 20000) AS p FROM sites), " + _bh("c", "", "p") + "SELECT l_orderkey, l_linenumber, round(q, 9) AS q FROM c JOIN bh USING (p)",
