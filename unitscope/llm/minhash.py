@@ -107,10 +107,19 @@ def buckets(sets: DataFrame) -> DataFrame:
     return keyed.join(lead, "key")
 
 
+#: Columns that tell a row's id and text apart; none is null, so that joins take them as they are.
+_ROW = ["text_key", "id_key", "no_id"]
+
+
+def _row_key(id_: Column | str) -> list[Column]:
+    id_ = F.col(id_) if isinstance(id_, str) else id_
+    return [F.coalesce(id_.cast("string"), F.lit("")).alias("id_key"), id_.isNull().alias("no_id")]
+
+
 def once(docs: DataFrame, id_col: str, text_col: str, *columns: Column) -> DataFrame:
-    """(id, text_key) and the columns of the rows of docs that have words, rows that repeat id and text once; they are dropped before they are moved."""
-    rows = docs.filter(F.rlike(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]"))).select(F.col(id_col).alias("id"), _text_key(text_col).alias("text_key"), *columns)
-    window = Window.partitionBy("id", "text_key").orderBy("text_key")
+    """_ROW and the columns of the rows of docs that have words, rows that repeat id and text once; they are dropped before they are moved, and lie where a join by _ROW needs them."""
+    rows = docs.filter(F.rlike(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]"))).select(_text_key(text_col).alias("text_key"), *_row_key(F.col(id_col)), *columns)
+    window = Window.partitionBy(*_ROW).orderBy("text_key")
     return rows.withColumn("copy", F.row_number().over(window)).filter("copy = 1").drop("copy")
 
 
@@ -210,10 +219,9 @@ def open_links(members: DataFrame) -> DataFrame:
 def links(sets: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component) of the nodes of classes that are linked with another."""
     members = durable(buckets(sets))
-    stand = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", "low.id", "low.text_key")
+    stand = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", "low.text_key", *_row_key("low.id"))
     rows = once(docs, id_col, text_col, F.col(text_col).alias("text"))
-    # Ids may be null.
-    texts = durable(rows.join(stand, rows["id"].eqNullSafe(stand["id"]) & (rows["text_key"] == stand["text_key"])).select("node", "text"))
+    texts = durable(rows.join(stand, _ROW).select("node", "text"))
     found = durable(confirm(members.filter("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), texts))
     component = components(found)
     # Bounds hold against the other open members; without those that they exclude, more may be excluded.
@@ -255,9 +263,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near copies: of each component one row, of its smallest id; rows without words all stay, and so do all columns."""
     _, lowest = components_of(docs, durable(signatures(docs, id_col, text_col)), id_col, text_col)
-    kept = lowest.select("lowest.id", "lowest.text_key")
+    kept = lowest.select("lowest.text_key", *_row_key("lowest.id"))
     quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
     rows = once(docs, id_col, text_col, F.struct(*quoted).alias("row"))
-    stay = rows.join(kept, rows["id"].eqNullSafe(kept["id"]) & (rows["text_key"] == kept["text_key"]), "left_semi").select("row.*")
+    stay = rows.join(kept, _ROW, "left_semi").select("row.*")
     blank = docs.filter(~F.coalesce(F.rlike(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)))
     return stay.unionByName(blank)
