@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
+from unitscope.functions import statistics
 from unitscope.operators import alignments as A
 from unitscope.operators import calibrate, fdr, ordinals, ranges
 from unitscope.plans import registry as queries
@@ -93,6 +95,31 @@ def test_ranks_where_draws_are_made_are_those_of_a_sort(spark, monkeypatch, how)
     assert want[90]["status"] == want[91]["status"] == "FAIL" and want[92]["sigma0"] == 0
 
 
+@pytest.mark.parametrize("uses", [1, 2])
+def test_draws_from_a_large_pool_stay_where_they_are_made(spark, monkeypatch, uses):
+    """The pool passes through the tasks: no exchange of draws or sums. Statistics are those of each draw by itself, of short and long units, in many messages, slices and groups of units."""
+    for name, x in (("MESSAGE_VALUES", 700), ("KEPT_SUMS", 100), ("SENT_UNITS", 9), ("_PLACES", 64), ("_LOOK", 50), ("_uses", lambda n: uses)):
+        monkeypatch.setattr(calibrate, name, x)
+    rows = spark.range(5000).select(F.expr("if(id % 7 = 0, -0D, pow(id * 7919 % 4999 / 4999D, 3) - 0.2)").alias("energy")).unionByName(spark.createDataFrame([(None,)], "energy double"))
+    sizes = {**{f"u{k}": 1 + k * k % 50 for k in range(23)}, "long": 3000, "none": 0}
+    units = spark.createDataFrame(list(sizes.items()), "unit string, n long").withColumn("D", F.lit(0.05))
+    null = calibrate.resampled_null(units, rows, "unit", "n", 19, 5, most=900)
+    plan = null._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and "HashAggregate" not in plan.split("Optimized Logical Plan")[0]
+    pool = np.array(sorted(r["energy"] for r in rows.collect() if r["energy"] is not None))
+    keys = {r["unit"]: r["k"] for r in units.select("unit", statistics.hash_key(5, F.col("unit")).alias("k")).collect()}
+    want = {}
+    for u, n in sizes.items():
+        for rep in range(19 if n else 0):
+            x = [statistics.draws(calibrate._bases(keys[u], np.array([rep])), np.arange(1, n + 1) * uses + j) for j in range(uses)]
+            want[u, rep] = pool[calibrate._rank(len(pool), *x)].var()
+    got = {(r["unit"], r["rep"]): r["D"] for r in null.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    ranked = {r["unit"]: r for r in calibrate.resampled_p_values(units, rows, "unit", "n", 19, 5, most=900).collect()}
+    assert len(ranked) == 25 and ranked["none"]["status"] == "FAIL"
+    assert all(ranked[u]["n_extreme"] == sum(want[u, rep] >= 0.05 for rep in range(19)) for u in sizes if u != "none")
+
+
 def test_ranges_of_any_number(spark):
     """Ranks range by range are those of one sort, both tails, whatever the sign and size of values."""
     rows = spark.range(3000).select((F.col("id") % 3).alias("k"), F.expr("(id * 7919 % 1000 - 500) * pow(10D, id % 7 - 3)").alias("D"))
