@@ -120,6 +120,13 @@ def test_draws_from_a_large_pool_stay_where_they_are_made(spark, monkeypatch, us
     assert all(ranked[u]["n_extreme"] == sum(want[u, rep] >= 0.05 for rep in range(19)) for u in sizes if u != "none")
 
 
+def test_gaps_that_differ_by_rounding_are_told_apart(spark):
+    """A stored q beside its neighbour is no larger error; the tie of the call decides, as the SQL of the audit does."""
+    rows = spark.createDataFrame([("m", 10, 0.25, 0.506), ("m", 2000, 0.5, float(np.nextafter(0.506, 0))), ("m", 3000, None, None)], "method string, unit_id long, p_value double, q_value double")
+    worst = lambda **how: fdr.recompute_audit(rows, "method", **how).first()["worst_unit"]
+    assert worst() == 10 and worst(tie=F.col("unit_id") / 1e9) == 2000
+
+
 def test_ranges_of_any_number(spark):
     """Ranks range by range are those of one sort, both tails, whatever the sign and size of values."""
     rows = spark.range(3000).select((F.col("id") % 3).alias("k"), F.expr("(id * 7919 % 1000 - 500) * pow(10D, id % 7 - 3)").alias("D"))
