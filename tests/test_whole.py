@@ -127,6 +127,26 @@ def test_gaps_that_differ_by_rounding_are_told_apart(spark):
     assert worst() == 10 and worst(tie=F.col("unit_id") / 1e9) == 2000
 
 
+@pytest.mark.parametrize("members", [40, 700])
+def test_pairs_of_sequences_are_those_of_their_sites(spark, members):
+    """No row to a site; classes of one member and of very many, which come in several batches, missing sequences and taxa."""
+    rows = spark.range(members).selectExpr("if(id % 3 = 0, 'u', 'v') AS unit_id", "if(id = 5, NULL, id) AS taxon", "if(id = 7, NULL, translate(concat(if(id % 2 = 0, '012301230', md5(string(id))), md5(string(id div 9))), '0123456789abcdef', if(id % 2 = 0, 'ACGTACGTACGTACGT', 'ACGTACGTACGTACN-'))) AS seq")
+    by_rows = A.pairwise_distance_of_sequences(rows, block=7)
+    assert by_rows._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = {r["unit_id"]: (r["n_pairs"], r["mean_distance"]) for r in by_rows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    seqs = [r for r in rows.collect() if r["taxon"] is not None and r["seq"]]
+    for i, r in enumerate(seqs):
+        for o in seqs[:i]:
+            if r["unit_id"] == o["unit_id"] and (pairs := [a != b for a, b in zip(r["seq"], o["seq"]) if a in "ACGT" and b in "ACGT"]):
+                want.setdefault(r["unit_id"], []).append(sum(pairs) / len(pairs))
+    assert got == {u: (len(x), pytest.approx(sum(x) / len(x))) for u, x in want.items()}
+
+
 def test_ranges_of_any_number(spark):
     """Ranks range by range are those of one sort, both tails, whatever the sign and size of values."""
     rows = spark.range(3000).select((F.col("id") % 3).alias("k"), F.expr("(id * 7919 % 1000 - 500) * pow(10D, id % 7 - 3)").alias("D"))

@@ -191,7 +191,7 @@ SELECT unit_id, count(CASE WHEN len(v) > 0 THEN 1 END) AS n_pairs, round(avg(CAS
 @query(_PAIRS, "aln")
 def c11_pairwise_distance(spark: SparkSession, d: str) -> DataFrame:
     """Over all pairs of all members of each unit."""
-    return A.pairwise_distance(A.sites(view(spark, d, "aln"))).select("unit_id", "n_pairs", F.round("mean_distance", 6).alias("mean_distance"))
+    return A.pairwise_distance_of_sequences(view(spark, d, "aln", spread=True)).select("unit_id", "n_pairs", F.round("mean_distance", 6).alias("mean_distance"))
 
 
 @query(_PAIRS, "aln")
