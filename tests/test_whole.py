@@ -147,6 +147,44 @@ def test_pairs_of_sequences_are_those_of_their_sites(spark, members):
     assert got == {u: (len(x), pytest.approx(sum(x) / len(x))) for u, x in want.items()}
 
 
+@pytest.mark.parametrize("split", [False, True])
+def test_null_rows_are_ranked_where_they_lie(spark, monkeypatch, split):
+    """No null row is moved, and ranks, sizes and moments are those of a window: ties, keys without nulls, nulls without keys, null keys, missing and odd statistics."""
+    odd = [(None, "a", 0.5), (None, "a", None), (7, None, 2.0), (8, "b", None), (1, "a", float("nan")), (1, "a", float("inf")), (9, "z", -0.0), (1, "a", 0.0), (1, "a", 0.0)]
+    observed = spark.range(300).select((F.col("id") % 5).alias("k"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("g"), F.expr("id * 37 % 101 / 10D").alias("D")).unionByName(spark.createDataFrame(odd, "k long, g string, D double")).withColumn("x", F.monotonically_increasing_id())
+    null = spark.range(4000).select((F.col("id") % 7).alias("k"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("g"), F.expr("id * 7919 % 211 / 20D").alias("D"))
+    null = null.unionByName(spark.createDataFrame([(None, "a", 0.5), (None, "a", 0.25), (8, "b", 1.0), (8, "b", None), (9, "z", 0.0), (1, "a", float("nan"))], "k long, g string, D double"))
+
+    def ranked():
+        df = calibrate.rank_p_values(observed, null, ["k", "g"], tail="both", split=split)
+        return df._jdf.queryExecution().executedPlan().toString(), {r["x"]: r for r in df.collect()}
+
+    plan, got = ranked()
+    assert "MapInArrow" in plan and got.keys() == {r["x"] for r in observed.collect()}
+    monkeypatch.setattr(calibrate, "PLACED_ROWS", 100)
+    plan, want = ranked()
+    assert "MapInArrow" not in plan
+    for x, r in want.items():
+        for c in r.asDict():
+            assert got[x][c] == r[c] or repr(got[x][c]) == repr(r[c]) or got[x][c] == pytest.approx(r[c], abs=1e-9), (c, got[x], r)
+
+
+def test_two_sided_p_values_move_the_null_once(spark):
+    observed = spark.createDataFrame([("a", 3.0), ("b", 9.0), ("c", 1.0), ("d", None), (None, 1.0)], "k string, D double")
+    null = spark.range(400).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("k"), F.expr("id * 37 % 101 / 10D").alias("D")).unionByName(spark.createDataFrame([("d", 1.0), ("a", None), (None, 2.0)], "k string, D double"))
+    df = calibrate.two_sided_p_values(observed, null, "k")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 400") == 1
+    got = {r["k"]: r for r in df.collect()}
+    for k in "ab":
+        x, v = next(r["D"] for r in observed.collect() if r["k"] == k), np.array([r["D"] for r in null.collect() if r["k"] == k and r["D"] is not None])
+        middle = np.median(np.append(v, x))
+        far = np.round(abs(v - middle), 12)
+        n = int((far >= round(abs(x - middle), 12)).sum())
+        assert (got[k]["n_extreme"], got[k]["null_size"], got[k]["p_value"], got[k]["status"]) == (n, len(v), (1 + n) / (len(v) + 1), "OK")
+        assert (got[k]["mu0"], got[k]["sigma0"]) == (pytest.approx(far.mean()), pytest.approx(far.std()))
+    assert [(got[k]["null_size"], got[k]["p_value"], got[k]["status"]) for k in ("c", "d", None)] == [(0, None, "FAIL"), (1, None, "FAIL"), (0, None, "FAIL")]
+
+
 def test_ranges_of_any_number(spark):
     """Ranks range by range are those of one sort, both tails, whatever the sign and size of values."""
     rows = spark.range(3000).select((F.col("id") % 3).alias("k"), F.expr("(id * 7919 % 1000 - 500) * pow(10D, id % 7 - 3)").alias("D"))
