@@ -37,6 +37,26 @@ def test_all_pairs_of_large_and_sparse_units(spark):
             assert got[u] == (len(want[u]), pytest.approx(sum(want[u]) / len(want[u])))
 
 
+@pytest.mark.parametrize("members", [40, 700])
+def test_pairs_of_sequences_are_those_of_their_sites(spark, members):
+    """No row to a site; classes of one member and of very many, which come in several batches, missing sequences and taxa."""
+    rows = spark.range(members).selectExpr("if(id % 3 = 0, 'u', 'v') AS unit_id", "if(id = 5, NULL, id) AS taxon", "if(id = 7, NULL, translate(concat(if(id % 2 = 0, '012301230', md5(string(id))), md5(string(id div 9))), '0123456789abcdef', if(id % 2 = 0, 'ACGTACGTACGTACGT', 'ACGTACGTACGTACN-'))) AS seq")
+    by_rows = A.pairwise_distance_of_sequences(rows, block=7)
+    assert by_rows._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = {r["unit_id"]: (r["n_pairs"], r["mean_distance"]) for r in by_rows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    seqs = [r for r in rows.collect() if r["taxon"] is not None and r["seq"]]
+    for i, r in enumerate(seqs):
+        for o in seqs[:i]:
+            if r["unit_id"] == o["unit_id"] and (pairs := [a != b for a, b in zip(r["seq"], o["seq"]) if a in "ACGT" and b in "ACGT"]):
+                want.setdefault(r["unit_id"], []).append(sum(pairs) / len(pairs))
+    assert got == {u: (len(x), pytest.approx(sum(x) / len(x))) for u, x in want.items()}
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_all_members_are_paired(spark):
     rows = queries.QUERIES["c11_all_pairs_distance"](spark, DATA).collect()
@@ -95,6 +115,14 @@ def test_ranks_where_draws_are_made_are_those_of_a_sort(spark, monkeypatch, how)
     assert want[90]["status"] == want[91]["status"] == "FAIL" and want[92]["sigma0"] == 0
 
 
+def test_ranks_of_large_pools_are_those_of_sql():
+    """SQL takes one number to a draw, modulo the pool's size; two are for pools of which one number doesn't reach all values."""
+    x = np.array([0, 35_999_999, 36_000_000, statistics.DRAWS - 1])
+    for n in (36_000_000, statistics.DRAWS):
+        assert calibrate._uses(n) == 1 and (calibrate._rank(n, x) == x % n).all()
+    assert calibrate._uses(statistics.DRAWS + 1) == 2
+
+
 @pytest.mark.parametrize("uses", [1, 2])
 def test_draws_from_a_large_pool_stay_where_they_are_made(spark, monkeypatch, uses):
     """The pool passes through the tasks: no exchange of draws or sums. Statistics are those of each draw by itself, of short and long units, in many messages, slices and groups of units."""
@@ -120,33 +148,6 @@ def test_draws_from_a_large_pool_stay_where_they_are_made(spark, monkeypatch, us
     assert all(ranked[u]["n_extreme"] == sum(want[u, rep] >= 0.05 for rep in range(19)) for u in sizes if u != "none")
 
 
-def test_gaps_that_differ_by_rounding_are_told_apart(spark):
-    """A stored q beside its neighbour is no larger error; the tie of the call decides, as the SQL of the audit does."""
-    rows = spark.createDataFrame([("m", 10, 0.25, 0.506), ("m", 2000, 0.5, float(np.nextafter(0.506, 0))), ("m", 3000, None, None)], "method string, unit_id long, p_value double, q_value double")
-    worst = lambda **how: fdr.recompute_audit(rows, "method", **how).first()["worst_unit"]
-    assert worst() == 10 and worst(tie=F.col("unit_id") / 1e9) == 2000
-
-
-@pytest.mark.parametrize("members", [40, 700])
-def test_pairs_of_sequences_are_those_of_their_sites(spark, members):
-    """No row to a site; classes of one member and of very many, which come in several batches, missing sequences and taxa."""
-    rows = spark.range(members).selectExpr("if(id % 3 = 0, 'u', 'v') AS unit_id", "if(id = 5, NULL, id) AS taxon", "if(id = 7, NULL, translate(concat(if(id % 2 = 0, '012301230', md5(string(id))), md5(string(id div 9))), '0123456789abcdef', if(id % 2 = 0, 'ACGTACGTACGTACGT', 'ACGTACGTACGTACN-'))) AS seq")
-    by_rows = A.pairwise_distance_of_sequences(rows, block=7)
-    assert by_rows._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
-    try:
-        got = {r["unit_id"]: (r["n_pairs"], r["mean_distance"]) for r in by_rows.collect()}
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    want = {}
-    seqs = [r for r in rows.collect() if r["taxon"] is not None and r["seq"]]
-    for i, r in enumerate(seqs):
-        for o in seqs[:i]:
-            if r["unit_id"] == o["unit_id"] and (pairs := [a != b for a, b in zip(r["seq"], o["seq"]) if a in "ACGT" and b in "ACGT"]):
-                want.setdefault(r["unit_id"], []).append(sum(pairs) / len(pairs))
-    assert got == {u: (len(x), pytest.approx(sum(x) / len(x))) for u, x in want.items()}
-
-
 @pytest.mark.parametrize("split", [False, True])
 def test_null_rows_are_ranked_where_they_lie(spark, monkeypatch, split):
     """No null row is moved, and ranks, sizes and moments are those of a window: ties, keys without nulls, nulls without keys, null keys, missing and odd statistics."""
@@ -185,6 +186,13 @@ def test_two_sided_p_values_move_the_null_once(spark):
     assert [(got[k]["null_size"], got[k]["p_value"], got[k]["status"]) for k in ("c", "d", None)] == [(0, None, "FAIL"), (1, None, "FAIL"), (0, None, "FAIL")]
 
 
+def test_gaps_that_differ_by_rounding_are_told_apart(spark):
+    """A stored q beside its neighbour is no larger error; the tie of the call decides, as the SQL of the audit does."""
+    rows = spark.createDataFrame([("m", 10, 0.25, 0.506), ("m", 2000, 0.5, float(np.nextafter(0.506, 0))), ("m", 3000, None, None)], "method string, unit_id long, p_value double, q_value double")
+    worst = lambda **how: fdr.recompute_audit(rows, "method", **how).first()["worst_unit"]
+    assert worst() == 10 and worst(tie=F.col("unit_id") / 1e9) == 2000
+
+
 def test_ranges_of_any_number(spark):
     """Ranks range by range are those of one sort, both tails, whatever the sign and size of values."""
     rows = spark.range(3000).select((F.col("id") % 3).alias("k"), F.expr("(id * 7919 % 1000 - 500) * pow(10D, id % 7 - 3)").alias("D"))
